@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attrition.config import SPINE_COLUMNS, ChurnConfig
+from attrition.config import HORIZON_COL, SPINE_COLUMNS, ChurnConfig
 from attrition.operators import accumulate as acc
+from attrition.operators import encode, evaluate, models, prepare, scoring, stats
+from attrition.plans import modelling
 from attrition.operators.spine import build_spine
 from attrition.plans import training_table as tt
-from attrition.session import apply_engine_conf
+from attrition.session import apply_engine_conf, scratch_path
 from attrition.sources.roles import role_sources
-from attrition.sources.tables import read_table
+from attrition.sources.tables import read_table, save_training_table
 
 # Fixture parameters: the test data spans 30 days, so the label is taken on
 # day 24 after the first subscription (33 would make every row churned).
@@ -111,4 +116,129 @@ def relational_queries() -> dict[str, Query]:
     return q
 
 
-__all__ = ["FIXTURE", "relational_queries", "acc"]
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tt.build_training_table(sources(spark, sf_dir), FIXTURE)
+
+
+def _data(spark: SparkSession, sf_dir: str):
+    return modelling.model_data(_training(spark, sf_dir), FIXTURE)
+
+
+def q_model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.model_frame(_training(spark, sf_dir), FIXTURE.horizons)
+
+
+def q_train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _data(spark, sf_dir).frame
+
+
+def q_balanced_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _data(spark, sf_dir).train
+
+
+def q_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.class_counts(_data(spark, sf_dir).train)
+
+
+def q_correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.correlation_matrix(q_model_frame(spark, sf_dir))
+
+
+def q_one_hot_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _data(spark, sf_dir)
+    frames = []
+    for h in FIXTURE.horizons:
+        enc = encode.fit_encoder(data.train.where(F.col(HORIZON_COL) == h))
+        test = enc.transform(data.test.where(F.col(HORIZON_COL) == h))
+        frames.append(
+            encode.explode_features(test.withColumnRenamed(HORIZON_COL, "horizon"), ["horizon", "student_id"])
+        )
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.rule_predictions(_data(spark, sf_dir).test)
+
+
+def q_rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule_predictions(spark, sf_dir)
+
+
+def q_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion_long(_rule_predictions(spark, sf_dir))
+
+
+def q_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.model_metrics(_rule_predictions(spark, sf_dir), compat=True)
+
+
+def q_metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.metrics_table(_rule_predictions(spark, sf_dir), FIXTURE.horizons, list(scoring.RULES), compat=True)
+
+
+def q_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.threshold_metrics(_rule_predictions(spark, sf_dir), FIXTURE.thresholds)
+
+
+def q_threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pred = _rule_predictions(spark, sf_dir).where(F.col("model") == "score_recency")
+    return evaluate.threshold_table(pred, FIXTURE.horizons, FIXTURE.thresholds)
+
+
+def q_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.roc_auc(_rule_predictions(spark, sf_dir))
+
+
+def _fit_query(model_name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = _data(spark, sf_dir)
+        fitted = models.fit_all(data.train, FIXTURE.horizons, (model_name,))
+        return models.predictions(fitted, data.test)
+
+    run.__name__ = f"q_fit_{model_name}"
+    return run
+
+
+def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _data(spark, sf_dir)
+    fitted = models.fit_all(data.train, FIXTURE.horizons, ("gradient_boosting",))
+    return models.feature_importance(fitted, data.train)
+
+
+def q_save_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"churn_training_{uuid.uuid4().hex[:8]}"
+    save_training_table(_training(spark, sf_dir), name, merge_schema=True, path=scratch_path(spark, name))
+    return spark.table(name)
+
+
+def model_queries() -> dict[str, Query]:
+    return {
+        "model_frame": q_model_frame,
+        "train_test_split": q_train_test_split,
+        "balanced_train": q_balanced_train,
+        "class_counts": q_class_counts,
+        "correlation_matrix": q_correlation_matrix,
+        "one_hot_encoded": q_one_hot_encoded,
+        "rule_predictions": q_rule_predictions,
+        "confusion_matrix": q_confusion_matrix,
+        "model_metrics": q_model_metrics,
+        "metrics_table": q_metrics_table,
+        "threshold_sweep": q_threshold_sweep,
+        "threshold_table": q_threshold_table,
+        "roc_auc": q_roc_auc,
+        "fit_logistic": _fit_query("logistic_regression"),
+        "fit_tree": _fit_query("decision_tree"),
+        "fit_gbt": _fit_query("gradient_boosting"),
+        "feature_importance": q_feature_importance,
+        "save_reload": q_save_reload,
+    }
+
+
+def all_queries() -> dict[str, Query]:
+    return {**relational_queries(), **model_queries()}
+
+
+__all__ = ["FIXTURE", "relational_queries", "model_queries", "all_queries", "acc"]

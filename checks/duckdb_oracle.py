@@ -292,3 +292,215 @@ def relational_sql() -> dict[str, str]:
     q["training_table"] = with_roles("SELECT * FROM training")
     q["training_table_interval"] = q["training_table"]
     return q
+
+
+# ---------------------------------------------------------------------------
+# Modelling side: model frame, split, balance, rule scores, metrics.
+
+NUMERIC = [
+    "student_age", "n_days_since_last_confirmed_lesson", "num_confirmed_lessons_during_sub", "hours",
+    "gmv_proceeds_usd", "avg_lesson_rating", "sum_pages_viewed_all", "avg_pages_viewed_all", "days_with_session",
+    "sum_session_duration_all", "avg_session_duration_all", "sum_page_viewed_app", "avg_page_viewed_app",
+    "sum_session_duration_app", "avg_session_duration_app", "sum_page_viewed_non_app", "avg_page_viewed_non_app",
+    "sum_session_duration_non_app", "avg_session_duration_non_app", "days_since_last_session",
+    "student_messages_sent", "tutor_messages_sent", "num_search_page_views", "num_impressions",
+]
+CATEGORICAL = ["subject", "country_code", "focus_countries", "region", "language_version"]
+MODEL_ORDER = [
+    "student_age", "days_since_first_sub_payment", "n_days_since_last_confirmed_lesson",
+    "num_confirmed_lessons_during_sub", "hours", "subject", "gmv_proceeds_usd", "avg_lesson_rating",
+    "sum_pages_viewed_all", "avg_pages_viewed_all", "days_with_session", "sum_session_duration_all",
+    "avg_session_duration_all", "sum_page_viewed_app", "avg_page_viewed_app", "sum_session_duration_app",
+    "avg_session_duration_app", "sum_page_viewed_non_app", "avg_page_viewed_non_app",
+    "sum_session_duration_non_app", "avg_session_duration_non_app", "days_since_last_session",
+    "student_messages_sent", "tutor_messages_sent", "country_code", "focus_countries", "region",
+    "language_version", "num_search_page_views", "num_impressions",
+]
+RULES = {
+    "score_recency": (30, {"days_since_last_session": 3, "n_days_since_last_confirmed_lesson": 2,
+                           "num_confirmed_lessons_during_sub": -4}),
+    "score_engagement": (70, {"days_with_session": -2, "student_messages_sent": -3, "num_search_page_views": -1,
+                              "days_since_first_sub_payment": 1}),
+}
+
+
+def _model_select() -> str:
+    cols = []
+    for c in MODEL_ORDER:
+        if c in NUMERIC:
+            cols.append(f"COALESCE(CAST({c} AS DOUBLE), 0) AS {c}")
+        elif c in CATEGORICAL:
+            cols.append(f"COALESCE(CAST({c} AS VARCHAR), 'empty') AS {c}")
+        else:
+            cols.append(c)
+    return "student_id, " + ", ".join(cols) + ", churn_day_33"
+
+
+def _rule_sql(name: str) -> str:
+    bias, weights = RULES[name]
+    s = f"CAST({bias} AS DOUBLE)" + "".join(f" + ({w}) * CAST({c} AS DOUBLE)" for c, w in weights.items())
+    return (
+        f"SELECT days_since_first_sub_payment AS horizon, '{name}' AS model, student_id, churn_day_33 AS label, "
+        f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, {s})) / 100.0::DOUBLE AS p_churn FROM test_rows"
+    )
+
+
+MODEL = """,
+model_rows AS (
+    SELECT {model_select} FROM training
+    WHERE subscription_active_day IS TRUE AND days_since_first_sub_payment IN (7, 14, 21)
+),
+split AS (
+    SELECT *, (CAST('0x' || substr(md5('123:' || CAST(student_id AS VARCHAR)), 1, 7) AS BIGINT) % 100 < 33) AS is_test
+    FROM model_rows
+),
+train_rows AS (SELECT * FROM split WHERE NOT is_test),
+test_rows AS (SELECT * FROM split WHERE is_test),
+class_keep AS (
+    SELECT days_since_first_sub_payment AS h,
+           least(sum(CASE WHEN churn_day_33 THEN 1 ELSE 0 END), sum(CASE WHEN NOT churn_day_33 THEN 1 ELSE 0 END)) AS keep
+    FROM train_rows GROUP BY 1
+),
+negatives AS (
+    SELECT t.*, row_number() OVER (
+        PARTITION BY days_since_first_sub_payment
+        ORDER BY md5('123:' || CAST(days_since_first_sub_payment AS VARCHAR) || ':' || CAST(student_id AS VARCHAR)), student_id
+    ) AS rn
+    FROM train_rows t WHERE NOT churn_day_33
+),
+balanced AS (
+    SELECT * FROM train_rows WHERE churn_day_33
+    UNION ALL
+    SELECT n.* EXCLUDE (rn) FROM negatives n JOIN class_keep c ON n.days_since_first_sub_payment = c.h WHERE n.rn <= c.keep
+),
+scored AS ({rules}),
+predictions AS (SELECT horizon, model, student_id, label, p_churn >= 0.5::DOUBLE AS prediction, p_churn FROM scored),
+counts AS (
+    SELECT horizon, model,
+           CAST(sum(CASE WHEN NOT label AND NOT prediction THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+           CAST(sum(CASE WHEN NOT label AND prediction THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+           CAST(sum(CASE WHEN label AND NOT prediction THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+           CAST(sum(CASE WHEN label AND prediction THEN 1 ELSE 0 END) AS BIGINT) AS tp
+    FROM predictions GROUP BY 1, 2
+),
+metrics AS (
+    SELECT horizon, model,
+           COALESCE(CAST(tp AS DOUBLE) / NULLIF(CAST(tp + fp AS DOUBLE), 0), 0.0::DOUBLE) AS precision,
+           COALESCE(CAST(tp AS DOUBLE) / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0.0::DOUBLE) AS recall,
+           (CAST(tp AS DOUBLE) / NULLIF(CAST(tp + fn AS DOUBLE), 0)
+            + CAST(tn AS DOUBLE) / NULLIF(CAST(tn + fp AS DOUBLE), 0)) / 2.0::DOUBLE AS roc_auc,
+           COALESCE(CAST(tp AS DOUBLE) / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0.0::DOUBLE) AS ref_precision_score,
+           COALESCE(CAST(tp AS DOUBLE) / NULLIF(CAST(tp + fp AS DOUBLE), 0), 0.0::DOUBLE) AS ref_recall_score,
+           (CAST(tp AS DOUBLE) / NULLIF(CAST(tp + fp AS DOUBLE), 0)
+            + CAST(tn AS DOUBLE) / NULLIF(CAST(tn + fn AS DOUBLE), 0)) / 2.0::DOUBLE AS ref_roc_auc_score
+    FROM counts
+),
+thr AS (SELECT * FROM (VALUES {thresholds}) t(threshold)),
+thr_counts AS (
+    SELECT p.horizon, p.model, t.threshold,
+           sum(CASE WHEN p.label THEN 1 ELSE 0 END) AS pos,
+           sum(CASE WHEN p.label AND p.p_churn >= t.threshold THEN 1 ELSE 0 END) AS tp,
+           sum(CASE WHEN p.p_churn >= t.threshold THEN 1 ELSE 0 END) AS flagged
+    FROM predictions p CROSS JOIN thr t GROUP BY 1, 2, 3
+),
+thr_metrics AS (
+    SELECT horizon, model, threshold,
+           COALESCE(CAST(tp AS DOUBLE) / NULLIF(CAST(pos AS DOUBLE), 0), 0.0::DOUBLE) AS recall,
+           COALESCE(CAST(tp AS DOUBLE) / NULLIF(CAST(flagged AS DOUBLE), 0), 0.0::DOUBLE) AS precision
+    FROM thr_counts
+)"""
+
+
+def with_model(body: str, label_day: int = FIXTURE_LABEL_DAY, extra_cte: str = "") -> str:
+    model = MODEL.format(
+        model_select=_model_select(),
+        rules=" UNION ALL ".join(_rule_sql(n) for n in RULES),
+        thresholds=", ".join(f"({float(t)}::DOUBLE)" for t in THRESHOLDS),
+    )
+    extra = f",\n{extra_cte}" if extra_cte else ""
+    return f"WITH {ROLES},{FEATURES.format(label_day=label_day)}{model}{extra}\n{body}"
+
+
+def _pivot(source: str, value: str, columns: list[str], label_expr: str) -> str:
+    sel = ", ".join(f'max(CASE WHEN col = \'{c}\' THEN {value} END) AS "{c}"' for c in columns)
+    return f"SELECT metric, {sel} FROM (SELECT *, {label_expr} AS col FROM {source}) GROUP BY metric"
+
+
+def _corr_sql() -> str:
+    cols = [c for c in MODEL_ORDER if c not in CATEGORICAL] + ["churn_day_33"]
+    sel = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    return (
+        f"SELECT a.feature AS feature_a, b.feature AS feature_b, "
+        f"CASE WHEN isnan(corr(a.v, b.v)) THEN NULL ELSE round(corr(a.v, b.v), 6) END AS corr "
+        f"FROM long_rows a JOIN long_rows b ON a.sid = b.sid AND a.h = b.h GROUP BY 1, 2"
+    ), (
+        f"long_rows AS (UNPIVOT (SELECT student_id AS sid, days_since_first_sub_payment AS h, {sel} FROM model_rows) "
+        f"ON COLUMNS(* EXCLUDE (sid, h)) INTO NAME feature VALUE v)"
+    )
+
+
+def _one_hot_sql() -> str:
+    cats = " UNION ALL ".join(
+        f"SELECT DISTINCT days_since_first_sub_payment AS h, '{c}' AS col, {c} AS val FROM balanced" for c in CATEGORICAL
+    )
+    match = " OR ".join(f"(c.col = '{c}' AND t.{c} = c.val)" for c in CATEGORICAL)
+    rest = [c for c in MODEL_ORDER if c not in CATEGORICAL]
+    sel = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in rest)
+    return (
+        f"SELECT t.days_since_first_sub_payment AS horizon, t.student_id, c.col || '=' || c.val AS feature, "
+        f"1.0::DOUBLE AS value FROM test_rows t JOIN ({cats}) c ON c.h = t.days_since_first_sub_payment AND ({match}) "
+        f"UNION ALL SELECT horizon, student_id, feature, value FROM (UNPIVOT (SELECT days_since_first_sub_payment "
+        f"AS horizon, student_id, {sel} FROM test_rows) ON COLUMNS(* EXCLUDE (horizon, student_id)) INTO NAME feature "
+        f"VALUE value) WHERE value <> 0"
+    )
+
+
+def model_sql() -> dict[str, str]:
+    horizons = (7, 14, 21)
+    q: dict[str, str] = {}
+    q["model_frame"] = with_model("SELECT * FROM model_rows")
+    q["train_test_split"] = with_model("SELECT * FROM split")
+    q["balanced_train"] = with_model("SELECT * FROM balanced")
+    q["class_counts"] = with_model(
+        "SELECT days_since_first_sub_payment, CAST(sum(CASE WHEN churn_day_33 THEN 1 ELSE 0 END) AS BIGINT) AS n_pos, "
+        "CAST(sum(CASE WHEN NOT churn_day_33 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg FROM balanced GROUP BY 1"
+    )
+    body, cte = _corr_sql()
+    q["correlation_matrix"] = with_model(body, extra_cte=cte)
+    q["one_hot_encoded"] = with_model(_one_hot_sql())
+    q["rule_predictions"] = with_model("SELECT * FROM predictions")
+    q["confusion_matrix"] = with_model(
+        "SELECT horizon, model, a AS actual, p AS predicted, n FROM counts, LATERAL (VALUES "
+        "(false, false, tn), (false, true, fp), (true, false, fn), (true, true, tp)) v(a, p, n)"
+    )
+    q["model_metrics"] = with_model("SELECT * FROM metrics")
+    ref = {"ref_precision_score": "precision_score", "ref_recall_score": "recall_score",
+           "ref_roc_auc_score": "roc_auc_score"}
+    long_ref = " UNION ALL ".join(
+        f"SELECT horizon, model, '{new}' AS metric, {old} AS value FROM metrics" for old, new in ref.items()
+    )
+    cols = [f"{m}_{h}" for h in horizons for m in RULES]
+    q["metrics_table"] = with_model(_pivot(f"({long_ref})", "value", cols, "model || '_' || CAST(horizon AS VARCHAR)"))
+    q["threshold_sweep"] = with_model("SELECT horizon, model, threshold, recall, precision FROM thr_metrics")
+    tcols = [f"{int(round(t * 100))}_thr_{h}" for h in horizons for t in THRESHOLDS]
+    long_thr = (
+        "(SELECT horizon, threshold, 'Recall' AS metric, recall AS value FROM thr_metrics WHERE model = 'score_recency' "
+        "UNION ALL SELECT horizon, threshold, 'Precision' AS metric, precision AS value FROM thr_metrics "
+        "WHERE model = 'score_recency')"
+    )
+    q["threshold_table"] = with_model(
+        _pivot(long_thr, "value", tcols, "CAST(CAST(round(threshold * 100) AS INTEGER) AS VARCHAR) || '_thr_' || CAST(horizon AS VARCHAR)")
+    )
+    q["roc_auc"] = with_model(
+        "SELECT horizon, model, CAST(u2 - p * (p + 1) AS DOUBLE) / NULLIF(CAST(2 * p * (total - p) AS DOUBLE), 0) AS roc_auc "
+        "FROM (SELECT horizon, model, sum(pos * (lo + hi)) AS u2, sum(pos) AS p, sum(n) AS total FROM ("
+        "SELECT horizon, model, p_churn, min(rn) AS lo, max(rn) AS hi, sum(CASE WHEN label THEN 1 ELSE 0 END) AS pos, "
+        "count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY horizon, model ORDER BY p_churn) AS rn "
+        "FROM predictions) GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+    )
+    q["save_reload"] = with_roles("SELECT * FROM training")
+    return q
+
+
+def all_sql() -> dict[str, str]:
+    return {**relational_sql(), **model_sql()}
