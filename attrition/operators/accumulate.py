@@ -40,14 +40,26 @@ GROUP_COLUMNS = {
     "search": SEARCH_COLUMNS,
 }
 
-_by_student = Window.partitionBy("student_id").orderBy(DAY)
-RUNNING = _by_student.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-SAME_DAY = _by_student.rangeBetween(Window.currentRow, Window.currentRow)
-WHOLE = _by_student.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def _frame(lo: int, hi: int):
+    """Frames over one student's rows ordered by day (built lazily: a window
+    spec needs an active session)."""
+    return Window.partitionBy("student_id").orderBy(DAY).rangeBetween(lo, hi)
+
+
+def running():
+    return _frame(Window.unboundedPreceding, Window.currentRow)
+
+
+def same_day():
+    return _frame(Window.currentRow, Window.currentRow)
+
+
+def whole():
+    return _frame(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def _run_sum(c: str) -> Column:
-    return F.sum(c).over(RUNNING)
+    return F.sum(c).over(running())
 
 
 def _count0(c: str) -> Column:
@@ -61,7 +73,7 @@ def _avg(prefix: str) -> Column:
 def _group_exprs(group: str) -> list[Column]:
     date = F.col("date_dt")
     if group == "sessions":
-        last = F.max(F.when(F.col("ses_day") == 1, F.col(DAY))).over(RUNNING)
+        last = F.max(F.when(F.col("ses_day") == 1, F.col(DAY))).over(running())
         return [
             _run_sum("ses_pages_sum").alias("sum_pages_viewed_all"),
             _avg("ses_pages").alias("avg_pages_viewed_all"),
@@ -79,7 +91,7 @@ def _group_exprs(group: str) -> list[Column]:
             F.datediff(date, last).alias("days_since_last_session"),
         ]
     if group == "lessons":
-        last = F.max(F.when(F.col("les_day") == 1, F.col(DAY))).over(RUNNING)
+        last = F.max(F.when(F.col("les_day") == 1, F.col(DAY))).over(running())
         return [
             last.alias("last_confirmed_lesson_date"),
             F.datediff(date, last).alias("n_days_since_last_confirmed_lesson"),
@@ -94,11 +106,11 @@ def _group_exprs(group: str) -> list[Column]:
         return [_count0("src_views").alias("num_search_page_views"), _count0("src_impressions").alias("num_impressions")]
     if group == "status":
         return [
-            F.bool_and("sta_all").over(SAME_DAY).alias("subscription_active_day"),
-            churn_from_active(F.bool_or("sta_d33").over(WHOLE)).alias("churn_day_33"),
+            F.bool_and("sta_all").over(same_day()).alias("subscription_active_day"),
+            churn_from_active(F.bool_or("sta_d33").over(whole())).alias("churn_day_33"),
         ]
     if group == "payment":
-        pay = F.max("pay_first").over(WHOLE)
+        pay = F.max("pay_first").over(whole())
         return [pay["hours"].alias("hours"), pay["subject"].alias("subject"), pay["gmv_proceeds_usd"].alias("gmv_proceeds_usd")]
     raise ValueError(f"unknown feature group {group!r}")
 

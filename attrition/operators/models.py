@@ -45,7 +45,6 @@ def estimator(name: str, horizon: int, n_train: int):
             regParam=1.0 / max(n_train, 1),
             elasticNetParam=0.0,
             standardization=False,
-            tol=1e-8,
         )
     if name == "decision_tree":
         return DecisionTreeClassifier(
@@ -68,12 +67,27 @@ def _with_target(df: DataFrame) -> DataFrame:
     return df.withColumn(TARGET, F.col(LABEL).cast("double"))
 
 
-def fit_horizon(train: DataFrame, horizon: int, models: Sequence[str] = MODEL_NAMES) -> dict[str, PipelineModel]:
+# Rows per partition of a fitting set. Iterative learners run one job per
+# iteration (per tree level for trees); with few rows, task overhead dominates,
+# so the partition count follows the row count instead of the shuffle setting.
+ROWS_PER_FIT_PARTITION = 250_000
+
+
+def fit_partitions(n_rows: int) -> int:
+    return max(1, -(-n_rows // ROWS_PER_FIT_PARTITION))
+
+
+def fit_horizon(
+    train: DataFrame, horizon: int, models: Sequence[str] = MODEL_NAMES, n_rows: int | None = None
+) -> dict[str, PipelineModel]:
     """One encoder fitted on the balanced rows, then each model on its output."""
     enc = fit_encoder(train)
-    encoded = _with_target(enc.transform(train)).select(FEATURES, TARGET).persist()
+    n = n_rows if n_rows is not None else train.count()
+    encoded = (
+        _with_target(enc.transform(train)).select(FEATURES, TARGET).repartition(fit_partitions(n)).persist()
+    )
     try:
-        n = encoded.count()
+        encoded.count()
         fitted = {}
         for name in models:
             est_model = estimator(name, horizon, n).fit(encoded)
@@ -90,15 +104,28 @@ def fit_all(
     parallel: bool = True,
 ) -> dict[int, dict[str, PipelineModel]]:
     """Fit every horizon; horizons run as concurrent Spark jobs (small fits are
-    dominated by job latency, so running them side by side fills the cluster)."""
+    dominated by job latency, so running them side by side fills the cluster).
 
-    def one(h: int) -> tuple[int, dict[str, PipelineModel]]:
-        return h, fit_horizon(balanced.where(F.col(HORIZON_COL) == h), h, models)
-
-    if not parallel:
-        return dict(one(h) for h in horizons)
-    with ThreadPoolExecutor(max_workers=max(1, len(horizons))) as pool:
-        return dict(pool.map(one, horizons))
+    The balanced rows are materialised once (persisted; recomputed from
+    lineage if an executor is lost) so the horizons do not each rerun the
+    feature job; their row counts come from one small aggregate.
+    """
+    cached = balanced.persist()
+    try:
+        sizes = {
+            int(r[0]): int(r[1])
+            for r in cached.groupBy(HORIZON_COL).count().collect()  # one row per horizon
+        }
+
+        def one(h: int) -> tuple[int, dict[str, PipelineModel]]:
+            return h, fit_horizon(cached.where(F.col(HORIZON_COL) == h), h, models, sizes.get(int(h), 0))
+
+        if not parallel:
+            return dict(one(h) for h in horizons)
+        with ThreadPoolExecutor(max_workers=max(1, len(horizons))) as pool:
+            return dict(pool.map(one, horizons))
+    finally:
+        cached.unpersist()
 
 
 def predictions(fitted: dict[int, dict[str, PipelineModel]], test: DataFrame) -> DataFrame:

@@ -214,6 +214,15 @@ def q_save_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+def q_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 9 fits, scored once, as the reference's metric table (rows-only check)."""
+    return modelling.run_models(_training(spark, sf_dir), FIXTURE).reports["metrics_table"]
+
+
+def bench_queries() -> dict[str, Query]:
+    return {}
+
+
 def model_queries() -> dict[str, Query]:
     return {
         "model_frame": q_model_frame,
@@ -234,6 +243,7 @@ def model_queries() -> dict[str, Query]:
         "fit_gbt": _fit_query("gradient_boosting"),
         "feature_importance": q_feature_importance,
         "save_reload": q_save_reload,
+        "model_report": q_model_report,
     }
 
 
