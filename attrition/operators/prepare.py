@@ -82,7 +82,8 @@ def balance(
 
     Negatives are drawn without replacement in md5 order of (seed, group,
     student): exactly min(n_pos, n_neg) of them. The numbering is the
-    distributed ``exact_row_number``, so a large class never sits in one task.
+    distributed ``exact_row_number`` over md5 buckets, so a large class never
+    sits in one task.
     The count table has one row per group (the horizons), so broadcasting it
     is bounded. The reference fails when negatives are fewer than positives;
     here all negatives are kept then.
@@ -92,6 +93,10 @@ def balance(
     )
     positives = train.where(F.col(label))
     negatives = train.where(~F.col(label))
-    numbered = exact_row_number(negatives, [group_col], [sample_key(seed, group_col), F.col("student_id")], out="_rn")
+    key = sample_key(seed, group_col)
+    # 65,536 buckets from the first four hex digits of the md5 key: monotone in
+    # the key and evenly filled, so each (horizon, bucket) window is small.
+    bucket = F.conv(F.substring(key, 1, 4), 16, 10).cast("int")
+    numbered = exact_row_number(negatives, [group_col], [key, F.col("student_id")], out="_rn", bucket=bucket)
     drawn = numbered.join(F.broadcast(counts), group_col).where(F.col("_rn") <= F.col("_keep")).drop("_rn", "_keep")
     return positives.unionByName(drawn)

@@ -30,12 +30,21 @@ def exact_row_number(
     order_cols: Sequence[str | Column],
     out: str = "row_number",
     num_partitions: int | None = None,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its group by ``order_cols``.
 
     Ties in ``order_cols`` are numbered in an arbitrary order, as with
     ``row_number``; pass a unique tie-break for reproducible numbers.
+
+    ``bucket``: an integer expression that never decreases along
+    ``order_cols`` and spreads rows evenly (e.g. leading digits of a hash the
+    rows are ordered by). Rows are then numbered inside (group, bucket) and
+    shifted by the sizes of the earlier buckets; no sampling pass is needed.
+    Without it the rows are range-partitioned, which samples the input first.
     """
+    if bucket is not None:
+        return _bucketed_row_number(df, list(group_cols), list(order_cols), out, bucket)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group_cols] + [_as_col(o) for o in order_cols]
@@ -63,3 +72,25 @@ def exact_row_number(
     return joined.withColumn(out, F.col("_pos") - F.col("_first") + F.col("_before") + F.lit(1)).drop(
         "_pos", "_part", "_rpart", "_first", "_before", *[f"_r_{g}" for g in group_cols]
     )
+
+
+def _bucketed_row_number(
+    df: DataFrame, group_cols: list[str], order_cols: list[str | Column], out: str, bucket: Column
+) -> DataFrame:
+    b = df.withColumn("_bucket", bucket)
+    local = Window.partitionBy(*group_cols, "_bucket").orderBy(*[_as_col(o) for o in order_cols])
+    numbered = b.withColumn("_local", F.row_number().over(local))
+    sizes = b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
+        *[F.col(g).alias(f"_r_{g}") for g in group_cols], F.col("_bucket").alias("_rbucket"), "_before"
+    )
+    cond = reduce(
+        lambda a, c: a & c,
+        [F.col("_bucket") == F.col("_rbucket")] + [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in group_cols],
+    )
+    return (
+        numbered.join(offsets, cond, "inner")
+        .withColumn(out, F.col("_local") + F.col("_before"))
+        .drop("_bucket", "_rbucket", "_local", "_before", *[f"_r_{g}" for g in group_cols])
+    )

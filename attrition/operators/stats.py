@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -26,10 +27,16 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, digi
     A constant column has no correlation: null instead of NaN.
     """
     cols = list(columns or correlation_columns())
-    assembled = VectorAssembler(inputCols=[f"_c{i}" for i in range(len(cols))], outputCol="_v").transform(
-        df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    assembled = (
+        VectorAssembler(inputCols=[f"_c{i}" for i in range(len(cols))], outputCol="_v")
+        .transform(df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)]))
+        .select("_v")
+        .persist(StorageLevel.MEMORY_AND_DISK)  # the statistics make several passes
     )
-    matrix = Correlation.corr(assembled, "_v", "pearson").head()[0].toArray()
+    try:
+        matrix = Correlation.corr(assembled, "_v", "pearson").head()[0].toArray()
+    finally:
+        assembled.unpersist()
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

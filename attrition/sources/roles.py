@@ -8,6 +8,7 @@ derivations are written in DuckDB SQL for the oracle (``checks/duckdb_oracle``).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ EVENT_RENAMES = {"view": "search_card_viewed", "click": "search_completed"}
 
 
 def _k() -> F.Column:
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.col("k")
 
 
 def _thread_id(user: F.Column) -> F.Column:
@@ -38,7 +39,11 @@ def _tutor_id(user: F.Column) -> F.Column:
 
 def role_sources(spark: SparkSession, sf_dir: str) -> ChurnSources:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    events = read("events")
+    # Seven roles come from events; parse props once and keep the parsed rows
+    # (spilled to disk when memory is short, recomputed from the scan if lost).
+    events = read("events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     customer = read("customer")
     nation = read("nation")
     region = read("region")

@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The workload is batch only: one feature query writes a training table and one
+modelling job reads it (no watermarks, windows over event time, state or late
+data). Nothing here is built on purpose; see README "Not built".
+"""
