@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from attrition.config import THRESHOLDS
 from attrition.functions.labels import threshold_flag
 from attrition.functions.ratios import safe_ratio, zero_if_undefined
-from attrition.operators.ranking import exact_row_number
+from attrition.operators.ranking import running_sum
 
 GROUP = ["horizon", "model"]
 
@@ -160,19 +160,21 @@ def roc_auc(pred: DataFrame, group: Sequence[str] = GROUP, score: str = "p_churn
     """Area under the ROC curve of ``score`` per group, exactly (rank-sum form).
 
     AUC = (sum over churners of the mid-rank of their score - P(P+1)/2) / (P*N),
-    with tied scores sharing their mid-rank. Rows are numbered by score with
-    the distributed ``exact_row_number``; per (group, score) the smallest and
-    largest row number give the mid-rank. All sums stay integers (twice the
+    with tied scores sharing their mid-rank. Ties are collapsed first (one
+    row per group and score), then a bucketed running sum gives each score
+    its first and last rank. All sums stay integers (twice the
     mid-rank) until the final division. Null when a class is empty.
     """
-    numbered = exact_row_number(pred.select(*group, score, "label"), group, [F.col(score)], out="_rn")
-    per_score = numbered.groupBy(*group, score).agg(
-        F.min("_rn").alias("_lo"),
-        F.max("_rn").alias("_hi"),
+    per_score = pred.groupBy(*group, score).agg(
         F.sum(F.when(F.col("label"), 1).otherwise(0)).cast("bigint").alias("_pos"),
         F.count(F.lit(1)).alias("_n"),
     )
-    g = per_score.groupBy(*group).agg(
+    # Rows with a smaller score, via a running sum over the distinct scores;
+    # probabilities lie in [0, 1], so 2^20 equal-width buckets are monotone.
+    bucket = F.least(F.greatest(F.floor(F.col(score) * F.lit(1 << 20)), F.lit(0)), F.lit(1 << 20)).cast("int")
+    through = running_sum(per_score, group, [F.col(score)], F.col("_n"), "_through", bucket)
+    ranked = through.withColumn("_lo", F.col("_through") - F.col("_n") + F.lit(1)).withColumn("_hi", F.col("_through"))
+    g = ranked.groupBy(*group).agg(
         F.sum(F.col("_pos") * (F.col("_lo") + F.col("_hi"))).alias("_u2"),
         F.sum("_pos").alias("p"),
         F.sum("_n").alias("_all"),

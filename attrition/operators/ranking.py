@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrition.session import ensure_checkpoint_dir
+
 
 def _as_col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -44,15 +46,20 @@ def exact_row_number(
     Without it the rows are range-partitioned, which samples the input first.
     """
     if bucket is not None:
-        return _bucketed_row_number(df, list(group_cols), list(order_cols), out, bucket)
+        return running_sum(df, group_cols, order_cols, F.lit(1), out, bucket)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group_cols] + [_as_col(o) for o in order_cols]
+    # Positions are written once to the shared checkpoint folder: the count
+    # table and the numbered rows then read the same (partition, position)
+    # values, even if a recomputation would sample other range bounds.
+    ensure_checkpoint_dir(spark)
     ranged = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pos", F.monotonically_increasing_id())
         .withColumn("_part", F.spark_partition_id())
+        .checkpoint(eager=True)
     )
     runs = ranged.groupBy("_part", *group_cols).agg(
         F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")
@@ -74,13 +81,30 @@ def exact_row_number(
     )
 
 
-def _bucketed_row_number(
-    df: DataFrame, group_cols: list[str], order_cols: list[str | Column], out: str, bucket: Column
+def running_sum(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[str | Column],
+    weight: Column,
+    out: str,
+    bucket: Column,
 ) -> DataFrame:
-    b = df.withColumn("_bucket", bucket)
-    local = Window.partitionBy(*group_cols, "_bucket").orderBy(*[_as_col(o) for o in order_cols])
-    numbered = b.withColumn("_local", F.row_number().over(local))
-    sizes = b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    """``sum(weight) OVER (PARTITION BY g ORDER BY o ROWS UNBOUNDED PRECEDING)``
+    computed per (group, bucket) and shifted by the totals of earlier buckets.
+
+    ``bucket`` must never decrease along ``order_cols``. A task holds one
+    (group, bucket) slice; the offset table has one row per (group, bucket).
+    With weight 1 this is ``row_number``.
+    """
+    group_cols = list(group_cols)
+    b = df.withColumn("_bucket", bucket).withColumn("_w", weight)
+    local = (
+        Window.partitionBy(*group_cols, "_bucket")
+        .orderBy(*[_as_col(o) for o in order_cols])
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    numbered = b.withColumn("_local", F.sum("_w").over(local))
+    sizes = b.groupBy(*group_cols, "_bucket").agg(F.sum("_w").alias("_n"))
     earlier = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
         *[F.col(g).alias(f"_r_{g}") for g in group_cols], F.col("_bucket").alias("_rbucket"), "_before"
@@ -92,5 +116,5 @@ def _bucketed_row_number(
     return (
         numbered.join(offsets, cond, "inner")
         .withColumn(out, F.col("_local") + F.col("_before"))
-        .drop("_bucket", "_rbucket", "_local", "_before", *[f"_r_{g}" for g in group_cols])
+        .drop("_bucket", "_rbucket", "_local", "_before", "_w", *[f"_r_{g}" for g in group_cols])
     )

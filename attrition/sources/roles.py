@@ -108,7 +108,15 @@ def role_sources(spark: SparkSession, sf_dir: str) -> ChurnSources:
     )
 
     paying = orders.where(F.col("o_custkey") % NO_PAYMENT_MODULUS != 0)
-    numbered = exact_row_number(paying, ["o_custkey"], ["o_orderdate", "o_orderkey"], out="_order_no")
+    # Order number per customer by (date, key); the order date (in days) is a
+    # monotone bucket, so a customer with many orders spans many tasks.
+    numbered = exact_row_number(
+        paying,
+        ["o_custkey"],
+        ["o_orderdate", "o_orderkey"],
+        out="_order_no",
+        bucket=F.unix_date(F.to_date("o_orderdate")),
+    )
     payments = numbered.select(
         F.col("o_custkey").alias("user_id"),
         F.col("_order_no").cast("int").alias("user_subscription_package_order"),
