@@ -77,22 +77,26 @@ def fit_partitions(n_rows: int) -> int:
     return max(1, -(-n_rows // ROWS_PER_FIT_PARTITION))
 
 
+def _encode_horizon(train: DataFrame, n_rows: int) -> tuple[PipelineModel, DataFrame]:
+    """Fit the encoder on one horizon's balanced rows and keep the encoded rows."""
+    enc = fit_encoder(train)
+    encoded = (
+        _with_target(enc.transform(train)).select(FEATURES, TARGET).repartition(fit_partitions(n_rows)).persist()
+    )
+    encoded.count()
+    return enc, encoded
+
+
 def fit_horizon(
     train: DataFrame, horizon: int, models: Sequence[str] = MODEL_NAMES, n_rows: int | None = None
 ) -> dict[str, PipelineModel]:
     """One encoder fitted on the balanced rows, then each model on its output."""
-    enc = fit_encoder(train)
     n = n_rows if n_rows is not None else train.count()
-    encoded = (
-        _with_target(enc.transform(train)).select(FEATURES, TARGET).repartition(fit_partitions(n)).persist()
-    )
+    enc, encoded = _encode_horizon(train, n)
     try:
-        encoded.count()
-        fitted = {}
-        for name in models:
-            est_model = estimator(name, horizon, n).fit(encoded)
-            fitted[name] = PipelineModel(stages=[*enc.stages, est_model])
-        return fitted
+        return {
+            name: PipelineModel(stages=[*enc.stages, estimator(name, horizon, n).fit(encoded)]) for name in models
+        }
     finally:
         encoded.unpersist()
 
@@ -103,28 +107,41 @@ def fit_all(
     models: Sequence[str] = MODEL_NAMES,
     parallel: bool = True,
 ) -> dict[int, dict[str, PipelineModel]]:
-    """Fit every horizon; horizons run as concurrent Spark jobs (small fits are
-    dominated by job latency, so running them side by side fills the cluster).
+    """Fit every (horizon, model) pair.
 
     The balanced rows are materialised once (persisted; recomputed from
-    lineage if an executor is lost) so the horizons do not each rerun the
-    feature job; their row counts come from one small aggregate.
+    lineage if an executor is lost); their per-horizon sizes come from one
+    small aggregate. Each horizon's encoder is fitted once; then all pairs
+    are fitted as concurrent Spark jobs, since small iterative fits are bound
+    by job latency rather than by cluster capacity.
     """
     cached = balanced.persist()
+    encoded: dict[int, tuple[PipelineModel, DataFrame, int]] = {}
     try:
-        sizes = {
-            int(r[0]): int(r[1])
-            for r in cached.groupBy(HORIZON_COL).count().collect()  # one row per horizon
-        }
-
-        def one(h: int) -> tuple[int, dict[str, PipelineModel]]:
-            return h, fit_horizon(cached.where(F.col(HORIZON_COL) == h), h, models, sizes.get(int(h), 0))
-
-        if not parallel:
-            return dict(one(h) for h in horizons)
-        with ThreadPoolExecutor(max_workers=max(1, len(horizons))) as pool:
-            return dict(pool.map(one, horizons))
+        sizes = {int(r[0]): int(r[1]) for r in cached.groupBy(HORIZON_COL).count().collect()}  # one row per horizon
+
+        def encode(h: int):
+            n = sizes.get(int(h), 0)
+            enc, rows = _encode_horizon(cached.where(F.col(HORIZON_COL) == h), n)
+            return h, (enc, rows, n)
+
+        def fit(pair: tuple[int, str]):
+            h, name = pair
+            enc, rows, n = encoded[h]
+            return h, name, PipelineModel(stages=[*enc.stages, estimator(name, h, n).fit(rows)])
+
+        pairs = [(h, m) for h in horizons for m in models]
+        workers = max(1, len(pairs)) if parallel else 1
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            encoded.update(pool.map(encode, horizons))
+            results = list(pool.map(fit, pairs))
+        fitted: dict[int, dict[str, PipelineModel]] = {h: {} for h in horizons}
+        for h, name, model in results:
+            fitted[h][name] = model
+        return fitted
     finally:
+        for _, rows, _ in encoded.values():
+            rows.unpersist()
         cached.unpersist()
 
 

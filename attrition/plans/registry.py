@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrition.config import HORIZON_COL, SPINE_COLUMNS, ChurnConfig
-from attrition.operators import accumulate as acc
 from attrition.operators import encode, evaluate, models, prepare, scoring, stats
 from attrition.plans import modelling
 from attrition.operators.spine import build_spine
@@ -121,7 +120,9 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _data(spark: SparkSession, sf_dir: str):
-    return modelling.model_data(_training(spark, sf_dir), FIXTURE)
+    # The model frame is checkpointed to the shared folder: split, balance,
+    # encoder fits and reports then read it instead of rerunning the feature job.
+    return modelling.model_data(_training(spark, sf_dir), FIXTURE, checkpoint=True)
 
 
 def q_model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,10 +220,6 @@ def q_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modelling.run_models(_training(spark, sf_dir), FIXTURE).reports["metrics_table"]
 
 
-def bench_queries() -> dict[str, Query]:
-    return {}
-
-
 def model_queries() -> dict[str, Query]:
     return {
         "model_frame": q_model_frame,
@@ -251,4 +248,4 @@ def all_queries() -> dict[str, Query]:
     return {**relational_queries(), **model_queries()}
 
 
-__all__ = ["FIXTURE", "relational_queries", "model_queries", "all_queries", "acc"]
+__all__ = ["FIXTURE", "relational_queries", "model_queries", "all_queries"]

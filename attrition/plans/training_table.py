@@ -11,6 +11,7 @@ from attrition.config import TRAINING_COLUMNS, ChurnConfig
 from attrition.operators import accumulate as acc
 from attrition.operators import facts, interval
 from attrition.operators.spine import eligible_students, single_sub_cohort, spine_from_students
+from attrition.session import ensure_checkpoint_dir
 from attrition.sources.bundle import ChurnSources
 
 
@@ -20,8 +21,19 @@ class CohortFrames:
     bounds: DataFrame  # one row per cohort student: student_id, first_sub_payment_date
 
 
-def cohort_frames(src: ChurnSources, cfg: ChurnConfig = ChurnConfig()) -> CohortFrames:
+def cohort_frames(src: ChurnSources, cfg: ChurnConfig = ChurnConfig(), materialize: bool = True) -> CohortFrames:
+    """Cohort students (one row each), their spine and window bounds.
+
+    The cohort feeds three branches (spine rows, the fact window bound and the
+    lesson-id window bound), and differently pruned copies of a subplan do not
+    share exchanges. With ``materialize`` it is checkpointed once to the shared
+    checkpoint folder: computed once, lineage cut, and its real size known to
+    AQE for the join strategy. It is one row per cohort student.
+    """
     cohort = single_sub_cohort(eligible_students(src.dim_student), src.subscription_logs, cfg.label_day)
+    if materialize:
+        ensure_checkpoint_dir(cohort.sparkSession)
+        cohort = cohort.checkpoint(eager=True)
     spine = spine_from_students(cohort, src.dim_date, cfg.calendar_start, cfg.as_of, cfg.label_day)
     return CohortFrames(spine=spine, bounds=cohort.select("student_id", "first_sub_payment_date"))
 

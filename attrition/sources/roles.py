@@ -75,6 +75,7 @@ def role_sources(spark: SparkSession, sf_dir: str) -> ChurnSources:
             .alias("language_version"),
             (user % STAFF_MODULUS == 0).alias("is_staff"),
         )
+        .persist(StorageLevel.MEMORY_AND_DISK)  # also feeds the log role
     )
 
     k = _k()
