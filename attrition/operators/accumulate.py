@@ -17,28 +17,12 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrition.config import (
-    LESSON_COLUMNS,
-    MESSAGE_COLUMNS,
-    PAYMENT_COLUMNS,
-    SEARCH_COLUMNS,
-    SESSION_COLUMNS,
-    SPINE_COLUMNS,
-    STATUS_COLUMNS,
-)
+from attrition.config import SPINE_COLUMNS
 from attrition.functions.labels import churn_from_active
 from attrition.functions.ratios import safe_ratio
 from attrition.operators.facts import DAY
 
 ALL_GROUPS = ("status", "lessons", "sessions", "messages", "payment", "search")
-GROUP_COLUMNS = {
-    "status": STATUS_COLUMNS,
-    "lessons": LESSON_COLUMNS,
-    "sessions": SESSION_COLUMNS,
-    "messages": MESSAGE_COLUMNS,
-    "payment": PAYMENT_COLUMNS,
-    "search": SEARCH_COLUMNS,
-}
 
 def _frame(lo: int, hi: int):
     """Frames over one student's rows ordered by day (built lazily: a window
