@@ -13,7 +13,7 @@ sta_ subscription status, pay_ first payment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,7 +86,7 @@ def lesson_daily(lessons: DataFrame) -> DataFrame:
 
 
 def lesson_ids(lessons: DataFrame) -> DataFrame:
-    """Distinct (student, lesson id, day); first days are taken after the window bound."""
+    """Distinct (student, lesson id, day)."""
     return (
         _confirmed(lessons)
         .where(F.col("id").isNotNull())
@@ -95,6 +95,28 @@ def lesson_ids(lessons: DataFrame) -> DataFrame:
     )
 
 
+def lesson_new_candidates(lessons: DataFrame, label_day: int = LABEL_DAY) -> DataFrame:
+    """Distinct lessons per (student, day), keyed by the lesson's previous day.
+
+    A lesson counts as new on day d of a student's window iff it occurs on d
+    and did not occur in [first_sub, d - 1], i.e. its previous occurrence is
+    before first_sub (or there is none). first_sub lies in [d - label_day, d]
+    for every in-window d, so a previous day older than d - label_day can be
+    clamped to d - label_day - 1 without changing the outcome. Rows are then
+    counted per (student, day, previous day): at most label_day + 2 rows per
+    student-day, however many lessons a student has, and they combine
+    map-side before the shuffle. The previous day comes from a window over
+    (student, lesson): one lesson's distinct days, bounded by the calendar.
+    """
+    ids = lesson_ids(lessons)
+    prev = F.lag(DAY).over(Window.partitionBy("student_id", "lesson_id").orderBy(DAY))
+    floor = F.date_sub(F.col(DAY), label_day + 1)
+    # greatest() skips nulls: a lesson without a previous day gets the floor,
+    # which is before first_sub as well, so it counts as new.
+    with_prev = ids.withColumn("les_prev", F.greatest(prev, floor))
+    return with_prev.groupBy("student_id", DAY, "les_prev").agg(F.count(F.lit(1)).alias("les_cand"))
+
+
 def message_daily(threads: DataFrame, messages: DataFrame) -> DataFrame:
     """Messages by the student and by the tutor, per student and day.
 
@@ -176,15 +198,10 @@ def within_window(facts: DataFrame, bounds: DataFrame, label_day: int = LABEL_DA
     j = facts.join(b, "student_id")
     day = F.col(DAY)
     keep = day.isNull() | ((day >= F.col("_fs")) & (day <= F.date_add("_fs", label_day)))
-    out = j.where(keep)
+    derived = []
     if "sta_any" in facts.columns:
-        out = out.withColumn("sta_d33", F.when(day == F.date_add("_fs", label_day), F.col("sta_any")))
-    return out.drop("_fs")
-
-
-def lesson_first_days(lesson_id_rows: DataFrame, bounds: DataFrame, label_day: int = LABEL_DAY) -> DataFrame:
-    """New distinct lessons per (student, day): each id counts on its first day in the window."""
-    firsts = within_window(lesson_id_rows, bounds, label_day).groupBy("student_id", "lesson_id").agg(
-        F.min(DAY).alias(DAY)
-    )
-    return firsts.groupBy("student_id", DAY).agg(F.count(F.lit(1)).alias("les_new"))
+        derived.append(F.when(day == F.date_add("_fs", label_day), F.col("sta_any")).alias("sta_d33"))
+    if "les_prev" in facts.columns:
+        new = F.col("les_prev").isNull() | (F.col("les_prev") < F.col("_fs"))
+        derived.append(F.when(new, F.col("les_cand")).alias("les_new"))
+    return j.where(keep).select(*[c for c in facts.columns], *derived)

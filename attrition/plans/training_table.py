@@ -47,7 +47,10 @@ def daily_facts(src: ChurnSources, group: str, cfg: ChurnConfig = ChurnConfig())
     if group == "sessions":
         return facts.session_daily(_ranged(src.sessions, "start_ts", cfg))
     if group == "lessons":
-        return facts.lesson_daily(_ranged(src.lessons, "lesson_ts", cfg))
+        lessons = _ranged(src.lessons, "lesson_ts", cfg)
+        return facts.lesson_daily(lessons).unionByName(
+            facts.lesson_new_candidates(lessons, cfg.label_day), allowMissingColumns=True
+        )
     if group == "messages":
         return facts.message_daily(src.message_threads, _ranged(src.messages, "time_posted", cfg))
     if group == "search":
@@ -68,18 +71,14 @@ def feature_frame(
 ) -> DataFrame:
     """Cumulative form: spine rows with the features of ``groups``.
 
-    All daily pre-aggregates are stacked and bounded to each student's window
-    with a single join; distinct lesson ids need their own bound before they
-    are reduced to first days.
+    All daily pre-aggregates (including the distinct-lesson candidates) are
+    stacked and bounded to each student's window with a single join, so no
+    join ever sees raw fact rows.
     """
     frames = frames or cohort_frames(src, cfg)
     daily = [daily_facts(src, g, cfg) for g in groups]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), daily)
-    parts = [facts.within_window(stacked, frames.bounds, cfg.label_day)]
-    if "lessons" in groups:
-        ids = facts.lesson_ids(_ranged(src.lessons, "lesson_ts", cfg))
-        parts.append(facts.lesson_first_days(ids, frames.bounds, cfg.label_day))
-    return acc.accumulate(frames.spine, parts, groups, key_columns)
+    return acc.accumulate(frames.spine, [facts.within_window(stacked, frames.bounds, cfg.label_day)], groups, key_columns)
 
 
 def build_training_table(
