@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attrition.config import (
     CONFIRMED_LESSON_STATUSES,
@@ -163,15 +162,6 @@ def status_daily(logs: DataFrame) -> DataFrame:
     )
 
 
-PAYMENT_TYPE = T.StructType(
-    [
-        T.StructField("hours", T.DoubleType()),
-        T.StructField("subject", T.StringType()),
-        T.StructField("gmv_proceeds_usd", T.DoubleType()),
-    ]
-)
-
-
 def payment_per_student(payments: DataFrame) -> DataFrame:
     """The first package per student; of several, the smallest (hours, subject, gmv)."""
     first = payments.where(

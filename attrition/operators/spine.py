@@ -122,16 +122,3 @@ def single_sub_cohort(spine_or_students: DataFrame, logs: DataFrame, label_day:
     return spine_or_students.join(
         users, spine_or_students["student_id"] == users["_cohort_user"], "left_semi"
     )
-
-
-def cohort_spine(
-    students: DataFrame,
-    dates: DataFrame,
-    logs: DataFrame,
-    start: str,
-    as_of: str | None = None,
-    label_day: int = LABEL_DAY,
-) -> DataFrame:
-    """C1 + C2 with the cohort filter applied to students before the days are generated."""
-    cohort = single_sub_cohort(eligible_students(students), logs, label_day)
-    return spine_from_students(cohort, dates, start, as_of, label_day)
