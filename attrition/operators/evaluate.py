@@ -42,6 +42,27 @@ def confusion_long(pred: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     return c.select(*group, F.expr(cells))
 
 
+def confusion_table(pred: DataFrame, compat: bool = False, group: Sequence[str] = GROUP) -> DataFrame:
+    """The 2x2 matrix as two rows per group: (group..., row, col_false, col_true).
+
+    Standard layout: rows are the actual class, columns the predicted one.
+    ``compat``: the reference's layout, which passes (prediction, truth) and so
+    gets rows = predicted, columns = actual, i.e. [[tn, fn], [fp, tp]] (M15).
+    """
+    c = confusion_counts(pred, group)
+    if compat:
+        cells = "stack(2, false, tn, fn, true, fp, tp) as (row, col_false, col_true)"
+    else:
+        cells = "stack(2, false, tn, fp, true, fn, tp) as (row, col_false, col_true)"
+    return c.select(*group, F.expr(cells))
+
+
+def with_threshold_flags(pred: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """The prediction frame with one flag column ``thr_<pct>`` per
+    threshold (``p_churn >= t``), as the reference's per-row lambdas."""
+    return pred.select("*", *[threshold_flag("p_churn", t).alias(f"thr_{_thr_label(t)}") for t in thresholds])
+
+
 def _standard(c: DataFrame) -> list[Column]:
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     tpr = safe_ratio(tp, tp + fn)

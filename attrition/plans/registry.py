@@ -172,6 +172,18 @@ def q_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confusion_long(_rule_predictions(spark, sf_dir))
 
 
+def q_confusion_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion_table(_rule_predictions(spark, sf_dir))
+
+
+def q_confusion_table_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion_table(_rule_predictions(spark, sf_dir), compat=True)
+
+
+def q_prediction_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.with_threshold_flags(_rule_predictions(spark, sf_dir), FIXTURE.thresholds)
+
+
 def q_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.model_metrics(_rule_predictions(spark, sf_dir), compat=True)
 
@@ -230,6 +242,9 @@ def model_queries() -> dict[str, Query]:
         "one_hot_encoded": q_one_hot_encoded,
         "rule_predictions": q_rule_predictions,
         "confusion_matrix": q_confusion_matrix,
+        "confusion_table": q_confusion_table,
+        "confusion_table_compat": q_confusion_table_compat,
+        "prediction_flags": q_prediction_flags,
         "model_metrics": q_model_metrics,
         "metrics_table": q_metrics_table,
         "threshold_sweep": q_threshold_sweep,

@@ -473,6 +473,16 @@ def model_sql() -> dict[str, str]:
         "SELECT horizon, model, a AS actual, p AS predicted, n FROM counts, LATERAL (VALUES "
         "(false, false, tn), (false, true, fp), (true, false, fn), (true, true, tp)) v(a, p, n)"
     )
+    q["confusion_table"] = with_model(
+        "SELECT horizon, model, r AS row, f AS col_false, t AS col_true FROM counts, LATERAL (VALUES "
+        "(false, tn, fp), (true, fn, tp)) v(r, f, t)"
+    )
+    q["confusion_table_compat"] = with_model(
+        "SELECT horizon, model, r AS row, f AS col_false, t AS col_true FROM counts, LATERAL (VALUES "
+        "(false, tn, fn), (true, fp, tp)) v(r, f, t)"
+    )
+    flags = ", ".join(f"p_churn >= {float(t)}::DOUBLE AS thr_{int(round(t * 100))}" for t in THRESHOLDS)
+    q["prediction_flags"] = with_model(f"SELECT *, {flags} FROM predictions")
     q["model_metrics"] = with_model("SELECT * FROM metrics")
     ref = {"ref_precision_score": "precision_score", "ref_recall_score": "recall_score",
            "ref_roc_auc_score": "roc_auc_score"}
