@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from attrition.config import ChurnConfig
 from attrition.plans.modelling import ModelRun, run_models
 from attrition.plans.training_table import build_training_table
-from attrition.session import apply_engine_conf
+from attrition.session import apply_cluster_conf, apply_engine_conf
 from attrition.sources.bundle import ChurnSources
 from attrition.sources.tables import save_training_table
 
@@ -69,6 +69,7 @@ def main(argv: list[str] | None = None) -> None:
     model.add_argument("--reports", default="churn_report")
     args = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    apply_cluster_conf(spark)
     if args.job == "prepare":
         prepare_job(spark, args.out, cfg=ChurnConfig(label_day=args.label_day, as_of=args.as_of))
     else:

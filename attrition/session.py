@@ -21,6 +21,30 @@ ENGINE_CONF = {
 }
 
 
+# Settings for the batch jobs on a cluster at the target scale (~100 TB of
+# facts). Scans split at 256 MB; shuffles start wide and AQE coalesces them to
+# ~256 MB partitions (size first, not parallelism first, on a shared cluster),
+# so a partition fits an executor's memory with room to sort. The daily
+# pre-aggregates are far smaller than the raw facts, so after the first
+# exchange most partitions are coalesced away. Skewed join partitions above
+# 5x the median and 512 MB are split.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+}
+
+
+def apply_cluster_conf(spark: SparkSession) -> None:
+    """Engine settings plus the cluster sizing above (leaves other settings alone)."""
+    apply_engine_conf(spark)
+    for key, value in CLUSTER_CONF.items():
+        spark.conf.set(key, value)
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "attrition") -> SparkSession:
     """Local session for tests and the bench; on a cluster use the cluster's own."""
     builder = (
