@@ -3,8 +3,8 @@
 prepare:  source tables -> training table (overwritten, schema merged)
 model:    training table -> 9 fitted models -> report tables
 
-    python -m attrition.plans.jobs prepare --out churn_model_d33_training_data
-    python -m attrition.plans.jobs model --training churn_model_d33_training_data --reports churn_report
+    python -m attrition.plans.jobs prepare --out churn_training_data
+    python -m attrition.plans.jobs model --training churn_training_data --reports churn_report
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from attrition.session import apply_cluster_conf, apply_engine_conf
 from attrition.sources.bundle import ChurnSources
 from attrition.sources.tables import save_training_table
 
-TRAINING_TABLE = "churn_model_d33_training_data"
+TRAINING_TABLE = "churn_training_data"
 
 
 def prepare_job(
