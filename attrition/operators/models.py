@@ -47,8 +47,17 @@ def estimator(name: str, horizon: int, n_train: int):
             standardization=False,
         )
     if name == "decision_tree":
+        # Deep tree: cache each row's node id between levels (checkpointed every
+        # 10 levels to the shared folder) instead of re-routing rows through
+        # the growing tree on every pass.
         return DecisionTreeClassifier(
-            featuresCol=FEATURES, labelCol=TARGET, maxDepth=TREE_MAX_DEPTH, maxBins=MAX_BINS, seed=SPLIT_SEED
+            featuresCol=FEATURES,
+            labelCol=TARGET,
+            maxDepth=TREE_MAX_DEPTH,
+            maxBins=MAX_BINS,
+            seed=SPLIT_SEED,
+            cacheNodeIds=True,
+            checkpointInterval=10,
         )
     if name == "gradient_boosting":
         return GBTClassifier(
