@@ -86,7 +86,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if current:
         return os.path.dirname(current.rstrip("/"))
-    local = tempfile.mkdtemp(prefix="attrition-ckpt-")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or S3)")
+    local = tempfile.mkdtemp(prefix="attrition-ckpt-")  # local mode only: driver and executors share it
     sc.setCheckpointDir(local)
     return local
 
