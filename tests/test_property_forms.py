@@ -67,3 +67,40 @@ def test_cumulative_equals_interval(spark, seed):
     cum = sorted(map(tuple, tt.build_training_table(src, CFG).collect()))
     itv = sorted(map(tuple, tt.build_training_table(src, CFG, method="interval").collect()))
     assert cum and cum == itv
+
+
+def test_hot_student_is_bounded_before_the_window(spark):
+    """One student holds about half of all facts: the forms agree, and the rows it
+    brings to the per-student window are bounded by days, not by its facts."""
+    from functools import reduce
+
+    from attrition.operators import facts
+
+    rnd = random.Random(11)
+    fs = dt.datetime(2024, 3, 2, 9, 0)
+    students = [(sid, fs, fs, "DE", "X", "EU", 1.0, "lv1", False) for sid in range(1, 31)]
+    logs = [(sid, sid * 10, fs.date() + dt.timedelta(days=k), fs, True) for sid in range(1, 31) for k in range(8)]
+    sessions, lessons = [], []
+    for sid in range(1, 31):
+        n = 3000 if sid == 1 else 100  # student 1: about half of all sessions and lessons
+        for _ in range(n):
+            sessions.append((sid, _ts(rnd, 0, 9), rnd.randint(0, 9), rnd.randint(1, 99), rnd.choice([None, "v1"])))
+        for _ in range(n // 2):
+            lessons.append((sid * 1000 + rnd.randint(0, 400), sid, _ts(rnd, 0, 9), "COMPLETED", rnd.choice([None, 4.0])))
+    tables = {
+        "dim_date": [(DAY0 + dt.timedelta(days=i),) for i in range(0, 30)],
+        "dim_student": students, "subscription_logs": logs, "sessions": sessions,
+        "message_threads": [], "messages": [], "lessons": lessons, "payments": [], "events": [],
+    }
+    src = ChurnSources(**{n: spark.createDataFrame(tables[n], SCHEMAS[n]) for n in SCHEMAS})
+    cum = sorted(map(tuple, tt.build_training_table(src, CFG).collect()))
+    itv = sorted(map(tuple, tt.build_training_table(src, CFG, method="interval").collect()))
+    assert cum and cum == itv
+
+    frames = tt.cohort_frames(src, CFG)
+    daily = [tt.daily_facts(src, g, CFG) for g in ("sessions", "lessons")]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), daily)
+    hot_rows = facts.within_window(stacked, frames.bounds, CFG.label_day).where("student_id = 1").count()
+    days = CFG.label_day + 1
+    assert hot_rows <= days * 2 + days * (CFG.label_day + 2)  # session + lesson days, lesson candidates
+    assert hot_rows < 3000 // 10
