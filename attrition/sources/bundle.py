@@ -39,6 +39,14 @@ class ChurnSources:
         names = {**DEFAULT_TABLES, **(tables or {})}
         return cls(**{f.name: read_table(spark, names[f.name]) for f in fields(cls)})
 
+    @classmethod
+    def from_source(
+        cls, spark: SparkSession, fmt: str, options: dict[str, str], tables: dict[str, str] | None = None
+    ) -> "ChurnSources":
+        """Read the sources from an external system (e.g. ``fmt="jdbc"``) through its query option."""
+        names = {**DEFAULT_TABLES, **(tables or {})}
+        return cls(**{f.name: read_table(spark, names[f.name], fmt=fmt, options=options) for f in fields(cls)})
+
     def register(self, tables: dict[str, str] | None = None) -> None:
         """Expose the bundle under the warehouse names as temp views."""
         names = {**DEFAULT_TABLES, **(tables or {})}

@@ -15,18 +15,29 @@ def read_table(
     table_name: str | None = None,
     condition: str | None = None,
     query: str | None = None,
+    fmt: str | None = None,
+    options: dict[str, str] | None = None,
 ) -> DataFrame:
     """Whole table (S1), table with a predicate (S2) or a query (S3).
 
     Argument precedence is the reference's: a ``query`` wins over the other two
     arguments. A ``condition`` without a table has nothing to read: ValueError
     (the reference would send an empty query to the warehouse).
-    The predicate is a Spark SQL expression; Catalyst pushes it into the scan.
+
+    Catalog tables (``fmt`` None): the predicate is a Spark SQL expression and
+    Catalyst pushes it into the scan; a query runs through ``spark.sql``.
+    External sources (``fmt``, e.g. "jdbc", with connection ``options``): the
+    statement goes to the source as its ``query`` option, so the predicate or
+    the whole query runs there, as in the reference.
     """
+    if table_name is None and query is None:
+        raise ValueError("read_table needs a table_name or a query")
+    if fmt is not None:
+        if query is None:
+            query = f"select * from {table_name}" + (f" WHERE {condition}" if condition is not None else "")
+        return spark.read.format(fmt).options(**(options or {})).option("query", query).load()
     if query is not None:
         return spark.sql(query)
-    if table_name is None:
-        raise ValueError("read_table needs a table_name or a query")
     df = spark.table(table_name)
     if condition is not None:
         df = df.where(F.expr(condition))

@@ -93,6 +93,37 @@ def test_read_table_precedence(spark):
         pass
 
 
+def test_read_table_sends_statement_to_external_source(spark):
+    from pyspark.sql.datasource import DataSource, DataSourceReader
+
+    class EchoReader(DataSourceReader):
+        def __init__(self, options):
+            self.options = options
+
+        def read(self, partition):
+            yield (self.options.get("query"), self.options.get("user"))
+
+    class EchoSource(DataSource):
+        @classmethod
+        def name(cls):
+            return "echo_query"
+
+        def schema(self):
+            return "query string, user string"
+
+        def reader(self, schema):
+            return EchoReader(self.options)
+
+    spark.dataSource.register(EchoSource)
+    opts = {"user": "u"}
+    whole = read_table(spark, "db.t", fmt="echo_query", options=opts).collect()[0]
+    assert (whole.query, whole.user) == ("select * from db.t", "u")
+    filtered = read_table(spark, "db.t", condition="x > 1", fmt="echo_query", options=opts).collect()[0]
+    assert filtered.query == "select * from db.t WHERE x > 1"
+    q = read_table(spark, "db.t", condition="x > 1", query="select 1", fmt="echo_query").collect()[0]
+    assert q.query == "select 1"
+
+
 def test_overwrite_merges_schema(spark):
     name = "merge_probe"
     path = scratch_path(spark, name)
