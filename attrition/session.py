@@ -69,6 +69,11 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def apply_engine_conf(spark: SparkSession) -> None:
     for key, value in ENGINE_CONF.items():
         spark.conf.set(key, value)
+    # Local mode only: Spark's default of 200 shuffle partitions is sized for
+    # a cluster; on one machine use one per core. Explicit settings are kept.
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
