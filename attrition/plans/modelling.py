@@ -41,13 +41,27 @@ class ModelRun:
     reports: dict[str, DataFrame] = field(default_factory=dict)
 
 
+REPORTS = (
+    "model_metrics",
+    "metrics_table",
+    "confusion",
+    "roc_auc",
+    "threshold_table",
+    "feature_importance",
+    "correlation",
+)
+
+
 def run_models(
     training: DataFrame,
     cfg: ChurnConfig = ChurnConfig(),
     model_names: tuple[str, ...] = models.MODEL_NAMES,
     checkpoint: bool = True,
+    reports: tuple[str, ...] = REPORTS,
 ) -> ModelRun:
-    """Fit all horizons x models, score the test rows once, build the reports."""
+    """Fit all horizons x models, score the test rows once, build the requested
+    reports (lazy DataFrames, except correlation and importances, which run
+    their small driver-side step when requested)."""
     data = model_data(training, cfg, checkpoint=checkpoint)
     train = data.train.persist()
     fitted = models.fit_all(train, cfg.horizons, model_names)
@@ -55,15 +69,20 @@ def run_models(
     if checkpoint:
         pred = pred.checkpoint(eager=True)
     train.unpersist()
-    reports = {
-        "model_metrics": evaluate.model_metrics(pred, compat=True),
-        "metrics_table": evaluate.metrics_table(pred, cfg.horizons, model_names, compat=True),
-        "confusion": evaluate.confusion_long(pred),
-        "roc_auc": evaluate.roc_auc(pred),
+    gbt = pred.where(F.col("model") == "gradient_boosting")
+    builders = {
+        "model_metrics": lambda: evaluate.model_metrics(pred, compat=True),
+        "metrics_table": lambda: evaluate.metrics_table(pred, cfg.horizons, model_names, compat=True),
+        "confusion": lambda: evaluate.confusion_long(pred),
+        "roc_auc": lambda: evaluate.roc_auc(pred),
+        "threshold_table": lambda: evaluate.threshold_table(gbt, cfg.horizons, cfg.thresholds),
+        "feature_importance": lambda: models.feature_importance(fitted, data.train),
+        "correlation": lambda: stats.correlation_matrix(data.frame),
+    }
+    needs_gbt = {"threshold_table", "feature_importance"}
+    out = {
+        name: builders[name]()
+        for name in reports
+        if name not in needs_gbt or "gradient_boosting" in model_names
     }
-    if "gradient_boosting" in model_names:
-        gbt = pred.where(F.col("model") == "gradient_boosting")
-        reports["threshold_table"] = evaluate.threshold_table(gbt, cfg.horizons, cfg.thresholds)
-        reports["feature_importance"] = models.feature_importance(fitted, data.train)
-    reports["correlation"] = stats.correlation_matrix(data.frame)
-    return ModelRun(data=data, fitted=fitted, predictions=pred, reports=reports)
+    return ModelRun(data=data, fitted=fitted, predictions=pred, reports=out)

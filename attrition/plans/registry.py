@@ -229,7 +229,7 @@ def q_save_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 9 fits, scored once, as the reference's metric table (rows-only check)."""
-    return modelling.run_models(_training(spark, sf_dir), FIXTURE).reports["metrics_table"]
+    return modelling.run_models(_training(spark, sf_dir), FIXTURE, reports=("metrics_table",)).reports["metrics_table"]
 
 
 def model_queries() -> dict[str, Query]:
