@@ -154,7 +154,7 @@ def status_daily(logs: DataFrame) -> DataFrame:
     null without non-null rows (ascending order with nulls last, first row).
     sta_any: some tutoring active that day (decides the label).
     """
-    return logs.groupBy(
+    return logs.where(F.col("subscription_log_date").isNotNull()).groupBy(
         F.col("user_id").alias("student_id"), F.col("subscription_log_date").cast("date").alias(DAY)
     ).agg(
         F.bool_and("subscription_active_day").alias("sta_all"),
