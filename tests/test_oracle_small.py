@@ -5,11 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from attrition.plans.registry import all_queries
 from checks.compare import _rows, duck_connection
+from checks.duckdb_oracle import all_sql
 from tests.conftest import SF_SMALL
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+SQL = all_sql()
+QUERIES = all_queries()
 
 
 @pytest.fixture(scope="module")
