@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "substrings", "simhash", "token_files")
+MODULES = ("bpe", "substrings", "simhash", "token_files", "language", "lm")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
