@@ -93,19 +93,22 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     fp, bit = F.col("fp"), F.col("bit")
     variants = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
     variants = variants.select("fp", F.explode(F.array(_signature(fp, 0, bit), _signature(fp, 1, bit))).alias("sig"))
-    counts = variants.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    counts = materialize(counts, "signature-counts")
-    shared = materialize(variants.join(counts, "sig"), "signatures")
+    # Most shared signatures have two members, which the aggregate itself returns;
+    # only the variants of larger ones are looked up again.
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS
+    counts = variants.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    counts = materialize(counts.where("members > 1"), "signature-counts")
+    twos = counts.where((F.col("members") == 2) & near).select("a", "b")
+    shared = materialize(variants.join(counts.where("members > 2").select("sig", "members"), "sig"), "signatures")
     few = shared.where(F.col("members") <= hot)
     left = few.select("sig", F.col("fp").alias("a"))
     right = few.select(F.col("sig").alias("sig_b"), F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS
-    pairs = left.join(right, (F.col("sig") == F.col("sig_b")) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    pairs = left.join(right, (F.col("sig") == F.col("sig_b")) & (F.col("a") < F.col("b")) & near).select("a", "b").unionAll(twos)
 
     # Hot signatures: delete a second bit. With the first deleted bit in one half,
     # the second lies in the other half; pairs whose first half is equal may
     # differ in two bits of the other, and are taken up where bit 0 is deleted.
-    many = shared.where(F.col("members") > hot)
+    many = shared.where(F.col("members") > max(hot, 2))
     first = F.shiftrightunsigned(F.col("sig"), 32).cast("int")
     half, bit = F.shiftright(first, 6), first.bitwiseAND(F.lit(31))
     own = (half * F.lit(32) + bit).alias("own")
