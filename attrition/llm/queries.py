@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "substrings", "simhash", "token_files", "language", "lm")
+MODULES = ("bpe", "substrings", "simhash", "token_files", "language", "sharding", "lm", "warc")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
