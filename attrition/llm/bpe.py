@@ -368,9 +368,10 @@ def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id"
     return picked.mapInArrow(run, f"id {kind}, payload binary").withColumnRenamed("id", id_col)
 
 
-def encode_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Per document: number of ids, SHA-256 of the ids (little-endian uint32) and
-    of the bytes they decode to."""
+    of the bytes they decode to; ``with_ids`` adds the ids themselves."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,19 +383,19 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             at = np.concatenate([[0], np.cumsum(codec.token_len[ids])])[off]
             spans = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
             bytes_at = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array(np.diff(off), pa.int64()),
-                    pa.array([hashlib.sha256(words[x:y]).hexdigest() for x, y in spans], pa.string()),
-                    pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in bytes_at], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [
+                b.column(0),
+                pa.array(np.diff(off), pa.int64()),
+                pa.array([hashlib.sha256(words[x:y]).hexdigest() for x, y in spans], pa.string()),
+                pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in bytes_at], pa.string()),
+            ]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     picked = docs.select("doc_id", "text")
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return picked.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def default_vocabulary() -> tuple[str, str]:

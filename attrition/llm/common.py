@@ -26,6 +26,8 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SPACE_BYTES)] = False
+_IS_PLAIN = _IS_WORD.copy()
+_IS_PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = False  # ASCII punctuation
 _BYTE_VALUES = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) * _U64(2) + _U64(1)
 _LOWER_VALUES = _BYTE_VALUES.copy()
 _LOWER_VALUES[65:91] = _BYTE_VALUES[97:123]  # A-Z hash like a-z
@@ -137,19 +139,21 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bufs[2], np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of consecutive documents with their hashes (``lower``: A-Z as a-z)."""
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False) -> Words:
+    """Words of consecutive documents with their hashes (``lower``: A-Z as a-z;
+    ``plain``: ASCII punctuation parts words as white space does)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return Words(data, z, z, np.zeros(0, _U64), np.zeros(len(offsets), np.int64))
-    word = _IS_WORD[data]
+    inside = _IS_PLAIN if plain else _IS_WORD
+    word = inside[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = word.copy()
     starts[1:] &= ~word[:-1] | edge[1:n]
     ends = word
-    ends[:-1] &= ~_IS_WORD[data[1:]] | edge[1:n]
+    ends[:-1] &= ~inside[data[1:]] | edge[1:n]
     s = np.flatnonzero(starts)
     e = np.flatnonzero(ends) + 1
     up, down = _POWERS.take(n + 1)

@@ -16,8 +16,8 @@ their members are indexed again with a second bit deleted. Members that agree
 on the remaining 62 bits differ in at most two, so each such set is linked as a
 star to its smallest member. That is exact for any size.
 
-Components of the links come from star contraction (``components``), with the
-smallest document id of each fingerprint as its node.
+Components of the links between fingerprints come from star contraction
+(``components``); a component is named by the smallest id of its documents.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; fewer words than a shingle make one shingle of the whole sequence.
@@ -66,15 +66,20 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the 64-bit fingerprint of every whole text, as a signed long."""
+    """(id, mark, fp): the 64-bit fingerprint of every whole text as a signed long,
+    and a hash of the text that tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", BATCH_BYTES):
-            fps = [fingerprint((t or "").encode().lower().split(), shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
+            fps = [fingerprint((t or "").encode().lower().split(), shingle) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "mark", "fp"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, fp long")
+    picked = docs.select(F.col(id_col).alias("id"), text_mark(text_col).alias("mark"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, mark long, fp long")
+
+
+def text_mark(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _signature(fp: Column, half: int, bit: Column) -> Column:
@@ -131,20 +136,33 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(id, fp, component) for every row of ``docs``."""
+    """(id, mark, fp, root, component) for every row of ``docs``: its component's
+    smallest fingerprint and smallest id."""
     fps = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     first = fps.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("first"))
     first = materialize(first, "distinct-fingerprints")
-    pairs = links(first.select("fp"), hot)
-    a = first.select(F.col("fp").alias("a"), F.col("first").alias("first_a"))
-    b = first.select(F.col("fp").alias("b"), F.col("first").alias("first_b"))
-    edges = pairs.join(a, "a").join(b, "b").select("first_a", "first_b")
-    found = components(edges)
-    named = first.join(found, F.col("first") == F.col("node"), "left").select(
-        F.col("fp").alias("of"), F.coalesce("component", "first").alias("component")
-    )
+    found = components(links(first.select("fp"), hot))
+    named = first.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    named = materialize(named, "components")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    named = named.join(least, "root").select(F.col("fp").alias("of"), "root", F.col("least").alias("component"))
     joined = fps.join(named, F.col("fp") == F.col("of"), "left")
-    return joined.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    known = F.col("id").isNotNull()
+    return joined.select("id", "mark", "fp", F.when(known, F.col("root")).alias("root"), F.when(known, F.col("component")).alias("component"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component stays: that of the smallest id, and of several rows
+    of that id the one with the smallest text hash. Rows with null id stay."""
+    found = near_duplicates(docs, shingle, id_col, text_col).where("id IS NOT NULL")
+    stay = found.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("row")).select("row.*")
+    names = docs.columns
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    marked = inner.withColumn("mark", text_mark(text))
+    one = marked.join(stay.withColumnRenamed("id", ident), [ident, "mark"]).dropDuplicates([ident, "mark"])
+    out = one.select(*inner.columns).unionAll(inner.where(F.col(ident).isNull()))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
