@@ -95,7 +95,9 @@ def test_nulls_copies_empty_table_and_clashing_names(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("edges_a_partition", [1 << 20, 7])
+def test_components_of_chains_and_stars(spark, monkeypatch, edges_a_partition):
+    monkeypatch.setattr(components, "EDGES", edges_a_partition)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (300, None)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
