@@ -13,6 +13,7 @@ def churn_from_active(active_on_label_day: str | Column) -> Column:
 
 
 def threshold_flag(probability: str | Column, threshold: float) -> Column:
-    """``p >= t`` as a never-null boolean (the reference's row lambda)."""
+    """``p >= t`` as a never-null boolean; false for null and for NaN (which Spark
+    would order above every threshold)."""
     col = F.col(probability) if isinstance(probability, str) else probability
-    return F.coalesce(col >= F.lit(float(threshold)), F.lit(False))
+    return F.coalesce(~F.isnan(col) & (col >= F.lit(float(threshold))), F.lit(False))

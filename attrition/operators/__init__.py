@@ -1,7 +1,7 @@
 """DataFrame -> DataFrame building blocks.
 
 spine       C1 spine, C2 cohort          facts       per-(student, day) pre-aggregates
-accumulate  cumulative features          interval    interval-join form, W1, C9
+accumulate  cumulative features, W1, C9
 ranking     exact row numbers/running sums without one task per group
 prepare     C10 model frame, M2 split, M3 balancing
 encode      M4/M5 encoder                models      M6-M11 fits, M20 importance

@@ -25,9 +25,9 @@ from attrition.operators.facts import DAY
 ALL_GROUPS = ("status", "lessons", "sessions", "messages", "payment", "search")
 
 def _frame(lo: int, hi: int):
-    """Frames over one student's rows ordered by day (built lazily: a window
-    spec needs an active session)."""
-    return Window.partitionBy("student_id").orderBy(DAY).rangeBetween(lo, hi)
+    """Frames over one student's rows of one first subscription, ordered by day
+    (built lazily: a window spec needs an active session)."""
+    return Window.partitionBy("student_id", "_fs").orderBy(DAY).rangeBetween(lo, hi)
 
 
 def running():
@@ -91,7 +91,7 @@ def _group_exprs(group: str) -> list[Column]:
     if group == "status":
         return [
             F.bool_and("sta_all").over(same_day()).alias("subscription_active_day"),
-            churn_from_active(F.bool_or("sta_d33").over(whole())).alias("churn_day_33"),
+            churn_from_active(F.bool_or("sta_label_day").over(whole())).alias("churn_day_33"),
         ]
     if group == "payment":
         pay = F.max("pay_first").over(whole())
@@ -112,7 +112,7 @@ def accumulate(
     then the feature columns of ``groups`` in training-table order.
     """
     keys = list(key_columns or SPINE_COLUMNS)
-    rows = spine.select(*keys, F.col("date_dt").alias(DAY), F.lit(True).alias("_spine"))
+    rows = spine.select(*keys, F.col("first_sub_payment_date").alias("_fs"), F.col("date_dt").alias(DAY), F.lit(True).alias("_spine"))
     stacked = rows
     for f in facts:
         stacked = stacked.unionByName(f, allowMissingColumns=True)

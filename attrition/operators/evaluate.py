@@ -8,6 +8,7 @@ counts; only the small report reaches the driver, when it is shown.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,7 +138,8 @@ def metrics_table(
 
 
 def _thr_label(t: float) -> str:
-    return f"{int(round(t * 100))}"
+    """The threshold in percent, in full precision (0.85 -> 85, 0.851 -> 85_1)."""
+    return f"{round(t * 100, 10):g}".replace(".", "_")
 
 
 def threshold_metrics(pred: DataFrame, thresholds: Sequence[float] = THRESHOLDS, group: Sequence[str] = GROUP) -> DataFrame:
@@ -170,13 +172,31 @@ def threshold_table(pred: DataFrame, horizons: Sequence[int], thresholds: Sequen
     long = m.unpivot(["horizon", "threshold"], ["recall", "precision"], "metric", "value").withColumn(
         "metric", F.initcap("metric")
     )
-    label = F.concat(
-        F.round(F.col("threshold") * 100).cast("int").cast("string"), F.lit("_thr_"), F.col("horizon").cast("string")
-    )
+    named = F.lit(None).cast("string")
+    for t in thresholds:
+        named = F.when(F.col("threshold") == F.lit(float(t)), F.lit(_thr_label(t))).otherwise(named)
+    label = F.concat(named, F.lit("_thr_"), F.col("horizon").cast("string"))
     columns = [f"{_thr_label(t)}_thr_{h}" for h in horizons for t in thresholds]
     return long.withColumn("column", label).groupBy("metric").pivot("column", columns).agg(F.first("value"))
 
 
+def score_bucket(score: str) -> Column:
+    """A bucket that never decreases with the score: 2^20 equal steps in [0, 1],
+    logarithmic steps outside, the infinities and NaN at the ends."""
+    s = F.col(score)
+    steps, far = 1 << 20, 1 << 40
+    log = lambda x: F.floor(F.log2(x) * F.lit(4096)).cast("long")
+    return (
+        F.when(F.isnan(s), F.lit(far + 1))
+        .when(s == F.lit(float("inf")), F.lit(far))
+        .when(s == F.lit(float("-inf")), F.lit(-far))
+        .when(s > 1, F.lit(steps + 1) + log(s))
+        .when(s < 0, F.lit(-1) - log(F.lit(1.0) - s))
+        .otherwise(F.floor(s * F.lit(steps)))
+        .cast("long")
+    )
+
+
 def roc_auc(pred: DataFrame, group: Sequence[str] = GROUP, score: str = "p_churn") -> DataFrame:
     """Area under the ROC curve of ``score`` per group, exactly (rank-sum form).
 
@@ -185,15 +205,18 @@ def roc_auc(pred: DataFrame, group: Sequence[str] = GROUP, score: str = "p_churn
     row per group and score), then a bucketed running sum gives each score
     its first and last rank. All sums stay integers (twice the
     mid-rank) until the final division. Null when a class is empty.
+
+    NaN ranks above all numbers, as Spark sorts it. Rows without a score have no
+    rank: they are left out of both classes and counted in ``n_unscored``.
     """
     per_score = pred.groupBy(*group, score).agg(
         F.sum(F.when(F.col("label"), 1).otherwise(0)).cast("bigint").alias("_pos"),
         F.count(F.lit(1)).alias("_n"),
     )
-    # Rows with a smaller score, via a running sum over the distinct scores;
-    # probabilities lie in [0, 1], so 2^20 equal-width buckets are monotone.
-    bucket = F.least(F.greatest(F.floor(F.col(score) * F.lit(1 << 20)), F.lit(0)), F.lit(1 << 20)).cast("int")
-    through = running_sum(per_score, group, [F.col(score)], F.col("_n"), "_through", bucket)
+    unscored = F.sum(F.when(F.col(score).isNull(), F.col("_n")).otherwise(0)).alias("n_unscored")
+    missing = per_score.groupBy(*group).agg(unscored)
+    # Rows with a smaller score, via a running sum over the distinct scores.
+    through = running_sum(per_score.where(F.col(score).isNotNull()), group, [F.col(score)], F.col("_n"), "_through", score_bucket(score))
     ranked = through.withColumn("_lo", F.col("_through") - F.col("_n") + F.lit(1)).withColumn("_hi", F.col("_through"))
     g = ranked.groupBy(*group).agg(
         F.sum(F.col("_pos") * (F.col("_lo") + F.col("_hi"))).alias("_u2"),
@@ -202,4 +225,6 @@ def roc_auc(pred: DataFrame, group: Sequence[str] = GROUP, score: str = "p_churn
     )
     p, n = F.col("p"), F.col("_all") - F.col("p")
     auc = F.try_divide((F.col("_u2") - p * (p + F.lit(1))).cast("double"), (F.lit(2) * p * n).cast("double"))
-    return g.select(*group, auc.alias("roc_auc"))
+    auc_rows = g.select(*[F.col(c).alias(f"_g_{c}") for c in group], auc.alias("roc_auc"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group])
+    return missing.join(auc_rows, same, "left").select(*group, "roc_auc", "n_unscored")

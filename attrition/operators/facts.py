@@ -180,7 +180,8 @@ def payment_per_student(payments: DataFrame) -> DataFrame:
 def within_window(facts: DataFrame, bounds: DataFrame, label_day: int = LABEL_DAY) -> DataFrame:
     """Keep facts dated in [first_sub, first_sub + label_day] of a cohort student.
 
-    ``bounds`` has one row per cohort student; the join is on student_id only.
+    ``bounds`` has one row per cohort student and first subscription date (ids that
+    the student table repeats may have several); the join is on student_id only.
     AQE broadcasts it when its runtime size is small and otherwise shuffles it.
     Rows without a day (per-student facts) pass.
     """
@@ -190,8 +191,8 @@ def within_window(facts: DataFrame, bounds: DataFrame, label_day: int = LABEL_DA
     keep = day.isNull() | ((day >= F.col("_fs")) & (day <= F.date_add("_fs", label_day)))
     derived = []
     if "sta_any" in facts.columns:
-        derived.append(F.when(day == F.date_add("_fs", label_day), F.col("sta_any")).alias("sta_d33"))
+        derived.append(F.when(day == F.date_add("_fs", label_day), F.col("sta_any")).alias("sta_label_day"))
     if "les_prev" in facts.columns:
         new = F.col("les_prev").isNull() | (F.col("les_prev") < F.col("_fs"))
         derived.append(F.when(new, F.col("les_cand")).alias("les_new"))
-    return j.where(keep).select(*[c for c in facts.columns], *derived)
+    return j.where(keep).select(*[c for c in facts.columns], "_fs", *derived)

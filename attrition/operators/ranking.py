@@ -92,7 +92,8 @@ def running_sum(
     """``sum(weight) OVER (PARTITION BY g ORDER BY o ROWS UNBOUNDED PRECEDING)``
     computed per (group, bucket) and shifted by the totals of earlier buckets.
 
-    ``bucket`` must never decrease along ``order_cols``. A task holds one
+    ``bucket`` must never decrease along ``order_cols``; a null bucket comes first, as
+    null order values do. A task holds one
     (group, bucket) slice; the offset table has one row per (group, bucket).
     With weight 1 this is ``row_number``.
     """
@@ -111,7 +112,7 @@ def running_sum(
     )
     cond = reduce(
         lambda a, c: a & c,
-        [F.col("_bucket") == F.col("_rbucket")] + [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in group_cols],
+        [F.col("_bucket").eqNullSafe(F.col("_rbucket"))] + [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in group_cols],
     )
     return (
         numbered.join(offsets, cond, "inner")

@@ -25,10 +25,11 @@ def calendar(dates: DataFrame, start: str, as_of: str | None) -> DataFrame:
 def eligible_students(students: DataFrame) -> DataFrame:
     """Non-staff students with a subscription, their dates and static attributes.
 
-    One row per student: should the student table repeat an id, the smallest
-    attribute tuple is kept (the reference's final QUALIFY would keep one of
-    them at random). The group-by shuffles students on student_id, which the
-    cohort semi join and the per-student window then reuse.
+    One row per student and distinct attributes. Should the student table repeat
+    an id, ``earlier`` holds the date pairs of the id's smaller attribute tuples,
+    so that the spine can take each date from the smallest tuple that has it. The
+    group-by shuffles students on student_id, which the cohort semi join and the
+    per-student window then reuse.
     """
     eligible = students.where(
         F.col("first_subscription_package_ts").isNotNull()
@@ -44,9 +45,10 @@ def eligible_students(students: DataFrame) -> DataFrame:
         F.col("projected_gross_margin_360d"),
         F.col("language_version"),
     )
-    return eligible.groupBy(F.col("id").alias("student_id")).agg(F.min(attrs).alias("_a")).select(
-        "student_id", "_a.*"
-    )
+    per_student = eligible.groupBy(F.col("id").alias("student_id")).agg(F.array_sort(F.collect_set(attrs)).alias("_all"))
+    each = per_student.select("student_id", "_all", F.posexplode("_all").alias("_i", "_a"))
+    dates = lambda a: F.struct(a["first_payment_date"].alias("p"), a["first_sub_payment_date"].alias("s"))
+    return each.select("student_id", "_a.*", F.transform(F.expr("slice(_all, 1, _i)"), dates).alias("earlier"))
 
 
 def spine_from_students(
@@ -66,6 +68,8 @@ def spine_from_students(
     lo = F.greatest("first_payment_date", "first_sub_payment_date", F.lit(start).cast("date"))
     hi = F.least(add_days("first_sub_payment_date", label_day), F.date_sub(as_of_date(as_of), 1))
     spanned = students.where(lo <= hi).withColumn("date_dt", F.explode(F.sequence(lo, hi)))
+    day = F.col("date_dt")
+    spanned = spanned.where(~F.exists("earlier", lambda e: (e["p"] <= day) & (e["s"] <= day) & (day <= F.date_add(e["s"], label_day))))
     in_calendar = spanned.join(F.broadcast(calendar(dates, start, as_of)), "date_dt", "left_semi")
     return in_calendar.select(
         "student_id",

@@ -73,16 +73,6 @@ def _group_query(group: str) -> Query:
     return run
 
 
-def _interval_query(group: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        src = sources(spark, sf_dir)
-        spine = tt.cohort_frames(src, FIXTURE).spine
-        return tt.interval_group(src, spine, group, FIXTURE)
-
-    run.__name__ = f"q_{group}_features_interval"
-    return run
-
-
 def q_status_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = sources(spark, sf_dir)
     return tt.feature_frame(src, ("status",), FIXTURE, key_columns=KEY)
@@ -92,10 +82,6 @@ def q_training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tt.build_training_table(sources(spark, sf_dir), FIXTURE)
 
 
-def q_training_table_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tt.build_training_table(sources(spark, sf_dir), FIXTURE, method="interval")
-
-
 def relational_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "read_table": q_read_table,
@@ -107,11 +93,9 @@ def relational_queries() -> dict[str, Query]:
     for g in ("session", "message", "lesson", "search"):
         group = {"session": "sessions", "message": "messages", "lesson": "lessons", "search": "search"}[g]
         q[f"{g}_features"] = _group_query(group)
-        q[f"{g}_features_interval"] = _interval_query(group)
     q["payment_features"] = _group_query("payment")
     q["status_label"] = q_status_label
     q["training_table"] = q_training_table
-    q["training_table_interval"] = q_training_table_interval
     return q
 
 
@@ -138,7 +122,7 @@ def q_balanced_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.class_counts(_data(spark, sf_dir).train)
+    return prepare.class_counts(_data(spark, sf_dir).frame.where(~F.col("is_test")))
 
 
 def q_correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

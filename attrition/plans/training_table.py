@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from attrition.config import TRAINING_COLUMNS, ChurnConfig
 from attrition.operators import accumulate as acc
-from attrition.operators import facts, interval
+from attrition.operators import facts
 from attrition.operators.spine import eligible_students, single_sub_cohort, spine_from_students
 from attrition.session import ensure_checkpoint_dir
 from attrition.sources.bundle import ChurnSources
@@ -18,7 +18,7 @@ from attrition.sources.bundle import ChurnSources
 @dataclass
 class CohortFrames:
     spine: DataFrame  # one row per (student, day) of the cohort
-    bounds: DataFrame  # one row per cohort student: student_id, first_sub_payment_date
+    bounds: DataFrame  # one row per cohort student and first_sub_payment_date
 
 
 def cohort_frames(src: ChurnSources, cfg: ChurnConfig = ChurnConfig(), materialize: bool = True) -> CohortFrames:
@@ -35,7 +35,7 @@ def cohort_frames(src: ChurnSources, cfg: ChurnConfig = ChurnConfig(), materiali
         ensure_checkpoint_dir(cohort.sparkSession)
         cohort = cohort.checkpoint(eager=True)
     spine = spine_from_students(cohort, src.dim_date, cfg.calendar_start, cfg.as_of, cfg.label_day)
-    return CohortFrames(spine=spine, bounds=cohort.select("student_id", "first_sub_payment_date"))
+    return CohortFrames(spine=spine, bounds=cohort.select("student_id", "first_sub_payment_date").distinct())
 
 
 def _ranged(df: DataFrame, col: str, cfg: ChurnConfig, extra_days: int = 0) -> DataFrame:
@@ -81,49 +81,9 @@ def feature_frame(
     return acc.accumulate(frames.spine, [facts.within_window(stacked, frames.bounds, cfg.label_day)], groups, key_columns)
 
 
-def build_training_table(
-    src: ChurnSources,
-    cfg: ChurnConfig = ChurnConfig(),
-    method: str = "cumulative",
-) -> DataFrame:
+def build_training_table(src: ChurnSources, cfg: ChurnConfig = ChurnConfig()) -> DataFrame:
     """The 38-column training table, one row per (student_id, date_dt)."""
-    if method == "cumulative":
-        return feature_frame(src, acc.ALL_GROUPS, cfg).select(*TRAINING_COLUMNS)
-    if method == "interval":
-        return build_training_table_interval(src, cfg)
-    raise ValueError(f"unknown method {method!r}")
-
-
-def interval_group(src: ChurnSources, spine: DataFrame, group: str, cfg: ChurnConfig = ChurnConfig()) -> DataFrame:
-    if group == "sessions":
-        return interval.session_features_interval(spine, src.sessions)
-    if group == "lessons":
-        return interval.lesson_features_interval(spine, src.lessons)
-    if group == "messages":
-        return interval.message_features_interval(spine, src.message_threads, src.messages)
-    if group == "search":
-        return interval.search_features_interval(spine, src.events)
-    if group == "status":
-        return interval.status_interval(spine, src.subscription_logs, cfg.label_day)
-    if group == "payment":
-        return interval.payment_features_interval(spine, src.payments)
-    raise ValueError(f"unknown feature group {group!r}")
-
-
-def build_training_table_interval(src: ChurnSources, cfg: ChurnConfig = ChurnConfig()) -> DataFrame:
-    spine = cohort_frames(src, cfg).spine
-    g = {name: interval_group(src, spine, name, cfg) for name in acc.ALL_GROUPS}
-    return interval.assemble_interval(
-        spine, g["status"], g["lessons"], g["sessions"], g["messages"], g["payment"], g["search"]
-    )
+    return feature_frame(src, acc.ALL_GROUPS, cfg).select(*TRAINING_COLUMNS)
 
 
-__all__ = [
-    "CohortFrames",
-    "cohort_frames",
-    "daily_facts",
-    "feature_frame",
-    "build_training_table",
-    "build_training_table_interval",
-    "interval_group",
-]
+__all__ = ["CohortFrames", "cohort_frames", "daily_facts", "feature_frame", "build_training_table"]

@@ -2,15 +2,25 @@
 
 The driver pre-registers the test tables as views (events, customer, nation,
 region, orders, ...). ``ROLES`` derives the nine churn sources from them with
-the same rules as ``attrition.sources.roles``; the feature SQL then follows the
-shape of the original warehouse query (cross join + interval joins + QUALIFY),
-so the Spark plan (generated spine, cumulative windows, pre-reduced fan-outs)
-is checked against an independent formulation.
+the same rules as ``attrition.sources.roles``. The features are stated on their
+own terms: a generated range of days for each student, cohort membership by the
+absence of a parallel tutoring, one ledger of all dated facts with conditional
+totals, and statuses as "all" and "any" over a day's rows.
 """
 
 from __future__ import annotations
 
-from attrition.config import THRESHOLDS
+from attrition.config import (
+    CATEGORICAL_FEATURES,
+    LESSON_COLUMNS,
+    MESSAGE_COLUMNS,
+    MODEL_COLUMNS,
+    NUMERIC_FEATURES,
+    SEARCH_COLUMNS,
+    SESSION_COLUMNS,
+    THRESHOLDS,
+    TRAINING_COLUMNS,
+)
 
 # Fixtures: the test data spans 30 days, so the label day is 24 (33 would
 # label everyone churned); horizons stay 7, 14, 21.
@@ -95,227 +105,161 @@ agg_daily_subscription_logs AS (
     LEFT JOIN dim_student s ON l.user_id = s.id
 )"""
 
+# One ledger holds every dated fact as (student, day, what, amount, item); a feature
+# is a conditional total over the ledger between the first subscription and the day.
 FEATURES = """
-calendar_days AS (
-    SELECT date_dt FROM dim_date WHERE date_dt >= DATE '2023-01-01' AND date_dt < CURRENT_DATE
+ranges AS (
+    SELECT DISTINCT id AS student_id, CAST(first_payment_ts AS DATE) AS paid,
+           CAST(first_subscription_package_ts AS DATE) AS subscribed,
+           CAST(first_subscription_package_ts AS DATE) + {label_day} AS label_date,
+           country_code, focus_countries, region, projected_gross_margin_360d, language_version
+    FROM dim_student
+    WHERE NOT is_staff AND first_payment_ts IS NOT NULL AND first_subscription_package_ts IS NOT NULL
+),
+candidates AS (
+    SELECT *, CAST(unnest(generate_series(CAST(greatest(paid, subscribed) AS TIMESTAMP), CAST(label_date AS TIMESTAMP),
+                                          INTERVAL 1 DAY)) AS DATE) AS date_dt
+    FROM ranges
 ),
-student_days AS (
-    SELECT stu.id AS student_id, cal.date_dt,
-           CAST(stu.first_payment_ts AS DATE) AS first_payment_date,
-           CAST(date_diff('day', CAST(stu.first_payment_ts AS DATE), cal.date_dt) AS INTEGER) AS student_age,
-           CAST(stu.first_subscription_package_ts AS DATE) AS first_sub_payment_date,
-           CAST(date_diff('day', CAST(stu.first_subscription_package_ts AS DATE), cal.date_dt) AS INTEGER)
-               AS days_since_first_sub_payment,
-           stu.country_code, stu.focus_countries, stu.region, stu.projected_gross_margin_360d, stu.language_version
-    FROM calendar_days cal CROSS JOIN dim_student stu
-    WHERE cal.date_dt >= CAST(stu.first_payment_ts AS DATE)
-      AND stu.first_subscription_package_ts IS NOT NULL
-      AND cal.date_dt <= CAST(stu.first_subscription_package_ts AS DATE) + {label_day}
-      AND stu.is_staff = FALSE
-      AND CAST(stu.first_subscription_package_ts AS DATE) <= cal.date_dt
+spine_days AS (
+    SELECT * FROM candidates
+    WHERE date_dt IN (SELECT date_dt FROM dim_date) AND date_dt BETWEEN DATE '2023-01-01' AND CURRENT_DATE - 1
+    QUALIFY row_number() OVER (PARTITION BY student_id, date_dt ORDER BY paid, subscribed, country_code NULLS FIRST,
+        focus_countries NULLS FIRST, region NULLS FIRST, projected_gross_margin_360d NULLS FIRST, language_version NULLS FIRST) = 1
 ),
-tutorings_per_day AS (
-    SELECT user_id, subscription_log_date, COUNT(DISTINCT tutoring_id) AS n_tutorings
+active_logs AS (
+    SELECT user_id, tutoring_id, subscription_log_date AS day
     FROM agg_daily_subscription_logs
-    WHERE subscription_log_date <= CAST(first_subscription_event_ts AS DATE) + {label_day}
-      AND subscription_active_day = TRUE
-    GROUP BY 1, 2
+    WHERE subscription_active_day AND tutoring_id IS NOT NULL
+      AND subscription_log_date - CAST(first_subscription_event_ts AS DATE) <= {label_day}
 ),
-single_tutoring_users AS (
-    SELECT user_id, MAX(n_tutorings) AS busiest_day
-    FROM tutorings_per_day GROUP BY 1 HAVING MAX(n_tutorings) = 1
+parallel_users AS (
+    SELECT x.user_id FROM active_logs x JOIN active_logs y USING (user_id, day) WHERE x.tutoring_id < y.tutoring_id
 ),
-cohort_days AS (
-    SELECT sd.* FROM student_days sd JOIN single_tutoring_users one ON sd.student_id = one.user_id
+cohort_spine AS (
+    SELECT * FROM spine_days
+    WHERE student_id IN (SELECT user_id FROM active_logs) AND student_id NOT IN (SELECT user_id FROM parallel_users)
 ),
-session_stats AS (
-    SELECT c.student_id, c.date_dt,
-           CAST(SUM(ses.pages_viewed) AS BIGINT) AS sum_pages_viewed_all,
-           AVG(ses.pages_viewed) AS avg_pages_viewed_all,
-           COUNT(DISTINCT CAST(ses.start_ts AS DATE)) AS days_with_session,
-           CAST(SUM(ses.duration_sec) AS BIGINT) AS sum_session_duration_all,
-           AVG(ses.duration_sec) AS avg_session_duration_all,
-           CAST(SUM(CASE WHEN ses.app_version IS NOT NULL THEN ses.pages_viewed END) AS BIGINT) AS sum_page_viewed_app,
-           AVG(CASE WHEN ses.app_version IS NOT NULL THEN ses.pages_viewed END) AS avg_page_viewed_app,
-           CAST(SUM(CASE WHEN ses.app_version IS NOT NULL THEN ses.duration_sec END) AS BIGINT) AS sum_session_duration_app,
-           AVG(CASE WHEN ses.app_version IS NOT NULL THEN ses.duration_sec END) AS avg_session_duration_app,
-           CAST(SUM(CASE WHEN ses.app_version IS NULL THEN ses.pages_viewed END) AS BIGINT) AS sum_page_viewed_non_app,
-           AVG(CASE WHEN ses.app_version IS NULL THEN ses.pages_viewed END) AS avg_page_viewed_non_app,
-           CAST(SUM(CASE WHEN ses.app_version IS NULL THEN ses.duration_sec END) AS BIGINT) AS sum_session_duration_non_app,
-           AVG(CASE WHEN ses.app_version IS NULL THEN ses.duration_sec END) AS avg_session_duration_non_app,
-           CAST(date_diff('day', CAST(MAX(ses.start_ts) AS DATE), c.date_dt) AS INTEGER) AS days_since_last_session
-    FROM cohort_days c
-    LEFT JOIN dim_session ses
-      ON c.student_id = ses.user_id
-     AND CAST(ses.start_ts AS DATE) <= c.date_dt
-     AND CAST(ses.start_ts AS DATE) >= c.first_sub_payment_date
-    GROUP BY 1, 2
+ledger AS (
+    SELECT user_id AS student_id, CAST(start_ts AS DATE) AS day, CASE WHEN app_version IS NULL THEN 'web' ELSE 'app' END || ' pages' AS what,
+           CAST(pages_viewed AS DOUBLE) AS amount, CAST(NULL AS BIGINT) AS item
+    FROM dim_session
+    UNION ALL
+    SELECT user_id, CAST(start_ts AS DATE), CASE WHEN app_version IS NULL THEN 'web' ELSE 'app' END || ' seconds', CAST(duration_sec AS DOUBLE), NULL
+    FROM dim_session
+    UNION ALL
+    SELECT student_id, CAST(lesson_ts AS DATE), 'lesson', coalesce(rating_amount, 0), id
+    FROM dim_lesson WHERE lesson_status LIKE '%COMPLETED'
+    UNION ALL
+    SELECT t.user_id, CAST(m.time_posted AS DATE), CASE m.author_id WHEN t.user_id THEN 'student message' ELSE 'tutor message' END, 1, NULL
+    FROM tutors_messagethread t JOIN tutors_message m ON m.thread_id = t.id AND m.author_id IN (t.user_id, t.tutor_id)
+    UNION ALL
+    SELECT user_id, CAST(event_ts AS DATE), event_name, 1, NULL FROM fact_event_v2
 ),
-message_stats AS (
-    SELECT c.student_id, c.date_dt,
-           COUNT(CASE WHEN thr.user_id = msg.author_id THEN msg.time_posted END) AS student_messages_sent,
-           COUNT(CASE WHEN thr.tutor_id = msg.author_id THEN msg.time_posted END) AS tutor_messages_sent
-    FROM cohort_days c
-    LEFT JOIN tutors_messagethread thr ON thr.user_id = c.student_id
-    LEFT JOIN tutors_message msg
-      ON thr.id = msg.thread_id
-     AND CAST(msg.time_posted AS DATE) <= c.date_dt
-     AND CAST(msg.time_posted AS DATE) >= c.first_sub_payment_date
-     AND msg.author_id IS NOT NULL
-    GROUP BY 1, 2
+book AS (
+    SELECT c.student_id, c.date_dt, l.day, l.what, l.amount, l.item
+    FROM cohort_spine c LEFT JOIN ledger l ON l.student_id = c.student_id AND l.day BETWEEN c.subscribed AND c.date_dt
 ),
-lesson_stats AS (
-    SELECT c.student_id, c.date_dt,
-           MAX(CAST(les.lesson_ts AS DATE)) AS last_confirmed_lesson_date,
-           CAST(date_diff('day', MAX(CAST(les.lesson_ts AS DATE)), c.date_dt) AS INTEGER) AS n_days_since_last_confirmed_lesson,
-           COUNT(DISTINCT les.id) AS num_confirmed_lessons_during_sub,
-           AVG(COALESCE(les.rating_amount, 0)) AS avg_lesson_rating
-    FROM cohort_days c
-    LEFT JOIN dim_lesson les
-      ON c.student_id = les.student_id
-     AND CAST(les.lesson_ts AS DATE) <= c.date_dt
-     AND CAST(les.lesson_ts AS DATE) >= c.first_sub_payment_date
-     AND les.lesson_status IN ('COMPLETED', 'AUTOCOMPLETED')
-    GROUP BY 1, 2
+totals AS (
+    SELECT student_id, date_dt,
+           {session_totals},
+           CAST(count(DISTINCT day) FILTER (WHERE what LIKE '%seconds') AS BIGINT) AS days_with_session,
+           CAST(date_dt - max(day) FILTER (WHERE what LIKE '%seconds') AS INTEGER) AS days_since_last_session,
+           max(day) FILTER (WHERE what = 'lesson') AS last_confirmed_lesson_date,
+           CAST(date_dt - max(day) FILTER (WHERE what = 'lesson') AS INTEGER) AS n_days_since_last_confirmed_lesson,
+           count(DISTINCT item) FILTER (WHERE what = 'lesson') AS num_confirmed_lessons_during_sub,
+           coalesce(sum(amount) FILTER (WHERE what = 'lesson') / count(*) FILTER (WHERE what = 'lesson'), 0) AS avg_lesson_rating,
+           count(*) FILTER (WHERE what = 'student message') AS student_messages_sent,
+           count(*) FILTER (WHERE what = 'tutor message') AS tutor_messages_sent,
+           count(*) FILTER (WHERE what = 'search_completed') AS num_search_page_views,
+           count(*) FILTER (WHERE what = 'search_card_viewed') AS num_impressions
+    FROM book GROUP BY student_id, date_dt
 ),
-first_package AS (
-    SELECT c.student_id, c.date_dt, pay.hours, pay.subject, pay.gmv_proceeds_usd
-    FROM cohort_days c
-    LEFT JOIN fact_payment pay
-      ON c.student_id = pay.user_id
-     AND pay.user_subscription_package_order = 1
-     AND pay.tutoring_subscription_package_order = 1
+days_status AS (
+    SELECT user_id, subscription_log_date AS day, bool_and(subscription_active_day) AS every_one, bool_or(subscription_active_day) AS any_one
+    FROM agg_daily_subscription_logs GROUP BY ALL
 ),
-search_stats AS (
+statuses AS (
     SELECT c.student_id, c.date_dt,
-           CAST(SUM(CASE WHEN ev2.event_name = 'search_completed' THEN 1 ELSE 0 END) AS BIGINT) AS num_search_page_views,
-           CAST(SUM(CASE WHEN ev2.event_name = 'search_card_viewed' THEN 1 ELSE 0 END) AS BIGINT) AS num_impressions
-    FROM cohort_days c
-    LEFT JOIN fact_event_v2 ev2
-      ON c.student_id = ev2.user_id
-     AND CAST(ev2.event_ts AS DATE) <= c.date_dt
-     AND CAST(ev2.event_ts AS DATE) >= c.first_sub_payment_date
-     AND ev2.event_name IN ('search_completed', 'search_card_viewed')
-    GROUP BY 1, 2
+           (SELECT every_one FROM days_status s WHERE s.user_id = c.student_id AND s.day = c.date_dt) AS subscription_active_day,
+           NOT coalesce((SELECT any_one FROM days_status s WHERE s.user_id = c.student_id AND s.day = c.label_date), false) AS churn_day_33
+    FROM cohort_spine c
 ),
-status_rows AS (
-    SELECT c.student_id, c.date_dt,
-           today.subscription_active_day,
-           lbl.subscription_active_day AS active_on_label_day
-    FROM cohort_days c
-    LEFT JOIN agg_daily_subscription_logs lbl
-      ON c.student_id = lbl.user_id
-     AND c.first_sub_payment_date + {label_day} = lbl.subscription_log_date
-    LEFT JOIN agg_daily_subscription_logs today
-      ON c.student_id = today.user_id
-     AND c.date_dt = today.subscription_log_date
+packages AS (
+    SELECT user_id, min(struct_pack(h := hours, s := subject, g := gmv_proceeds_usd)) AS p
+    FROM fact_payment WHERE user_subscription_package_order = 1 AND tutoring_subscription_package_order = 1 GROUP BY user_id
 ),
-feature_rows AS (
-    SELECT c.student_id, c.date_dt, c.first_payment_date, c.student_age, c.first_sub_payment_date,
-           c.days_since_first_sub_payment, c.country_code, c.focus_countries, c.region,
-           c.projected_gross_margin_360d, c.language_version,
-           st.subscription_active_day,
-           CASE WHEN st.active_on_label_day = TRUE THEN FALSE ELSE TRUE END AS churn_day_33,
-           ls.last_confirmed_lesson_date, ls.n_days_since_last_confirmed_lesson,
-           ls.num_confirmed_lessons_during_sub, ls.avg_lesson_rating,
-           ss.sum_pages_viewed_all, ss.avg_pages_viewed_all, ss.days_with_session,
-           ss.sum_session_duration_all, ss.avg_session_duration_all,
-           ss.sum_page_viewed_app, ss.avg_page_viewed_app, ss.sum_session_duration_app, ss.avg_session_duration_app,
-           ss.sum_page_viewed_non_app, ss.avg_page_viewed_non_app, ss.sum_session_duration_non_app,
-           ss.avg_session_duration_non_app, ss.days_since_last_session,
-           ms.student_messages_sent, ms.tutor_messages_sent,
-           fpk.hours, fpk.subject, fpk.gmv_proceeds_usd,
-           sr.num_search_page_views, sr.num_impressions
-    FROM cohort_days c
-    JOIN status_rows st ON c.student_id = st.student_id AND c.date_dt = st.date_dt
-    JOIN lesson_stats ls ON c.student_id = ls.student_id AND c.date_dt = ls.date_dt
-    JOIN session_stats ss ON st.student_id = ss.student_id AND st.date_dt = ss.date_dt
-    JOIN message_stats ms ON st.student_id = ms.student_id AND st.date_dt = ms.date_dt
-    JOIN first_package fpk ON st.student_id = fpk.student_id AND st.date_dt = fpk.date_dt
-    JOIN search_stats sr ON st.student_id = sr.student_id AND st.date_dt = sr.date_dt
+paid_packages AS (
+    SELECT c.student_id, c.date_dt, p.h AS hours, p.s AS subject, p.g AS gmv_proceeds_usd
+    FROM cohort_spine c LEFT JOIN packages ON user_id = c.student_id
 ),
 training AS (
-    SELECT * FROM feature_rows
-    QUALIFY row_number() OVER (
-        PARTITION BY student_id, date_dt
-        ORDER BY subscription_active_day ASC NULLS LAST, churn_day_33 ASC NULLS LAST,
-                 hours ASC NULLS FIRST, subject ASC NULLS FIRST, gmv_proceeds_usd ASC NULLS FIRST) = 1
+    SELECT {columns}
+    FROM (SELECT *, paid AS first_payment_date, subscribed AS first_sub_payment_date, CAST(date_dt - paid AS INTEGER) AS student_age,
+                 CAST(date_dt - subscribed AS INTEGER) AS days_since_first_sub_payment FROM cohort_spine)
+    JOIN totals USING (student_id, date_dt) JOIN statuses USING (student_id, date_dt) JOIN paid_packages USING (student_id, date_dt)
 )"""
 
+#: Names of the session totals: (suffix of the ledger's kind, which rows, column names of sum and average).
+SESSION_TOTALS = [
+    ("pages", "%", "sum_pages_viewed_all", "avg_pages_viewed_all"),
+    ("seconds", "%", "sum_session_duration_all", "avg_session_duration_all"),
+    ("pages", "app", "sum_page_viewed_app", "avg_page_viewed_app"),
+    ("seconds", "app", "sum_session_duration_app", "avg_session_duration_app"),
+    ("pages", "web", "sum_page_viewed_non_app", "avg_page_viewed_non_app"),
+    ("seconds", "web", "sum_session_duration_non_app", "avg_session_duration_non_app"),
+]
+
+
+def _session_totals() -> str:
+    out = []
+    for kind, where, total, mean in SESSION_TOTALS:
+        rows = f"FILTER (WHERE what LIKE '{where} {kind}')"
+        out.append(f"CAST(sum(amount) {rows} AS BIGINT) AS {total}")
+        out.append(f"sum(amount) {rows} / nullif(count(amount) {rows}, 0) AS {mean}")
+    return ", ".join(out)
+
 
-def with_roles(body: str, label_day: int = FIXTURE_LABEL_DAY, features: bool = True) -> str:
-    ctes = ROLES + ("," + FEATURES.format(label_day=label_day) if features else "")
+def features(label_day: int) -> str:
+    return FEATURES.format(label_day=label_day, session_totals=_session_totals(), columns=", ".join(TRAINING_COLUMNS))
+
+
+def with_roles(body: str, label_day: int = FIXTURE_LABEL_DAY, feature_ctes: bool = True) -> str:
+    ctes = ROLES + ("," + features(label_day) if feature_ctes else "")
     return f"WITH {ctes}\n{body}"
 
 
 SPINE_COLS = (
-    "student_id, date_dt, first_payment_date, student_age, first_sub_payment_date, days_since_first_sub_payment, "
+    "student_id, date_dt, paid AS first_payment_date, CAST(date_dt - paid AS INTEGER) AS student_age, "
+    "subscribed AS first_sub_payment_date, CAST(date_dt - subscribed AS INTEGER) AS days_since_first_sub_payment, "
     "country_code, focus_countries, region, projected_gross_margin_360d, language_version"
 )
 
 
-def _thr_name(t: float) -> str:
-    return f"{int(round(t * 100))}"
-
-
 def relational_sql() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["read_table"] = with_roles("SELECT * FROM dim_lesson", features=False)
+    q["read_table"] = with_roles("SELECT * FROM dim_lesson", feature_ctes=False)
     q["read_filtered"] = with_roles(
-        "SELECT * FROM dim_lesson WHERE lesson_status IN ('COMPLETED', 'AUTOCOMPLETED')", features=False
+        "SELECT * FROM dim_lesson WHERE lesson_status IN ('COMPLETED', 'AUTOCOMPLETED')", feature_ctes=False
     )
     q["read_query"] = with_roles(
         "SELECT user_id, count(*) AS n_sessions, CAST(sum(pages_viewed) AS BIGINT) AS pages "
         "FROM dim_session WHERE app_version IS NOT NULL GROUP BY user_id",
-        features=False,
-    )
-    q["spine"] = with_roles(f"SELECT {SPINE_COLS} FROM student_days")
-    q["single_sub_cohort"] = with_roles(f"SELECT {SPINE_COLS} FROM cohort_days")
-    q["session_features"] = with_roles("SELECT * FROM session_stats")
-    q["session_features_interval"] = q["session_features"]
-    q["message_features"] = with_roles("SELECT * FROM message_stats")
-    q["message_features_interval"] = q["message_features"]
-    q["lesson_features"] = with_roles("SELECT * FROM lesson_stats")
-    q["lesson_features_interval"] = q["lesson_features"]
-    q["search_features"] = with_roles("SELECT * FROM search_stats")
-    q["search_features_interval"] = q["search_features"]
-    q["payment_features"] = with_roles(
-        "SELECT * FROM first_package QUALIFY row_number() OVER (PARTITION BY student_id, date_dt "
-        "ORDER BY hours ASC NULLS FIRST, subject ASC NULLS FIRST, gmv_proceeds_usd ASC NULLS FIRST) = 1"
-    )
-    q["status_label"] = with_roles(
-        "SELECT student_id, date_dt, subscription_active_day, "
-        "CASE WHEN active_on_label_day = TRUE THEN FALSE ELSE TRUE END AS churn_day_33 "
-        "FROM status_rows QUALIFY row_number() OVER (PARTITION BY student_id, date_dt "
-        "ORDER BY subscription_active_day ASC NULLS LAST, churn_day_33 ASC) = 1"
+        feature_ctes=False,
     )
+    q["spine"] = with_roles(f"SELECT {SPINE_COLS} FROM spine_days")
+    q["single_sub_cohort"] = with_roles(f"SELECT {SPINE_COLS} FROM cohort_spine")
+    for name, columns in (("session", SESSION_COLUMNS), ("message", MESSAGE_COLUMNS), ("lesson", LESSON_COLUMNS), ("search", SEARCH_COLUMNS)):
+        q[f"{name}_features"] = with_roles(f"SELECT student_id, date_dt, {', '.join(columns)} FROM totals")
+    q["payment_features"] = with_roles("SELECT * FROM paid_packages")
+    q["status_label"] = with_roles("SELECT * FROM statuses")
     q["training_table"] = with_roles("SELECT * FROM training")
-    q["training_table_interval"] = q["training_table"]
     return q
 
 
 # ---------------------------------------------------------------------------
 # Modelling side: model frame, split, balance, rule scores, metrics.
 
-NUMERIC = [
-    "student_age", "n_days_since_last_confirmed_lesson", "num_confirmed_lessons_during_sub", "hours",
-    "gmv_proceeds_usd", "avg_lesson_rating", "sum_pages_viewed_all", "avg_pages_viewed_all", "days_with_session",
-    "sum_session_duration_all", "avg_session_duration_all", "sum_page_viewed_app", "avg_page_viewed_app",
-    "sum_session_duration_app", "avg_session_duration_app", "sum_page_viewed_non_app", "avg_page_viewed_non_app",
-    "sum_session_duration_non_app", "avg_session_duration_non_app", "days_since_last_session",
-    "student_messages_sent", "tutor_messages_sent", "num_search_page_views", "num_impressions",
-]
-CATEGORICAL = ["subject", "country_code", "focus_countries", "region", "language_version"]
-MODEL_ORDER = [
-    "student_age", "days_since_first_sub_payment", "n_days_since_last_confirmed_lesson",
-    "num_confirmed_lessons_during_sub", "hours", "subject", "gmv_proceeds_usd", "avg_lesson_rating",
-    "sum_pages_viewed_all", "avg_pages_viewed_all", "days_with_session", "sum_session_duration_all",
-    "avg_session_duration_all", "sum_page_viewed_app", "avg_page_viewed_app", "sum_session_duration_app",
-    "avg_session_duration_app", "sum_page_viewed_non_app", "avg_page_viewed_non_app",
-    "sum_session_duration_non_app", "avg_session_duration_non_app", "days_since_last_session",
-    "student_messages_sent", "tutor_messages_sent", "country_code", "focus_countries", "region",
-    "language_version", "num_search_page_views", "num_impressions",
-]
 RULES = {
     "score_recency": (30, {"days_since_last_session": 3, "n_days_since_last_confirmed_lesson": 2,
                            "num_confirmed_lessons_during_sub": -4}),
@@ -326,10 +270,10 @@ RULES = {
 
 def _model_select() -> str:
     cols = []
-    for c in MODEL_ORDER:
-        if c in NUMERIC:
+    for c in MODEL_COLUMNS:
+        if c in NUMERIC_FEATURES:
             cols.append(f"COALESCE(CAST({c} AS DOUBLE), 0) AS {c}")
-        elif c in CATEGORICAL:
+        elif c in CATEGORICAL_FEATURES:
             cols.append(f"COALESCE(CAST({c} AS VARCHAR), 'empty') AS {c}")
         else:
             cols.append(c)
@@ -418,7 +362,7 @@ def with_model(body: str, label_day: int = FIXTURE_LABEL_DAY, extra_cte: str = "
         thresholds=", ".join(f"({float(t)}::DOUBLE)" for t in THRESHOLDS),
     )
     extra = f",\n{extra_cte}" if extra_cte else ""
-    return f"WITH {ROLES},{FEATURES.format(label_day=label_day)}{model}{extra}\n{body}"
+    return f"WITH {ROLES},{features(label_day)}{model}{extra}\n{body}"
 
 
 def _pivot(source: str, value: str, columns: list[str], label_expr: str) -> str:
@@ -427,7 +371,7 @@ def _pivot(source: str, value: str, columns: list[str], label_expr: str) -> str:
 
 
 def _corr_sql() -> str:
-    cols = [c for c in MODEL_ORDER if c not in CATEGORICAL] + ["churn_day_33"]
+    cols = [c for c in MODEL_COLUMNS if c not in CATEGORICAL_FEATURES] + ["churn_day_33"]
     sel = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
     return (
         f"SELECT a.feature AS feature_a, b.feature AS feature_b, "
@@ -441,10 +385,10 @@ def _corr_sql() -> str:
 
 def _one_hot_sql() -> str:
     cats = " UNION ALL ".join(
-        f"SELECT DISTINCT days_since_first_sub_payment AS h, '{c}' AS col, {c} AS val FROM balanced" for c in CATEGORICAL
+        f"SELECT DISTINCT days_since_first_sub_payment AS h, '{c}' AS col, {c} AS val FROM balanced" for c in CATEGORICAL_FEATURES
     )
-    match = " OR ".join(f"(c.col = '{c}' AND t.{c} = c.val)" for c in CATEGORICAL)
-    rest = [c for c in MODEL_ORDER if c not in CATEGORICAL]
+    match = " OR ".join(f"(c.col = '{c}' AND t.{c} = c.val)" for c in CATEGORICAL_FEATURES)
+    rest = [c for c in MODEL_COLUMNS if c not in CATEGORICAL_FEATURES]
     sel = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in rest)
     return (
         f"SELECT t.days_since_first_sub_payment AS horizon, t.student_id, c.col || '=' || c.val AS feature, "
@@ -463,7 +407,7 @@ def model_sql() -> dict[str, str]:
     q["balanced_train"] = with_model("SELECT * FROM balanced")
     q["class_counts"] = with_model(
         "SELECT days_since_first_sub_payment, CAST(sum(CASE WHEN churn_day_33 THEN 1 ELSE 0 END) AS BIGINT) AS n_pos, "
-        "CAST(sum(CASE WHEN NOT churn_day_33 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg FROM balanced GROUP BY 1"
+        "CAST(sum(CASE WHEN NOT churn_day_33 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg FROM train_rows GROUP BY 1"
     )
     body, cte = _corr_sql()
     q["correlation_matrix"] = with_model(body, extra_cte=cte)
@@ -502,7 +446,7 @@ def model_sql() -> dict[str, str]:
         _pivot(long_thr, "value", tcols, "CAST(CAST(round(threshold * 100) AS INTEGER) AS VARCHAR) || '_thr_' || CAST(horizon AS VARCHAR)")
     )
     q["roc_auc"] = with_model(
-        "SELECT horizon, model, CAST(u2 - p * (p + 1) AS DOUBLE) / NULLIF(CAST(2 * p * (total - p) AS DOUBLE), 0) AS roc_auc "
+        "SELECT horizon, model, CAST(u2 - p * (p + 1) AS DOUBLE) / NULLIF(CAST(2 * p * (total - p) AS DOUBLE), 0) AS roc_auc, CAST(0 AS BIGINT) AS n_unscored "
         "FROM (SELECT horizon, model, sum(pos * (lo + hi)) AS u2, sum(pos) AS p, sum(n) AS total FROM ("
         "SELECT horizon, model, p_churn, min(rn) AS lo, max(rn) AS hi, sum(CASE WHEN label THEN 1 ELSE 0 END) AS pos, "
         "count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY horizon, model ORDER BY p_churn) AS rn "

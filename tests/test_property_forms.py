@@ -1,4 +1,4 @@
-"""Property: the cumulative plan equals the interval-join plan on random sources.
+"""Property: the training table equals plain loops over random sources.
 
 Random bundles include calendar gaps, first payments after the first
 subscription, repeated lesson ids, null ratings/authors/statuses, several
@@ -15,6 +15,7 @@ import pytest
 from attrition.config import ChurnConfig
 from attrition.plans import training_table as tt
 from attrition.sources.bundle import ChurnSources
+from tests.brute_features import training_table
 from tests.conftest import SCHEMAS
 
 CFG = ChurnConfig(label_day=6)
@@ -26,7 +27,7 @@ def _ts(rnd: random.Random, lo: int, hi: int) -> dt.datetime:
     return dt.datetime(d.year, d.month, d.day, rnd.randint(0, 23), rnd.randint(0, 59))
 
 
-def _bundle(spark, seed: int) -> ChurnSources:
+def _tables(seed: int) -> dict[str, list[tuple]]:
     rnd = random.Random(seed)
     dates = [(DAY0 + dt.timedelta(days=i),) for i in range(-5, 40) if rnd.random() > 0.1]  # gaps
     students, logs, sessions, threads, messages, lessons, payments, events = ([] for _ in range(8))
@@ -58,19 +59,23 @@ def _bundle(spark, seed: int) -> ChurnSources:
         "dim_date": dates, "dim_student": students, "subscription_logs": logs, "sessions": sessions,
         "message_threads": threads, "messages": messages, "lessons": lessons, "payments": payments, "events": events,
     }
-    return ChurnSources(**{n: spark.createDataFrame(tables[n], SCHEMAS[n]) for n in SCHEMAS})
+    return tables
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_cumulative_equals_interval(spark, seed):
-    src = _bundle(spark, seed)
-    cum = sorted(map(tuple, tt.build_training_table(src, CFG).collect()))
-    itv = sorted(map(tuple, tt.build_training_table(src, CFG, method="interval").collect()))
-    assert cum and cum == itv
+def test_training_table_equals_plain_loops(spark, seed):
+    tables = _tables(seed)
+    if seed == 3:  # an id that the student table repeats, with other dates
+        sid, fp, fs, *rest = tables["dim_student"][0]
+        tables["dim_student"] += [(sid, fp, fs + dt.timedelta(days=5), *rest), (sid, fp - dt.timedelta(days=2), fs + dt.timedelta(days=1), *rest)]
+    src = ChurnSources(**{n: spark.createDataFrame(tables[n], SCHEMAS[n]) for n in SCHEMAS})
+    got = sorted(map(tuple, tt.build_training_table(src, CFG).collect()), key=repr)
+    want = sorted(training_table(tables, CFG), key=repr)
+    assert got and got == want
 
 
 def test_hot_student_is_bounded_before_the_window(spark):
-    """One student holds about half of all facts: the forms agree, and the rows it
+    """One student holds about half of all facts: the table equals plain loops, and the rows it
     brings to the per-student window are bounded by days, not by its facts."""
     from functools import reduce
 
@@ -93,9 +98,9 @@ def test_hot_student_is_bounded_before_the_window(spark):
         "message_threads": [], "messages": [], "lessons": lessons, "payments": [], "events": [],
     }
     src = ChurnSources(**{n: spark.createDataFrame(tables[n], SCHEMAS[n]) for n in SCHEMAS})
-    cum = sorted(map(tuple, tt.build_training_table(src, CFG).collect()))
-    itv = sorted(map(tuple, tt.build_training_table(src, CFG, method="interval").collect()))
-    assert cum and cum == itv
+    got = sorted(map(tuple, tt.build_training_table(src, CFG).collect()), key=repr)
+    want = sorted(training_table(tables, CFG), key=repr)
+    assert got and got == want
 
     frames = tt.cohort_frames(src, CFG)
     daily = [tt.daily_facts(src, g, CFG) for g in ("sessions", "lessons")]
