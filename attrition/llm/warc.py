@@ -335,7 +335,9 @@ def read_records(ranges: DataFrame) -> DataFrame:
     The digest of a response is taken from the payload as read, and must equal
     the record's own; a revisit's size and digest are those it declares."""
     block = F.floor(F.col("at") / SPREAD_BYTES)
-    spread = ranges.repartition("package", block).sortWithinPartitions("package", "at")
+    # a fixed number of tasks: the ranges are tiny rows, what they stand for is not
+    parts = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = ranges.repartition(parts, "package", block).sortWithinPartitions("package", "at")
 
     def parse(data: bytes) -> tuple:
         record = parse_record(zlib.decompress(data, 31))
