@@ -1,11 +1,12 @@
 """Per-(student, day) pre-aggregates of each activity source.
 
 Every feature in the training table is "facts from first_sub up to this day".
-Each source is first reduced to one row per (student, day) with decomposable
-partial results (sums, non-null counts, flags). The group-by aggregates
-partially on the map side, so a student with a third of all rows leaves each
-map task as at most one row per day before anything is shuffled. Running
-totals over these rows (``operators.accumulate``) then give the features.
+The raw rows of all sources are projected to common keys, stacked, and reduced
+by one aggregate to a row per (student, day) with decomposable partial results
+(sums, non-null counts, flags). It combines on the map side, so a student with a
+third of all rows leaves each map task as at most a few rows per day before
+anything is shuffled. Running totals over these rows (``operators.accumulate``)
+then give the features.
 
 Column prefixes: ses_ sessions, les_ lessons, msg_ messages, src_ search,
 sta_ subscription status, pay_ first payment.
@@ -13,7 +14,10 @@ sta_ subscription status, pay_ first payment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrition.config import (
@@ -22,46 +26,25 @@ from attrition.config import (
     LABEL_DAY,
     SEARCH_PAGE_VIEW_EVENT,
 )
-from attrition.functions.dates import as_date, as_of_date
+from attrition.functions.dates import as_date
 
 DAY = "day"
 
 
-def in_fact_range(df: DataFrame, ts_col: str, start: str, as_of: str | None, label_day: int, extra_days: int = 0) -> DataFrame:
-    """Scan-level bound that no counted fact can fall outside of.
-
-    Spine dates are >= start and <= first_sub + label_day, so first_sub >=
-    start - label_day; facts count only up to a spine date < as_of (status
-    rows up to first_sub + label_day < as_of + label_day). The bounds fold to
-    literals, so the predicate reaches the parquet scan.
-    """
+def in_fact_range(df: DataFrame, ts_col: str, lo: dt.date, hi: dt.date) -> DataFrame:
+    """Rows with ``lo <= ts < hi``; literals, so the predicate reaches the scan."""
     ts_type = df.schema[ts_col].dataType
-    lo = F.date_sub(F.lit(start).cast("date"), label_day).cast(ts_type)
-    hi = F.date_add(as_of_date(as_of), extra_days).cast(ts_type)
-    return df.where((F.col(ts_col) >= lo) & (F.col(ts_col) < hi))
-
-
-def session_daily(sessions: DataFrame) -> DataFrame:
-    app = F.col("app_version").isNotNull()
-    web = F.col("app_version").isNull()
-    pages, dur = F.col("pages_viewed"), F.col("duration_sec")
-
-    def pair(prefix: str, col: Column, cond: Column | None) -> list[Column]:
-        c = col if cond is None else F.when(cond, col)
-        return [F.sum(c).alias(f"{prefix}_sum"), F.count(c).alias(f"{prefix}_n")]
-
-    return (
-        sessions.where(F.col("start_ts").isNotNull())
-        .groupBy(F.col("user_id").alias("student_id"), as_date("start_ts").alias(DAY))
-        .agg(
-            F.lit(1).alias("ses_day"),
-            *pair("ses_pages", pages, None),
-            *pair("ses_dur", dur, None),
-            *pair("ses_app_pages", pages, app),
-            *pair("ses_app_dur", dur, app),
-            *pair("ses_web_pages", pages, web),
-            *pair("ses_web_dur", dur, web),
-        )
+    return df.where((F.col(ts_col) >= F.lit(lo).cast(ts_type)) & (F.col(ts_col) < F.lit(hi).cast(ts_type)))
+
+
+def session_rows(sessions: DataFrame) -> DataFrame:
+    return sessions.where(F.col("start_ts").isNotNull()).select(
+        F.col("user_id").alias("student_id"),
+        as_date("start_ts").alias(DAY),
+        F.lit(1).alias("ses_row"),
+        F.col("app_version").isNotNull().alias("ses_app"),
+        F.col("pages_viewed").alias("ses_pages"),
+        F.col("duration_sec").alias("ses_dur"),
     )
 
 
@@ -71,31 +54,18 @@ def _confirmed(lessons: DataFrame) -> DataFrame:
     )
 
 
-def lesson_daily(lessons: DataFrame) -> DataFrame:
-    """Rows and coalesced rating sum per day (the average counts every row)."""
-    return (
-        _confirmed(lessons)
-        .groupBy("student_id", as_date("lesson_ts").alias(DAY))
-        .agg(
-            F.lit(1).alias("les_day"),
-            F.count(F.lit(1)).alias("les_rows"),
-            F.sum(F.coalesce(F.col("rating_amount").cast("double"), F.lit(0.0))).alias("les_rating_sum"),
-        )
-    )
-
-
-def lesson_ids(lessons: DataFrame) -> DataFrame:
-    """Distinct (student, lesson id, day)."""
-    return (
-        _confirmed(lessons)
-        .where(F.col("id").isNotNull())
-        .select("student_id", F.col("id").alias("lesson_id"), as_date("lesson_ts").alias(DAY))
-        .distinct()
+def lesson_rows(lessons: DataFrame) -> DataFrame:
+    """Confirmed lessons with their coalesced rating (the average counts every row)."""
+    return _confirmed(lessons).select(
+        "student_id",
+        as_date("lesson_ts").alias(DAY),
+        F.lit(1).alias("les_row"),
+        F.coalesce(F.col("rating_amount").cast("double"), F.lit(0.0)).alias("les_rating"),
     )
 
 
-def lesson_new_candidates(lessons: DataFrame, label_day: int = LABEL_DAY) -> DataFrame:
-    """Distinct lessons per (student, day), keyed by the lesson's previous day.
+def lesson_new_rows(lessons: DataFrame, label_day: int = LABEL_DAY) -> DataFrame:
+    """One row per distinct (student, lesson, day), with the lesson's previous day.
 
     A lesson counts as new on day d of a student's window iff it occurs on d
     and did not occur in [first_sub, d - 1], i.e. its previous occurrence is
@@ -103,21 +73,20 @@ def lesson_new_candidates(lessons: DataFrame, label_day: int = LABEL_DAY) -> Dat
     for every in-window d, so a previous day older than d - label_day can be
     clamped to d - label_day - 1 without changing the outcome. Rows are then
     counted per (student, day, previous day): at most label_day + 2 rows per
-    student-day, however many lessons a student has, and they combine
-    map-side before the shuffle. The previous day comes from a window over
-    (student, lesson): one lesson's distinct days, bounded by the calendar.
+    student-day, however many lessons a student has. A lesson's distinct days
+    are bounded by the calendar and combine map-side.
     """
-    ids = lesson_ids(lessons)
-    prev = F.lag(DAY).over(Window.partitionBy("student_id", "lesson_id").orderBy(DAY))
-    floor = F.date_sub(F.col(DAY), label_day + 1)
+    ids = _confirmed(lessons).where(F.col("id").isNotNull())
+    days = ids.groupBy("student_id", F.col("id").alias("_lesson")).agg(F.array_sort(F.collect_set(as_date("lesson_ts"))).alias("_days"))
+    each = days.select("student_id", "_days", F.posexplode("_days").alias("_i", DAY))
+    prev = F.when(F.col("_i") > 0, F.expr("_days[_i - 1]"))
     # greatest() skips nulls: a lesson without a previous day gets the floor,
     # which is before first_sub as well, so it counts as new.
-    with_prev = ids.withColumn("les_prev", F.greatest(prev, floor))
-    return with_prev.groupBy("student_id", DAY, "les_prev").agg(F.count(F.lit(1)).alias("les_cand"))
+    return each.select("student_id", DAY, F.greatest(prev, F.date_sub(F.col(DAY), label_day + 1)).alias("les_prev"), F.lit(1).alias("les_first"))
 
 
-def message_daily(threads: DataFrame, messages: DataFrame) -> DataFrame:
-    """Messages by the student and by the tutor, per student and day.
+def message_rows(threads: DataFrame, messages: DataFrame) -> DataFrame:
+    """Messages by the student and by the tutor.
 
     Messages are counted per (thread, author, day) before the join to threads,
     so a busy thread reaches the join as a handful of rows.
@@ -128,40 +97,74 @@ def message_daily(threads: DataFrame, messages: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     t = threads.select(F.col("id").alias("thread_id"), F.col("user_id").alias("student_id"), "tutor_id")
-    joined = per_author.join(t, "thread_id")
-    return joined.groupBy("student_id", DAY).agg(
-        F.sum(F.when(F.col("author_id") == F.col("student_id"), F.col("n")).otherwise(0)).alias("msg_student"),
-        F.sum(F.when(F.col("author_id") == F.col("tutor_id"), F.col("n")).otherwise(0)).alias("msg_tutor"),
+    return per_author.join(t, "thread_id").select(
+        "student_id",
+        DAY,
+        F.when(F.col("author_id") == F.col("student_id"), F.col("n")).alias("msg_student"),
+        F.when(F.col("author_id") == F.col("tutor_id"), F.col("n")).alias("msg_tutor"),
     )
 
 
-def search_daily(events: DataFrame) -> DataFrame:
+def search_rows(events: DataFrame) -> DataFrame:
     name = F.col("event_name")
-    return (
-        events.where(name.isin(SEARCH_PAGE_VIEW_EVENT, IMPRESSION_EVENT) & F.col("event_ts").isNotNull())
-        .groupBy(F.col("user_id").alias("student_id"), as_date("event_ts").alias(DAY))
-        .agg(
-            F.sum(F.when(name == SEARCH_PAGE_VIEW_EVENT, 1).otherwise(0)).cast("bigint").alias("src_views"),
-            F.sum(F.when(name == IMPRESSION_EVENT, 1).otherwise(0)).cast("bigint").alias("src_impressions"),
-        )
+    return events.where(name.isin(SEARCH_PAGE_VIEW_EVENT, IMPRESSION_EVENT) & F.col("event_ts").isNotNull()).select(
+        F.col("user_id").alias("student_id"),
+        as_date("event_ts").alias(DAY),
+        F.when(name == SEARCH_PAGE_VIEW_EVENT, 1).alias("src_view"),
+        F.when(name == IMPRESSION_EVENT, 1).alias("src_impression"),
     )
 
 
-def status_daily(logs: DataFrame) -> DataFrame:
-    """Status per user and day over all tutorings.
-
-    sta_all: FALSE if any row is FALSE, TRUE if all non-null rows are TRUE,
-    null without non-null rows (ascending order with nulls last, first row).
-    sta_any: some tutoring active that day (decides the label).
-    """
-    return logs.where(F.col("subscription_log_date").isNotNull()).groupBy(
-        F.col("user_id").alias("student_id"), F.col("subscription_log_date").cast("date").alias(DAY)
-    ).agg(
-        F.bool_and("subscription_active_day").alias("sta_all"),
-        F.bool_or("subscription_active_day").alias("sta_any"),
+def status_rows(logs: DataFrame) -> DataFrame:
+    return logs.where(F.col("subscription_log_date").isNotNull()).select(
+        F.col("user_id").alias("student_id"),
+        F.col("subscription_log_date").cast("date").alias(DAY),
+        F.col("subscription_active_day").alias("sta"),
     )
 
 
+def _pair(prefix: str, col: Column) -> list[Column]:
+    return [F.sum(col).alias(f"{prefix}_sum"), F.count(col).alias(f"{prefix}_n")]
+
+
+def _aggregates(group: str) -> list[Column]:
+    """Decomposable results of one source's columns per (student, day)."""
+    if group == "sessions":
+        app, web = (lambda c: F.when(F.col("ses_app"), F.col(c))), (lambda c: F.when(~F.col("ses_app"), F.col(c)))
+        return [
+            F.max("ses_row").alias("ses_day"),
+            *_pair("ses_pages", F.col("ses_pages")),
+            *_pair("ses_dur", F.col("ses_dur")),
+            *_pair("ses_app_pages", app("ses_pages")),
+            *_pair("ses_app_dur", app("ses_dur")),
+            *_pair("ses_web_pages", web("ses_pages")),
+            *_pair("ses_web_dur", web("ses_dur")),
+        ]
+    if group == "lessons":
+        return [
+            F.max("les_row").alias("les_day"),
+            F.count("les_row").alias("les_rows"),
+            F.sum("les_rating").alias("les_rating_sum"),
+            F.count("les_first").alias("les_cand"),
+        ]
+    if group == "messages":
+        return [F.sum("msg_student").alias("msg_student"), F.sum("msg_tutor").alias("msg_tutor")]
+    if group == "search":
+        return [F.count("src_view").alias("src_views"), F.count("src_impression").alias("src_impressions")]
+    if group == "status":
+        # FALSE if any row is FALSE, TRUE if all non-null rows are TRUE, null
+        # without non-null rows; any: some tutoring active (decides the label).
+        return [F.bool_and("sta").alias("sta_all"), F.bool_or("sta").alias("sta_any")]
+    raise ValueError(f"unknown fact group {group!r}")
+
+
+def daily(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """All sources' stacked rows reduced once, per (student, day) and, for the
+    distinct-lesson rows, the lesson's previous day."""
+    keys = ["student_id", DAY] + ["les_prev"] * ("lessons" in groups)
+    return rows.groupBy(*keys).agg(*[c for g in groups for c in _aggregates(g)])
+
+
 def payment_per_student(payments: DataFrame) -> DataFrame:
     """The first package per student; of several, the smallest (hours, subject, gmv)."""
     first = payments.where(
@@ -193,6 +196,5 @@ def within_window(facts: DataFrame, bounds: DataFrame, label_day: int = LABEL_DA
     if "sta_any" in facts.columns:
         derived.append(F.when(day == F.date_add("_fs", label_day), F.col("sta_any")).alias("sta_label_day"))
     if "les_prev" in facts.columns:
-        new = F.col("les_prev").isNull() | (F.col("les_prev") < F.col("_fs"))
-        derived.append(F.when(new, F.col("les_cand")).alias("les_new"))
+        derived.append(F.when(F.col("les_prev") < F.col("_fs"), F.col("les_cand")).alias("les_new"))
     return j.where(keep).select(*[c for c in facts.columns], "_fs", *derived)

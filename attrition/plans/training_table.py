@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from attrition.config import TRAINING_COLUMNS, ChurnConfig
 from attrition.operators import accumulate as acc
@@ -19,47 +22,49 @@ from attrition.sources.bundle import ChurnSources
 class CohortFrames:
     spine: DataFrame  # one row per (student, day) of the cohort
     bounds: DataFrame  # one row per cohort student and first_sub_payment_date
+    lo: dt.date  # first day that a counted fact can have
+    hi: dt.date  # day after the last one
 
 
-def cohort_frames(src: ChurnSources, cfg: ChurnConfig = ChurnConfig(), materialize: bool = True) -> CohortFrames:
+def cohort_frames(src: ChurnSources, cfg: ChurnConfig = ChurnConfig()) -> CohortFrames:
     """Cohort students (one row each), their spine and window bounds.
 
-    The cohort feeds three branches (spine rows, the fact window bound and the
-    lesson-id window bound), and differently pruned copies of a subplan do not
-    share exchanges. With ``materialize`` it is checkpointed once to the shared
-    checkpoint folder: computed once, lineage cut, and its real size known to
-    AQE for the join strategy. It is one row per cohort student.
+    The cohort feeds the spine, the fact window bound and the date range of the
+    fact scans. It is one row per cohort student and is checkpointed once to the
+    shared checkpoint folder: computed once, lineage cut, its real size known to
+    AQE for the join strategy, and the range of its first subscriptions known as
+    literals, which the fact scans push down.
     """
     cohort = single_sub_cohort(eligible_students(src.dim_student), src.subscription_logs, cfg.label_day)
-    if materialize:
-        ensure_checkpoint_dir(cohort.sparkSession)
-        cohort = cohort.checkpoint(eager=True)
+    ensure_checkpoint_dir(cohort.sparkSession)
+    cohort = cohort.checkpoint(eager=True)
     spine = spine_from_students(cohort, src.dim_date, cfg.calendar_start, cfg.as_of, cfg.label_day)
-    return CohortFrames(spine=spine, bounds=cohort.select("student_id", "first_sub_payment_date").distinct())
-
-
-def _ranged(df: DataFrame, col: str, cfg: ChurnConfig, extra_days: int = 0) -> DataFrame:
-    return facts.in_fact_range(df, col, cfg.calendar_start, cfg.as_of, cfg.label_day, extra_days)
-
-
-def daily_facts(src: ChurnSources, group: str, cfg: ChurnConfig = ChurnConfig()) -> DataFrame:
-    """Per-(student, day) pre-aggregates of one feature group, before the window bound."""
-    if group == "sessions":
-        return facts.session_daily(_ranged(src.sessions, "start_ts", cfg))
-    if group == "lessons":
-        lessons = _ranged(src.lessons, "lesson_ts", cfg)
-        return facts.lesson_daily(lessons).unionByName(
-            facts.lesson_new_candidates(lessons, cfg.label_day), allowMissingColumns=True
-        )
-    if group == "messages":
-        return facts.message_daily(src.message_threads, _ranged(src.messages, "time_posted", cfg))
-    if group == "search":
-        return facts.search_daily(_ranged(src.events, "event_ts", cfg))
-    if group == "status":
-        return facts.status_daily(_ranged(src.subscription_logs, "subscription_log_date", cfg, cfg.label_day))
-    if group == "payment":
-        return facts.payment_per_student(src.payments)
-    raise ValueError(f"unknown feature group {group!r}")
+    first = F.col("first_sub_payment_date")
+    lo, hi = cohort.agg(F.min(first), F.date_add(F.max(first), cfg.label_day + 1)).first()
+    never = dt.date(1970, 1, 1)  # an empty cohort needs no facts
+    bounds = cohort.select("student_id", "first_sub_payment_date").distinct()
+    return CohortFrames(spine=spine, bounds=bounds, lo=lo or never, hi=hi or never)
+
+
+def daily_facts(src: ChurnSources, groups: Sequence[str], frames: CohortFrames, cfg: ChurnConfig = ChurnConfig()) -> DataFrame:
+    """Per-(student, day) reductions of the dated sources of ``groups``, from facts
+    inside the cohort's range of dates, before the window bound of each student."""
+    ranged = lambda df, col: facts.in_fact_range(df, col, frames.lo, frames.hi)
+    rows: list[DataFrame] = []
+    if "sessions" in groups:
+        rows.append(facts.session_rows(ranged(src.sessions, "start_ts")))
+    if "lessons" in groups:
+        # a lesson's earlier days decide whether it is new, so these reach back
+        lessons = facts.in_fact_range(src.lessons, "lesson_ts", frames.lo - dt.timedelta(days=cfg.label_day + 1), frames.hi)
+        rows += [facts.lesson_rows(ranged(src.lessons, "lesson_ts")), facts.lesson_new_rows(lessons, cfg.label_day)]
+    if "messages" in groups:
+        rows.append(facts.message_rows(src.message_threads, ranged(src.messages, "time_posted")))
+    if "search" in groups:
+        rows.append(facts.search_rows(ranged(src.events, "event_ts")))
+    if "status" in groups:
+        rows.append(facts.status_rows(ranged(src.subscription_logs, "subscription_log_date")))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return facts.daily(stacked, [g for g in groups if g != "payment"])
 
 
 def feature_frame(
@@ -71,13 +76,14 @@ def feature_frame(
 ) -> DataFrame:
     """Cumulative form: spine rows with the features of ``groups``.
 
-    All daily pre-aggregates (including the distinct-lesson candidates) are
-    stacked and bounded to each student's window with a single join, so no
+    The reduced rows of all sources are bounded to each student's window with a single join, so no
     join ever sees raw fact rows.
     """
     frames = frames or cohort_frames(src, cfg)
-    daily = [daily_facts(src, g, cfg) for g in groups]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), daily)
+    dated = [daily_facts(src, groups, frames, cfg)] if set(groups) - {"payment"} else []
+    if "payment" in groups:
+        dated.append(facts.payment_per_student(src.payments))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dated)
     return acc.accumulate(frames.spine, [facts.within_window(stacked, frames.bounds, cfg.label_day)], groups, key_columns)
 
 

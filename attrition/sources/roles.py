@@ -8,7 +8,6 @@ derivations are written in DuckDB SQL for the oracle (``checks/duckdb_oracle``).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +38,8 @@ def _tutor_id(user: F.Column) -> F.Column:
 
 def role_sources(spark: SparkSession, sf_dir: str) -> ChurnSources:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # Seven roles come from events; parse props once and keep the parsed rows
-    # (spilled to disk when memory is short, recomputed from the scan if lost).
-    events = read("events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    # Seven roles come from events; each scans only its own columns and dates.
+    events = read("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     customer = read("customer")
     nation = read("nation")
     region = read("region")
@@ -75,7 +71,6 @@ def role_sources(spark: SparkSession, sf_dir: str) -> ChurnSources:
             .alias("language_version"),
             (user % STAFF_MODULUS == 0).alias("is_staff"),
         )
-        .persist(StorageLevel.MEMORY_AND_DISK)  # also feeds the log role
     )
 
     k = _k()
@@ -138,8 +133,8 @@ def role_sources(spark: SparkSession, sf_dir: str) -> ChurnSources:
         .groupBy("user_id", tutoring.alias("tutoring_id"), day.alias("subscription_log_date"))
         .agg(F.bool_or(k % 10 != 0).alias("subscription_active_day"))
     )
-    first_sub = dim_student.select(
-        F.col("id").alias("_sid"), F.col("first_subscription_package_ts").alias("first_subscription_event_ts")
+    first_sub = firsts.select(
+        F.col("user_id").alias("_sid"), F.col("first_subscription_package_ts").alias("first_subscription_event_ts")
     )
     subscription_logs = logs.join(first_sub, logs.user_id == first_sub._sid, "left").select(
         "user_id", "tutoring_id", "subscription_log_date", "first_subscription_event_ts", "subscription_active_day"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
-from attrition.operators import facts, prepare
+from attrition.operators import prepare
 from attrition.plans import training_table as tt
-from attrition.plans.registry import FIXTURE, sources
+from attrition.plans.registry import FIXTURE, all_queries, sources
 from tests.conftest import SF_SMALL
 
 
@@ -30,21 +32,23 @@ def test_training_plan_has_no_cross_join_or_python(src):
 
 
 def test_daily_facts_combine_before_the_shuffle(src):
-    plan = plan_text(tt.daily_facts(src, "sessions", FIXTURE))
+    plan = plan_text(tt.daily_facts(src, ("sessions", "search"), tt.cohort_frames(src, FIXTURE), FIXTURE))
     # partial aggregate -> exchange -> final aggregate
     assert "partial_sum" in plan and "Exchange hashpartitioning" in plan
 
 
-def test_fact_range_reaches_parquet_scan(spark, src, tmp_path):
-    path = str(tmp_path / "sessions")
-    src.sessions.write.parquet(path)
-    sessions = spark.read.parquet(path)
-    ranged = facts.in_fact_range(sessions, "start_ts", FIXTURE.calendar_start, FIXTURE.as_of, FIXTURE.label_day)
-    plan = formatted(facts.session_daily(ranged))
-    pushed = [line for line in plan.splitlines() if line.startswith("PushedFilters:")]
-    assert any("GreaterThanOrEqual(start_ts" in p and "LessThan(start_ts" in p for p in pushed)
-    schema = [line for line in plan.splitlines() if line.startswith("ReadSchema:")]
-    assert schema and all("user_id" in x and "pages_viewed" in x for x in schema)
+def test_registered_training_table_prunes_and_aggregates_once(spark):
+    df = all_queries()["training_table"](spark, SF_SMALL)
+    text = formatted(df)
+    scans = [part for part in text.split("\n\n") if "Scan parquet" in part and "events.parquet" in part]
+    assert scans and not any("InMemoryTableScan" in line for line in text.splitlines())
+    dated = [p for p in scans if "GreaterThanOrEqual(ts" in p and "LessThan(ts" in p]
+    assert len(dated) >= 4
+    for p in scans:
+        assert "event_id,ts,user_id,event_type,value,props" not in p.replace(":", ",")
+    assert not any("value" in p.split("ReadSchema")[1] for p in scans if "search" in p)
+    shuffles = [line for line in plan_text(df).splitlines() if re.search(r"(?<!Broadcast)Exchange \w+", line)]
+    assert len(shuffles) <= 14, "\n".join(x[:120] for x in shuffles)
 
 
 def test_balancing_windows_are_bucketed(spark):

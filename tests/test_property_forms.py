@@ -77,8 +77,6 @@ def test_training_table_equals_plain_loops(spark, seed):
 def test_hot_student_is_bounded_before_the_window(spark):
     """One student holds about half of all facts: the table equals plain loops, and the rows it
     brings to the per-student window are bounded by days, not by its facts."""
-    from functools import reduce
-
     from attrition.operators import facts
 
     rnd = random.Random(11)
@@ -103,9 +101,8 @@ def test_hot_student_is_bounded_before_the_window(spark):
     assert got and got == want
 
     frames = tt.cohort_frames(src, CFG)
-    daily = [tt.daily_facts(src, g, CFG) for g in ("sessions", "lessons")]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), daily)
-    hot_rows = facts.within_window(stacked, frames.bounds, CFG.label_day).where("student_id = 1").count()
+    daily = tt.daily_facts(src, ("sessions", "lessons"), frames, CFG)
+    hot_rows = facts.within_window(daily, frames.bounds, CFG.label_day).where("student_id = 1").count()
     days = CFG.label_day + 1
     assert hot_rows <= days * 2 + days * (CFG.label_day + 2)  # session + lesson days, lesson candidates
     assert hot_rows < 3000 // 10
