@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.config import (
@@ -18,7 +18,6 @@ from attrition.config import (
     SPLIT_SEED,
     TEST_PERCENT,
 )
-from attrition.operators.ranking import exact_row_number
 from attrition.sources.tables import training_rows
 
 
@@ -81,22 +80,28 @@ def balance(
     """M3: all positive (churned) rows plus as many negative rows, per group.
 
     Negatives are drawn without replacement in md5 order of (seed, group,
-    student): exactly min(n_pos, n_neg) of them. The numbering is the
-    distributed ``exact_row_number`` over md5 buckets, so a large class never
-    sits in one task.
-    The count table has one row per group (the horizons), so broadcasting it
-    is bounded. The reference fails when negatives are fewer than positives;
-    here all negatives are kept then.
+    student): exactly min(n_pos, n_neg) of them; when they are fewer than the
+    positives all are kept (the reference fails then). Rows that tie on group and
+    student are drawn together.
+
+    A histogram of the md5 order (65,536 buckets a group) gives the bucket in
+    which the draw ends; inside it the last drawn key is looked up. Both are one
+    row a group and broadcast, so the rows themselves are only filtered, never
+    shuffled or ranked.
     """
-    counts = class_counts(train, group_col, label).select(
-        group_col, F.least("n_pos", "n_neg").alias("_keep")
-    )
-    positives = train.where(F.col(label))
-    negatives = train.where(~F.col(label))
-    key = sample_key(seed, group_col)
-    # 65,536 buckets from the first four hex digits of the md5 key: monotone in
-    # the key and evenly filled, so each (horizon, bucket) window is small.
+    y = F.col(label)
+    key = F.concat(sample_key(seed, group_col), F.lit(":"), F.col("student_id").cast("string"))
     bucket = F.conv(F.substring(key, 1, 4), 16, 10).cast("int")
-    numbered = exact_row_number(negatives, [group_col], [key, F.col("student_id")], out="_rn", bucket=bucket)
-    drawn = numbered.join(F.broadcast(counts), group_col).where(F.col("_rn") <= F.col("_keep")).drop("_rn", "_keep")
-    return positives.unionByName(drawn)
+    lean = train.select(F.col(group_col).alias("_g"), y.alias("_y"), key.alias("_key"), bucket.alias("_bucket"))
+    histogram = lean.groupBy("_g", "_bucket").agg(F.count(F.when(~F.col("_y"), 1)).alias("_n"), F.count(F.when(F.col("_y"), 1)).alias("_p"))
+    whole = Window.partitionBy("_g")  # at most 65,536 rows a group
+    through = F.sum("_n").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    ends = histogram.select("_g", "_bucket", "_n", F.least(F.sum("_p").over(whole), F.sum("_n").over(whole)).alias("_keep"), through.alias("_through"))
+    cut = ends.where((F.col("_through") >= F.col("_keep")) & (F.col("_through") - F.col("_n") < F.col("_keep")))
+    cut = cut.select(F.col("_g").alias("_cg"), F.col("_bucket").alias("_cut"), (F.col("_keep") - F.col("_through") + F.col("_n")).alias("_rest"))
+    inside = lean.where(~F.col("_y")).join(F.broadcast(cut), (F.col("_g") == F.col("_cg")) & (F.col("_bucket") == F.col("_cut")))
+    order = Window.partitionBy("_g").orderBy("_key")  # one bucket's rows of a group
+    last = inside.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("_rest")).select("_cg", "_cut", F.col("_key").alias("_last"))
+    drawn = train.join(F.broadcast(last), F.col(group_col) == F.col("_cg"), "left")
+    taken = F.coalesce((bucket < F.col("_cut")) | ((bucket == F.col("_cut")) & (key <= F.col("_last"))), F.lit(False))
+    return drawn.where(y | taken).select(*train.columns)

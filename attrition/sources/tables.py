@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,12 +59,17 @@ def training_rows(
 
 
 def _aligned_to_existing(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Old schema ∪ new schema: columns only the stored table has come back as typed nulls."""
+    """Old schema ∪ new schema: columns only the stored table has come back as typed
+    nulls. A column that both have must keep its type: ValueError otherwise."""
     if not spark.catalog.tableExists(name):
         return df
     old = spark.table(name).schema
-    have = {f.name.lower() for f in df.schema.fields}
-    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in old.fields if f.name.lower() not in have]
+    new = {f.name.lower(): f for f in df.schema.fields}
+    changed = [f for f in old.fields if f.name.lower() in new and new[f.name.lower()].dataType != f.dataType]
+    if changed:
+        said = ", ".join(f"{f.name}: stored {f.dataType.simpleString()}, new {new[f.name.lower()].dataType.simpleString()}" for f in changed)
+        raise ValueError(f"cannot merge schemas of {name}: {said}")
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in old.fields if f.name.lower() not in new]
     return df.select(*df.columns, *missing) if missing else df
 
 
@@ -78,15 +84,42 @@ def save_training_table(
 
     With ``merge_schema`` the written schema is the old one widened by the new
     columns, which is what ``mergeSchema`` promises; on plain parquet tables
-    Spark would silently drop the old columns. Only the old *schema* is read,
-    never its rows, so the table is not read and overwritten in one plan.
+    Spark would silently drop the old columns.
+
+    The rows are first written to a staging table, which takes the old one's
+    place only when the write has succeeded, so a failed job leaves the stored
+    table as it was. An external table's files live in a new folder below
+    ``path`` for each save; the last save's folder is removed after the swap.
     """
     spark = df.sparkSession
     if merge_schema:
         df = _aligned_to_existing(spark, df, name)
-    writer = df.write.mode("overwrite").option("mergeSchema", "true")
+    mark = uuid.uuid4().hex[:12]
+    staging = f"{name}__staging_{mark}"
+    writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if path is not None:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
+        writer = writer.option("path", f"{path.rstrip('/')}/save-{mark}")
+    try:
+        writer.saveAsTable(staging)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        if path is not None:
+            _delete(spark, f"{path.rstrip('/')}/save-{mark}")
+        raise
+    former = _location(spark, name) if path is not None and spark.catalog.tableExists(name) else None
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+    if former is not None and former.rstrip("/").rpartition("/")[2].startswith("save-"):
+        _delete(spark, former)
+
+
+def _location(spark: SparkSession, name: str) -> str | None:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").collect()
+    return rows[0].data_type if rows else None
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -132,3 +134,56 @@ def test_overwrite_merges_schema(spark):
     out = spark.table(name)
     assert out.columns == ["id", "b", "a"]
     assert [tuple(r) for r in out.collect()] == [(2, "b", None)]
+
+
+def test_failed_overwrite_keeps_the_old_table(spark):
+    name = "staged_probe"
+    path = scratch_path(spark, name)
+    save_training_table(spark.range(5), name, path=path)
+    broken = spark.range(3).withColumn("x", F.raise_error(F.lit("no")).cast("int"))
+    for kw in ({"path": path}, {}):
+        with pytest.raises(Exception, match="no"):
+            save_training_table(broken, name, **kw)
+        assert spark.table(name).count() == 5
+    save_training_table(spark.range(2), name, path=path)
+    assert spark.table(name).count() == 2
+
+
+def test_type_conflict_is_refused(spark):
+    name = "conflict_probe"
+    path = scratch_path(spark, name)
+    save_training_table(spark.createDataFrame([("a",)], "a string"), name, path=path)
+    with pytest.raises(ValueError, match="a: stored string, new int"):
+        save_training_table(spark.createDataFrame([(1,)], "a int"), name, path=path)
+    assert spark.table(name).first().a == "a"
+
+
+def test_null_order_dates_and_buckets_are_numbered(spark):
+    df = spark.createDataFrame([(1, None, 1), (1, 5, 2), (1, None, 3), (2, None, 4)], "g int, o int, id int")
+    got = exact_row_number(df, ["g"], ["o", "id"], bucket=F.col("o"))
+    assert sorted((r.id, r.row_number) for r in got.collect()) == [(1, 1), (2, 3), (3, 2), (4, 1)]
+
+
+def test_scores_outside_zero_one_null_and_nan(spark):
+    nan, inf = float("nan"), float("inf")
+    scores = [(True, nan), (False, 0.2), (True, inf), (False, -inf), (True, 7.5), (False, 7.25), (False, -3.0), (True, -2.5), (True, None), (False, None), (True, 1.0)]
+    pred = spark.createDataFrame([(7, "m", y, s) for y, s in scores], "horizon int, model string, label boolean, p_churn double")
+    rank = lambda s: (1, 0.0) if s != s else (0, s)
+    pos, neg = ([rank(s) for y, s in scores if y is w and s is not None] for w in (True, False))
+    want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    r = evaluate.roc_auc(pred).first()
+    assert (r.roc_auc, r.n_unscored) == (want, 2)
+    flags = evaluate.with_threshold_flags(pred, (0.85, 0.851)).collect()
+    assert [(f.thr_85, f.thr_85_1) for f in flags] == [(s is not None and s == s and s >= 0.85, s is not None and s == s and s >= 0.851) for _, s in scores]
+    two = evaluate.threshold_metrics(pred, (0.85, 0.851)).collect()
+    assert [t.threshold for t in two] == [0.85, 0.851]
+
+
+def test_repeated_student_keeps_all_dates(spark):
+    from attrition.operators.spine import build_spine
+    from tests.conftest import SCHEMAS, D, T
+
+    students = [(1, T("2024-01-01 08:00:00"), T(f"2024-01-{d:02d} 09:00:00"), "DE", "X", "EU", 1.0, "lv1", False) for d in (1, 5)]
+    dates = spark.createDataFrame([(D(f"2024-01-{d:02d}"),) for d in range(1, 32)], SCHEMAS["dim_date"])
+    spine = build_spine(spark.createDataFrame(students, SCHEMAS["dim_student"]), dates, "2024-01-01", "2024-02-01", 5).collect()
+    assert sorted(r.date_dt for r in spine) == [D(f"2024-01-{d:02d}") for d in range(1, 11)]
