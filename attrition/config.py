@@ -107,35 +107,10 @@ MODEL_COLUMNS = [
     "num_search_page_views",
     "num_impressions",
 ]
-NUMERIC_FEATURES = [
-    "student_age",
-    "n_days_since_last_confirmed_lesson",
-    "num_confirmed_lessons_during_sub",
-    "hours",
-    "gmv_proceeds_usd",
-    "avg_lesson_rating",
-    "sum_pages_viewed_all",
-    "avg_pages_viewed_all",
-    "days_with_session",
-    "sum_session_duration_all",
-    "avg_session_duration_all",
-    "sum_page_viewed_app",
-    "avg_page_viewed_app",
-    "sum_session_duration_app",
-    "avg_session_duration_app",
-    "sum_page_viewed_non_app",
-    "avg_page_viewed_non_app",
-    "sum_session_duration_non_app",
-    "avg_session_duration_non_app",
-    "days_since_last_session",
-    "student_messages_sent",
-    "tutor_messages_sent",
-    "num_search_page_views",
-    "num_impressions",
-]
 CATEGORICAL_FEATURES = ["subject", "country_code", "focus_countries", "region", "language_version"]
 # Passed through to the models unfilled and uncast, as in the reference.
 PASSTHROUGH_FEATURES = ["days_since_first_sub_payment"]
+NUMERIC_FEATURES = [c for c in MODEL_COLUMNS if c not in CATEGORICAL_FEATURES + PASSTHROUGH_FEATURES]
 
 
 @dataclass(frozen=True)
@@ -149,3 +124,11 @@ class ChurnConfig:
     split_seed: int = SPLIT_SEED
     test_percent: int = TEST_PERCENT
     thresholds: tuple[float, ...] = THRESHOLDS
+    # Trees bin continuous features; more bins bring the split points closer to the
+    # exhaustive search of a single-machine tree.
+    max_bins: int = 256
+    # Iterative learners run one job an iteration (a tree level for trees), so the
+    # encoded rows of a fit are gathered into partitions of about this many bytes.
+    fit_partition_bytes: int = 64 << 20
+    # Logistic regression stops when the objective's relative change falls below this.
+    logreg_tol: float = 1e-10

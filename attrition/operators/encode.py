@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +55,27 @@ def feature_names(df: DataFrame, col: str = FEATURES) -> list[str]:
     return names
 
 
-def explode_features(encoded: DataFrame, keys: Sequence[str], col: str = FEATURES) -> DataFrame:
-    """Long form (keys..., feature, value) of the non-zero slots of each row."""
-    names = F.array(*[F.lit(n) for n in feature_names(encoded, col)])
-    exploded = encoded.select(*keys, F.posexplode(vector_to_array(col)).alias("_pos", "value"))
-    return exploded.where(F.col("value") != 0.0).select(
-        *keys, F.element_at(names, F.col("_pos") + 1).alias("feature"), "value"
-    )
+def explode_features(
+    encoded: DataFrame, keys: Sequence[str], categoricals: Sequence[str] = CATEGORICAL_FEATURES, columns: Sequence[str] = MODEL_COLUMNS
+) -> DataFrame:
+    """Long form (keys..., feature, value) of the non-zero slots of each row.
+
+    Built from the category columns (one slot each, if the level has one) and the
+    pass-through columns, not from the vector's full width."""
+    cells = []
+    for c in categoricals:
+        seen = F.col(f"{c}__idx") < F.lit(len(_levels(encoded, c)))
+        cells.append(F.struct(F.concat(F.lit(f"{c}="), F.col(c)).alias("feature"), F.when(seen, F.lit(1.0)).otherwise(F.lit(0.0)).alias("value")))
+    for c in columns:
+        if c not in categoricals:
+            cells.append(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")))
+    long = encoded.select(*keys, F.explode(F.array(*cells)).alias("_cell"))
+    return long.where(F.col("_cell.value") != 0.0).select(*keys, "_cell.feature", "_cell.value")
+
+
+def _levels(encoded: DataFrame, column: str) -> list[str]:
+    """Levels with a slot: those that the indexer saw."""
+    return [a["name"] for a in encoded.schema[f"{column}__ohe"].metadata["ml_attr"]["attrs"]["binary"]]
 
 
 def fit_encoder(train: DataFrame, **kw) -> PipelineModel:

@@ -4,37 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrition.config import (
+    CATEGORICAL_FEATURES,
     GBT_DEPTH,
     GBT_STEP,
     GBT_TREES,
     HORIZON_COL,
     LABEL,
     LOGREG_MAX_ITER,
+    MODEL_COLUMNS,
     SPLIT_SEED,
     TREE_MAX_DEPTH,
+    ChurnConfig,
 )
-from attrition.operators.encode import FEATURES, feature_names, fit_encoder
+from attrition.operators.encode import FEATURES, encoder, feature_names
 
 MODEL_NAMES = ("logistic_regression", "decision_tree", "gradient_boosting")
 TARGET = "_y"
-# Spark bins continuous features; more bins bring the split points closer to
-# the exhaustive search of a single-machine tree.
-MAX_BINS = 256
 
 
-def estimator(name: str, horizon: int, n_train: int):
+def estimator(name: str, horizon: int, n_train: int, cfg: ChurnConfig = ChurnConfig()):
     if name == "logistic_regression":
         # L2 with C=1 on a summed loss = regParam 1/n on Spark's mean loss;
         # features are not standardised in that objective.
@@ -42,6 +44,7 @@ def estimator(name: str, horizon: int, n_train: int):
             featuresCol=FEATURES,
             labelCol=TARGET,
             maxIter=LOGREG_MAX_ITER.get(horizon, 1000),
+            tol=cfg.logreg_tol,
             regParam=1.0 / max(n_train, 1),
             elasticNetParam=0.0,
             standardization=False,
@@ -54,7 +57,7 @@ def estimator(name: str, horizon: int, n_train: int):
             featuresCol=FEATURES,
             labelCol=TARGET,
             maxDepth=TREE_MAX_DEPTH,
-            maxBins=MAX_BINS,
+            maxBins=cfg.max_bins,
             seed=SPLIT_SEED,
             cacheNodeIds=True,
             checkpointInterval=10,
@@ -66,130 +69,121 @@ def estimator(name: str, horizon: int, n_train: int):
             maxIter=GBT_TREES,
             stepSize=GBT_STEP,
             maxDepth=GBT_DEPTH,
-            maxBins=MAX_BINS,
+            maxBins=cfg.max_bins,
             seed=SPLIT_SEED,
         )
     raise ValueError(f"unknown model {name!r}")
 
 
-def _with_target(df: DataFrame) -> DataFrame:
-    return df.withColumn(TARGET, F.col(LABEL).cast("double"))
+@dataclass
+class HorizonModels:
+    """One horizon's encoder and the models fitted on its output."""
 
+    encoder: PipelineModel
+    n_rows: int
+    models: dict[str, Model]
 
-# Rows per partition of a fitting set. Iterative learners run one job per
-# iteration (per tree level for trees); with few rows, task overhead dominates,
-# so the partition count follows the row count instead of the shuffle setting.
-ROWS_PER_FIT_PARTITION = 250_000
+    def pipeline(self, name: str) -> PipelineModel:
+        return PipelineModel(stages=[*self.encoder.stages, self.models[name]])
 
 
-def fit_partitions(n_rows: int) -> int:
-    return max(1, -(-n_rows // ROWS_PER_FIT_PARTITION))
-
-
-def _encode_horizon(train: DataFrame, n_rows: int) -> tuple[PipelineModel, DataFrame]:
-    """Fit the encoder on one horizon's balanced rows and keep the encoded rows."""
-    enc = fit_encoder(train)
-    encoded = (
-        _with_target(enc.transform(train)).select(FEATURES, TARGET).repartition(fit_partitions(n_rows)).persist()
-    )
-    encoded.count()
-    return enc, encoded
-
-
-def fit_horizon(
-    train: DataFrame, horizon: int, models: Sequence[str] = MODEL_NAMES, n_rows: int | None = None
-) -> dict[str, PipelineModel]:
-    """One encoder fitted on the balanced rows, then each model on its output."""
-    n = n_rows if n_rows is not None else train.count()
-    enc, encoded = _encode_horizon(train, n)
-    try:
-        return {
-            name: PipelineModel(stages=[*enc.stages, estimator(name, horizon, n).fit(encoded)]) for name in models
-        }
-    finally:
-        encoded.unpersist()
+def fit_partitions(n_rows: int, width: int, cfg: ChurnConfig = ChurnConfig()) -> int:
+    """Partitions of a fitting set, from its encoded size (8 bytes a slot)."""
+    return max(1, -(-n_rows * width * 8 // cfg.fit_partition_bytes))
 
 
 def fit_all(
     balanced: DataFrame,
     horizons: Sequence[int],
     models: Sequence[str] = MODEL_NAMES,
-    parallel: bool = True,
-) -> dict[int, dict[str, PipelineModel]]:
-    """Fit every (horizon, model) pair.
-
-    The balanced rows are materialised once (persisted; recomputed from
-    lineage if an executor is lost); their per-horizon sizes come from one
-    small aggregate. Each horizon's encoder is fitted once; then all pairs
-    are fitted as concurrent Spark jobs, since small iterative fits are bound
-    by job latency rather than by cluster capacity.
+    cfg: ChurnConfig = ChurnConfig(),
+    categoricals: Sequence[str] = CATEGORICAL_FEATURES,
+    columns: Sequence[str] = MODEL_COLUMNS,
+) -> dict[int, HorizonModels]:
+    """One encoder for each horizon, then every model on its output.
+
+    The caller owns ``balanced`` (and its caching). The encoded rows of each
+    horizon are persisted for its fits and released after; all (horizon, model)
+    pairs are fitted as concurrent Spark jobs, since small iterative fits are
+    bound by job latency rather than by cluster capacity. A horizon without rows,
+    or with one class only, is an error that names it.
     """
-    cached = balanced.persist()
-    encoded: dict[int, tuple[PipelineModel, DataFrame, int]] = {}
+    found = balanced.groupBy(HORIZON_COL).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(LABEL).alias("classes")).collect()
+    sizes = {int(r[0]): int(r.n) for r in found}
+    poor = [h for h in horizons if h not in sizes] + [int(r[0]) for r in found if r[0] in horizons and r.classes < 2]
+    if poor:
+        raise ValueError(f"no balanced training rows of both classes on horizon days {sorted(poor)}")
+    kept: dict[int, tuple[PipelineModel, DataFrame]] = {}
     try:
-        sizes = {int(r[0]): int(r[1]) for r in cached.groupBy(HORIZON_COL).count().collect()}  # one row per horizon
 
         def encode(h: int):
-            n = sizes.get(int(h), 0)
-            enc, rows = _encode_horizon(cached.where(F.col(HORIZON_COL) == h), n)
-            return h, (enc, rows, n)
+            rows = balanced.where(F.col(HORIZON_COL) == h)
+            enc = encoder(categoricals, columns).fit(rows)
+            out = enc.transform(rows).withColumn(TARGET, F.col(LABEL).cast("double")).select(FEATURES, TARGET)
+            out = out.repartition(fit_partitions(sizes[h], len(feature_names(out)), cfg)).persist()
+            out.count()
+            return h, (enc, out)
 
         def fit(pair: tuple[int, str]):
             h, name = pair
-            enc, rows, n = encoded[h]
-            return h, name, PipelineModel(stages=[*enc.stages, estimator(name, h, n).fit(rows)])
-
-        pairs = [(h, m) for h in horizons for m in models]
-        workers = max(1, len(pairs)) if parallel else 1
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            encoded.update(pool.map(encode, horizons))
-            results = list(pool.map(fit, pairs))
-        fitted: dict[int, dict[str, PipelineModel]] = {h: {} for h in horizons}
-        for h, name, model in results:
-            fitted[h][name] = model
-        return fitted
+            return h, name, estimator(name, h, sizes[h], cfg).fit(kept[h][1])
+
+        with ThreadPoolExecutor(max_workers=max(1, len(horizons) * len(models))) as pool:
+            kept.update(pool.map(encode, horizons))
+            results = list(pool.map(fit, [(h, m) for h in horizons for m in models]))
+        return {h: HorizonModels(kept[h][0], sizes[h], {m: model for g, m, model in results if g == h}) for h in horizons}
     finally:
-        for _, rows, _ in encoded.values():
+        for _, rows in kept.values():
             rows.unpersist()
-        cached.unpersist()
 
 
-def predictions(fitted: dict[int, dict[str, PipelineModel]], test: DataFrame) -> DataFrame:
-    """(horizon, model, student_id, label, prediction, p_churn) on test rows."""
+def fit_report(spark: SparkSession, fitted: dict[int, HorizonModels]) -> DataFrame:
+    """How each fit ended: iterations of the logistic fits and whether the limit
+    stopped them; depth and nodes of the trees and whether a tree reached the depth
+    limit (Spark's ceiling of 30 for the single tree), so that a cut tree is seen."""
+    rows = []
+    for h, hm in fitted.items():
+        for name, m in hm.models.items():
+            if name == "logistic_regression":
+                done = m.summary.totalIterations
+                rows.append((h, name, hm.n_rows, done, None, None, done >= m.getMaxIter()))
+            elif name == "decision_tree":
+                rows.append((h, name, hm.n_rows, None, m.depth, m.numNodes, m.depth >= TREE_MAX_DEPTH))
+            else:
+                rows.append((h, name, hm.n_rows, m.getNumTrees, max(t.depth for t in m.trees), m.totalNumNodes, False))
+    return spark.createDataFrame(rows, "horizon int, model string, n_rows long, iterations int, depth int, nodes int, hit_limit boolean")
+
+
+def predictions(fitted: dict[int, HorizonModels], test: DataFrame) -> DataFrame:
+    """(horizon, model, student_id, label, prediction, p_churn) on test rows.
+
+    Each horizon's rows are encoded once; its models add their columns to the same
+    rows, which are then unpivoted."""
     frames = []
-    for h, per_model in fitted.items():
-        rows = test.where(F.col(HORIZON_COL) == h)
-        for name, model in per_model.items():
-            scored = model.transform(rows)
-            frames.append(
-                scored.select(
-                    F.lit(h).alias("horizon"),
-                    F.lit(name).alias("model"),
-                    "student_id",
-                    F.col(LABEL).alias("label"),
-                    (F.col("prediction") == 1.0).alias("prediction"),
-                    vector_to_array("probability")[1].alias("p_churn"),
-                )
-            )
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def feature_importance(fitted: dict[int, dict[str, PipelineModel]], sample: DataFrame, model: str = "gradient_boosting") -> DataFrame:
+    for h, hm in fitted.items():
+        rows = hm.encoder.transform(test.where(F.col(HORIZON_COL) == h)).select("student_id", F.col(LABEL).alias("label"), FEATURES)
+        cells = []
+        for i, (name, model) in enumerate(hm.models.items()):
+            own = model.copy({model.predictionCol: f"_c{i}", model.probabilityCol: f"_p{i}", model.rawPredictionCol: f"_r{i}"})
+            rows = own.transform(rows)
+            cells.append(f"'{name}', _c{i} = 1.0, _q{i}")
+        for i in range(len(cells)):
+            rows = rows.withColumn(f"_q{i}", vector_to_array(f"_p{i}")[1])
+        long = rows.select("student_id", "label", F.expr(f"stack({len(cells)}, {', '.join(cells)}) as (model, prediction, p_churn)"))
+        frames.append(long.select(F.lit(h).alias("horizon"), "model", "student_id", "label", "prediction", "p_churn"))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def feature_importance(fitted: dict[int, HorizonModels], sample: DataFrame, model: str = "gradient_boosting") -> DataFrame:
     """M20 + O1: (horizon, feature_name, feature_importances), most important first.
 
     Names come from the assembled vector's metadata; the table has one row
     per feature and horizon, built on the driver from the fitted models.
     """
-    spark = sample.sparkSession
     rows = []
-    for h, per_model in fitted.items():
-        pm = per_model[model]
-        enc = PipelineModel(stages=pm.stages[:-1])
-        names = feature_names(enc.transform(sample.where(F.col(HORIZON_COL) == h)))  # schema only, no job
-        imp = pm.stages[-1].featureImportances.toArray()
-        rows.extend((int(h), n, float(v)) for n, v in zip(names, imp))
-    df = spark.createDataFrame(rows, "horizon int, feature_name string, feature_importances double")
+    for h, hm in fitted.items():
+        names = feature_names(hm.encoder.transform(sample.where(F.col(HORIZON_COL) == h)))  # schema only, no job
+        imp = hm.models[model].featureImportances.toArray()
+        rows.extend((int(h), n, float(v)) for n, v in zip(names, imp, strict=True))
+    df = sample.sparkSession.createDataFrame(rows, "horizon int, feature_name string, feature_importances double")
     return df.orderBy("horizon", F.desc("feature_importances"), "feature_name")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +35,7 @@ def model_data(training: DataFrame, cfg: ChurnConfig = ChurnConfig(), checkpoint
 @dataclass
 class ModelRun:
     data: ModelData
-    fitted: dict[int, dict[str, PipelineModel]]
+    fitted: dict[int, models.HorizonModels]
     predictions: DataFrame
     reports: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -49,6 +48,7 @@ REPORTS = (
     "threshold_table",
     "feature_importance",
     "correlation",
+    "fit_report",
 )
 
 
@@ -64,11 +64,13 @@ def run_models(
     their small driver-side step when requested)."""
     data = model_data(training, cfg, checkpoint=checkpoint)
     train = data.train.persist()
-    fitted = models.fit_all(train, cfg.horizons, model_names)
+    try:
+        fitted = models.fit_all(train, cfg.horizons, model_names, cfg)
+    finally:
+        train.unpersist()
     pred = models.predictions(fitted, data.test)
     if checkpoint:
         pred = pred.checkpoint(eager=True)
-    train.unpersist()
     gbt = pred.where(F.col("model") == "gradient_boosting")
     builders = {
         "model_metrics": lambda: evaluate.model_metrics(pred, compat=True),
@@ -77,6 +79,7 @@ def run_models(
         "roc_auc": lambda: evaluate.roc_auc(pred),
         "threshold_table": lambda: evaluate.threshold_table(gbt, cfg.horizons, cfg.thresholds),
         "feature_importance": lambda: models.feature_importance(fitted, data.train),
+        "fit_report": lambda: models.fit_report(pred.sparkSession, fitted),
         "correlation": lambda: stats.correlation_matrix(data.frame),
     }
     needs_gbt = {"threshold_table", "feature_importance"}

@@ -22,15 +22,16 @@ ENGINE_CONF = {
 
 
 # Settings for the batch jobs on a cluster at the target scale (~100 TB of
-# facts). Scans split at 256 MB; shuffles start wide and AQE coalesces them to
+# facts). Scans split at 1 GB (100,000 map tasks; they aggregate as they read);
+# shuffles start at 4,000 partitions and AQE coalesces them to
 # ~256 MB partitions (size first, not parallelism first, on a shared cluster),
 # so a partition fits an executor's memory with room to sort. The daily
 # pre-aggregates are far smaller than the raw facts, so after the first
 # exchange most partitions are coalesced away. Skewed join partitions above
 # 5x the median and 512 MB are split.
 CLUSTER_CONF = {
-    "spark.sql.files.maxPartitionBytes": "256m",
-    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "1g",
+    "spark.sql.shuffle.partitions": "4000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
@@ -39,10 +40,19 @@ CLUSTER_CONF = {
 
 
 def apply_cluster_conf(spark: SparkSession) -> None:
-    """Engine settings plus the cluster sizing above (leaves other settings alone)."""
+    """Engine settings plus the cluster sizing above, each only where the session
+    has not set it."""
     apply_engine_conf(spark)
-    for key, value in CLUSTER_CONF.items():
-        spark.conf.set(key, value)
+    _set_unset(spark, CLUSTER_CONF)
+
+
+def _set_unset(spark: SparkSession, conf: dict[str, str]) -> None:
+    """Set the keys that neither the session nor the application has set."""
+    given = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    own = {r.key for r in spark.sql("SET").collect()}
+    for key, value in conf.items():
+        if key not in given and key not in own:
+            spark.conf.set(key, value)
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "attrition") -> SparkSession:
@@ -67,13 +77,11 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def apply_engine_conf(spark: SparkSession) -> None:
-    for key, value in ENGINE_CONF.items():
-        spark.conf.set(key, value)
-    # Local mode only: Spark's default of 200 shuffle partitions is sized for
-    # a cluster; on one machine use one per core. Explicit settings are kept.
+    """Engine settings where unset; in local mode also one shuffle partition a core,
+    since Spark's default of 200 is sized for a cluster."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
+    local = {"spark.sql.shuffle.partitions": str(sc.defaultParallelism)} if sc.master.startswith("local") else {}
+    _set_unset(spark, ENGINE_CONF | local)
 
 
 def checkpoint_root(spark: SparkSession) -> str:

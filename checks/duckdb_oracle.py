@@ -453,6 +453,45 @@ def model_sql() -> dict[str, str]:
         "FROM predictions) GROUP BY 1, 2, 3) GROUP BY 1, 2)"
     )
     q["save_reload"] = with_roles("SELECT * FROM training")
+    merged = ", ".join(f"NULL AS {c}" if c in SESSION_COLUMNS else c for c in TRAINING_COLUMNS)
+    q["save_merge"] = with_roles(f"SELECT {merged} FROM training")
+    repeated = with_roles(f"SELECT {SPINE_COLS} FROM spine_days").replace(
+        "    FROM dim_student\n    WHERE NOT is_staff",
+        "    FROM (SELECT * FROM dim_student UNION ALL SELECT * REPLACE (first_subscription_package_ts + INTERVAL 4 DAY "
+        "AS first_subscription_package_ts) FROM dim_student WHERE id % 3 = 0)\n    WHERE NOT is_staff",
+    )
+    q["spine_repeated_students"] = repeated
+    q["payment_order_without_dates"] = (
+        "SELECT o_orderkey, o_custkey, o_day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_day NULLS FIRST, o_orderkey) AS order_no "
+        "FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS o_day FROM orders)"
+    )
+    gappy = (
+        "gappy AS (SELECT * REPLACE (CASE student_id % 9 WHEN 1 THEN NULL WHEN 2 THEN 'NaN'::DOUBLE WHEN 3 THEN p_churn + 1.5::DOUBLE "
+        "ELSE p_churn END AS p_churn) FROM predictions)"
+    )
+    # wins of churners over non-churners, counted pair by pair
+    q["roc_auc_gaps"] = with_model(
+        "SELECT g.horizon, g.model, w.won / NULLIF(CAST(g.p * g.n AS DOUBLE), 0) AS roc_auc, g.n_unscored FROM ("
+        "SELECT horizon, model, count(*) FILTER (WHERE label AND p_churn IS NOT NULL) AS p, "
+        "count(*) FILTER (WHERE NOT label AND p_churn IS NOT NULL) AS n, count(*) FILTER (WHERE p_churn IS NULL) AS n_unscored "
+        "FROM gappy GROUP BY ALL) g LEFT JOIN (SELECT a.horizon, a.model, sum(CASE WHEN a.p_churn > b.p_churn THEN 1.0::DOUBLE "
+        "WHEN a.p_churn = b.p_churn THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS won FROM gappy a JOIN gappy b USING (horizon, model) "
+        "WHERE a.label AND NOT b.label AND a.p_churn IS NOT NULL AND b.p_churn IS NOT NULL GROUP BY ALL) w USING (horizon, model)",
+        extra_cte=gappy,
+    )
+    sure = ", ".join(
+        f"coalesce(NOT isnan(p_churn) AND p_churn >= {float(t)}::DOUBLE, false) AS thr_{int(round(t * 100))}" for t in THRESHOLDS
+    )
+    q["prediction_flags_gaps"] = with_model(f"SELECT horizon, model, student_id, label, {sure} FROM gappy", extra_cte=gappy)
+    ruled = "language_version = 'lv2'"
+    for key, name in (("logistic", "logistic_regression"), ("tree", "decision_tree"), ("gbt", "gradient_boosting")):
+        q[f"fit_{key}_rule"] = with_model(
+            f"SELECT days_since_first_sub_payment AS horizon, '{name}' AS model, student_id, {ruled} AS label, {ruled} AS prediction FROM test_rows"
+        )
+    q["feature_importance_rule"] = with_model(
+        "SELECT DISTINCT days_since_first_sub_payment AS horizon, 'language_version=lv2' AS feature_name, "
+        "1.0::DOUBLE AS feature_importances FROM train_rows"
+    )
     return q
 
 

@@ -19,9 +19,16 @@ def duck():
     return duck_connection(SF_SMALL)
 
 
+#: Needs more rows than sf0.001 has: on five rows two features fit the rule equally well.
+LARGER = {"feature_importance_rule": "/root/testdata/sf0.01"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, duck, name):
-    df = QUERIES[name](spark, SF_SMALL)
+    folder = LARGER.get(name, SF_SMALL)
+    if folder != SF_SMALL:
+        duck = duck_connection(folder)
+    df = QUERIES[name](spark, folder)
     cols = sorted(df.columns)
     got = _rows([tuple(r[c] for c in cols) for r in df.collect()])
     rel = duck.sql(SQL[name])
@@ -36,6 +43,35 @@ def test_every_query_has_an_oracle_or_is_a_model_fit():
     assert rows_only == {"fit_logistic", "fit_tree", "fit_gbt", "feature_importance", "model_report"}
 
 
+def test_logistic_fit_reaches_the_minimum(spark):
+    """The gradient of mean log loss + |w|^2 / (2 n), per standard deviation of each feature."""
+    import numpy as np
+
+    from attrition.config import HORIZON_COL, LABEL
+    from attrition.operators import models
+    from attrition.plans import registry
+
+    train = registry._data(spark, "/root/testdata/sf0.01").train.cache()
+    fitted = models.fit_all(train, (7,), ("logistic_regression", "decision_tree"))[7]
+    rows = fitted.encoder.transform(train.where(f"{HORIZON_COL} = 7")).select("features", LABEL).collect()
+    x = np.array([r.features.toArray() for r in rows])
+    y = np.array([float(r[LABEL]) for r in rows])
+    lr = fitted.models["logistic_regression"]
+    w = lr.coefficients.toArray()
+    off = 1 / (1 + np.exp(-(x @ w + lr.intercept))) - y
+    gradient = x.T @ off / len(y) + w / len(y)
+    spread = x.std(axis=0)
+    used = spread > 0
+    assert np.abs(gradient[used] / spread[used]).max() < 1e-5
+    assert abs(off.mean()) < 1e-6
+    report = {r.model: r for r in models.fit_report(spark, {7: fitted}).collect()}
+    assert report["logistic_regression"].iterations > 0 and not report["logistic_regression"].hit_limit
+    assert report["decision_tree"].depth >= 1 and not report["decision_tree"].hit_limit
+    with pytest.raises(ValueError, match="99"):
+        models.fit_all(train, (7, 99), ("decision_tree",))
+    train.unpersist()
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() == 275  # FIXTURES.md: training rows at sf0.001
