@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import by_bytes, expand, table
+from attrition.llm.common import by_bytes, expand, map_arrow, table
 
 LONG = 512
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000
 BATCH_BYTES = 4 << 20
 _NONE = np.int32(2**31 - 1)
 
@@ -350,7 +350,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_arrow(picked, run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -365,7 +365,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id"
 
     picked = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, payload binary").withColumnRenamed("id", id_col)
+    return map_arrow(picked, run, f"id {kind}, payload binary").withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -395,7 +395,7 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, with_ids: boo
 
     picked = docs.select("doc_id", "text")
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return map_arrow(picked, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def default_vocabulary() -> tuple[str, str]:

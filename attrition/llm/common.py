@@ -15,11 +15,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from attrition.session import checkpoint_root, scratch_path
+from attrition.session import checkpoint_root, scratch_path, set_unset
 
 #: The white-space bytes of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
+#: Rows of a record batch between Spark and its Python workers.
+ARROW_ROWS = 1000
+
+# Freed Arrow memory goes back to the system instead of staying with the worker.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -76,6 +82,14 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` in record batches of at most ``ARROW_ROWS`` rows (unless the
+    session sets another number): texts are long, and a batch is held in memory on
+    both sides."""
+    set_unset(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS)})
+    return df.mapInArrow(run, schema)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -104,12 +118,12 @@ class _Powers:
         self.up = np.ones(1, _U64)
         self.down = np.ones(1, _U64)
 
-    def take(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) <= n:
             m = len(self.up)
             self.up = np.concatenate([self.up, self.up * _U64(pow(_BASE, m, 1 << 64))])
             self.down = np.concatenate([self.down, self.down * _U64(pow(_BASE_INV, m, 1 << 64))])
-        return self.up[:n], self.down[:n]
+        return self.up, self.down
 
 
 _POWERS = _Powers()
@@ -156,11 +170,13 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plai
     ends[:-1] &= ~inside[data[1:]] | edge[1:n]
     s = np.flatnonzero(starts)
     e = np.flatnonzero(ends) + 1
-    up, down = _POWERS.take(n + 1)
-    total = np.empty(n + 1, _U64)
-    total[0] = 0
-    np.cumsum((_LOWER_VALUES if lower else _BYTE_VALUES)[data] * up[:n], out=total[1:])
-    h = mix64((total[e] - total[s]) * down[s] + (e - s).astype(_U64))
+    # exponents count from each document's start, so the tables stay as long as the longest one
+    sizes = np.diff(offsets)
+    up, down = _POWERS.upto(int(sizes.max(initial=0)))
+    place = np.arange(n, dtype=np.int64) - np.repeat(offsets[:-1], sizes)
+    total = np.zeros(n + 1, _U64)
+    np.cumsum((_LOWER_VALUES if lower else _BYTE_VALUES)[data] * up[place], out=total[1:])
+    h = mix64((total[e] - total[s]) * down[place[s]] + (e - s).astype(_U64))
     return Words(data, s, e, h, np.searchsorted(s, offsets))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrition.llm.common import materialize
+from attrition.llm.common import map_arrow, materialize
 
 
 EDGES = 1 << 20
@@ -83,7 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = materialize(now, "edges")
     parts = now.count() // EDGES + 1
-    now = materialize(now.coalesce(parts).mapInArrow(_contract_partitions, "u long, v long"), "edges")
+    now = materialize(map_arrow(now.coalesce(parts), _contract_partitions, "u long, v long"), "edges")
     state = None
     while parts > 1:  # one partition's stars are the components
         now = materialize(_star(_star(now, True), False), "edges")

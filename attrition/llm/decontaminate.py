@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import Words, by_bytes, mix64, split_words, table, text_buffer
+from attrition.llm.common import Words, by_bytes, map_arrow, mix64, split_words, table, text_buffer
 
 SPAN = 10
 MASKS = [[p for p in range(SPAN) if p // 2 not in pair] for pair in combinations(range(SPAN // 2), 2)]
@@ -193,7 +193,7 @@ def find_overlaps(
         return run
 
     for s in slices(benchmark, item_col, item_text, slice_bytes):
-        out = out.unionAll(picked.mapInArrow(scan(spark.sparkContext.broadcast(s)), schema))
+        out = out.unionAll(map_arrow(picked, scan(spark.sparkContext.broadcast(s)), schema))
     return out
 
 
@@ -218,7 +218,7 @@ def decontaminate(
         return run
 
     for s in slices(benchmark, item_col, item_text, slice_bytes):
-        inner = inner.mapInArrow(keep(spark.sparkContext.broadcast(s), names.index(text_col)), schema)
+        inner = map_arrow(inner, keep(spark.sparkContext.broadcast(s), names.index(text_col)), schema)
     return inner.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 

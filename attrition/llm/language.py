@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import by_bytes, mix64, table, text_buffer
+from attrition.llm.common import by_bytes, map_arrow, mix64, table, text_buffer
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
@@ -47,7 +47,7 @@ RATIO = 0.25
 SLOT_BITS = 20
 PROBES = 2
 MAX_LANGUAGES = 1024
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 MIN_SCORE = 0.35
 
 _LETTER = regex.compile(r"\p{L}").search
@@ -203,7 +203,7 @@ def learn(
                         names=["lang", "size", "gram", "times"],
                     )
 
-    counted = sample.mapInArrow(count, "lang string, size int, gram long, times long")
+    counted = map_arrow(sample, count, "lang string, size int, gram long, times long")
     grams = counted.groupBy("lang", "size", "gram").agg(F.sum("times").alias("times"))
     totals = grams.groupBy("lang", "size").agg(F.sum("times").alias("total"))
     shares = grams.join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("times") / F.col("total"))
@@ -229,7 +229,7 @@ def predict(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", p
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*plain, "lang_pred", "score"])
 
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in inner.schema], "lang_pred string, score double"])
-    out = inner.mapInArrow(run, schema)
+    out = map_arrow(inner, run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "lang_pred", "score")
 
 

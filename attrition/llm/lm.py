@@ -47,11 +47,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import by_bytes, materialize, mix64, open_fs, shared_folder, size_of_table, split_words, table, text_buffer
+from attrition.llm.common import by_bytes, map_arrow, materialize, mix64, open_fs, shared_folder, size_of_table, split_words, table, text_buffer
 
 SLICE_BYTES = 16 << 20
 RANGE_BYTES = 128 << 20
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 GRID = 4  # estimates are rounded to 1/4 of a power of two
 MAX_BUCKET = 48
 KEPT, DELETED, HELD_OUT = 0, 1, 2
@@ -256,7 +256,7 @@ def train(
         if held:
             yield flush()
 
-    asked = picked.mapInArrow(count, "range int, slice string, keys binary, kept binary, deleted binary")
+    asked = map_arrow(picked, count, "range int, slice string, keys binary, kept binary, deleted binary")
 
     def answer(group: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpack(x), dtype=np.uint64) for x in group["keys"].to_pylist()]

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attrition.llm.common import materialize, table
+from attrition.llm.common import map_arrow, materialize, table
 
 NEIGHBOURS = 20
 TREES = 16

@@ -36,13 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import by_bytes, checkpointed, materialize, table
+from attrition.llm.common import by_bytes, checkpointed, map_arrow, materialize, table
 from attrition.llm.components import components
 
 SHINGLE = 3
 BITS = 2
 HOT = 2_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SEED = 42
 
 
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "mark", "fp"])
 
     picked = docs.select(F.col(id_col).alias("id"), text_mark(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, mark long, fp long")
+    return map_arrow(picked, run, f"id {picked.schema['id'].dataType.simpleString()}, mark long, fp long")
 
 
 def text_mark(text_col: str) -> Column:
@@ -96,6 +96,8 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     fingerprints within two bits: every such pair, except that the members of a
     hot signature are linked as stars (which connects the same ones)."""
     fp, bit = F.col("fp"), F.col("bit")
+    # each row becomes 64, so the rows are spread first
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     variants = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
     variants = variants.select("fp", F.explode(F.array(_signature(fp, 0, bit), _signature(fp, 1, bit))).alias("sig"))
     # Most shared signatures have two members, which the aggregate itself returns;

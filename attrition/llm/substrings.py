@@ -41,13 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import by_bytes, expand, gram_hashes, materialize, split_words, table, text_buffer
+from attrition.llm.common import by_bytes, expand, gram_hashes, map_arrow, materialize, split_words, table, text_buffer
 
 WINDOW = 50
 GRAM = 8
 RUN = 64
 GROUP_ROWS = 2000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 SUBTREE_SUFFIXES = 100_000
 
 
@@ -116,7 +116,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_
                 names=["id", "mark", "key", "lo", "hi"],
             )
 
-    runs = materialize(docs.mapInArrow(runs_of, f"id {kind}, mark long, key long, lo int, hi int"), "suffix-runs")
+    runs = materialize(map_arrow(docs, runs_of, f"id {kind}, mark long, key long, lo int, hi int"), "suffix-runs")
     shared = runs.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("runs")).where("a < b")
     salts = F.ceil(F.col("runs") / F.lit(group_rows)).cast("int")
     wanted = runs.join(shared.select("key", salts.alias("salts")), "key")
@@ -141,9 +141,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_
                 names=["key", "salt", "salts", "id", "mark", "lo", "words"],
             )
 
-    runs_text = docs.join(wanted, ["id", "mark"]).select("id", "mark", "text", "wanted").mapInArrow(
-        cut_out, f"key long, salt int, salts int, id {kind}, mark long, lo int, words binary"
-    )
+    with_runs = docs.join(wanted, ["id", "mark"]).select("id", "mark", "text", "wanted")
+    runs_text = map_arrow(with_runs, cut_out, f"key long, salt int, salts int, id {kind}, mark long, lo int, words binary")
     grouped = runs_text.repartition("key", "salt").sortWithinPartitions("key", "salt")
 
     def build(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -212,7 +211,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_
         if held:
             yield build(held)
 
-    marks = materialize(grouped.mapInArrow(subtrees, _mark_schema(kind)), "suffix-marks")
+    marks = materialize(map_arrow(grouped, subtrees, _mark_schema(kind)), "suffix-marks")
     found = marks.where("not undecided").select("id", "mark", "lo", "hi")
     rest = marks.where("undecided")
     least = rest.groupBy("key", "node").agg(F.min("id").alias("least"))
@@ -274,7 +273,7 @@ def remove_repeats(
             )
 
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in inner.schema], "n_words long", "n_removed long"])
-    out = joined.mapInArrow(cut, schema)
+    out = map_arrow(joined, cut, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_words", "n_removed")
 
 
@@ -289,7 +288,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = remove_repeats(docs).select("doc_id", "n_words", "n_removed", "text")
     kind = cut.schema["doc_id"].dataType.simpleString()
-    return cut.mapInArrow(kept_digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(cut, kept_digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 QUERIES = {"op2_substring_dedup": op2_substring_dedup}

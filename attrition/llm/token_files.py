@@ -37,12 +37,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attrition.llm.bpe import PieceCache, text_bytes
-from attrition.llm.common import by_bytes, materialize, open_fs, shared_folder, size_of_table, table
+from attrition.llm.common import by_bytes, map_arrow, materialize, open_fs, shared_folder, size_of_table, table
 
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 256
 BATCH_BYTES = 4 << 20
 FILE_BYTES = 128 << 20
+CACHE_PIECES = 1_000_000
 
 _TOKENIZERS: dict[str, tuple[int, PieceCache]] = {}
 
@@ -62,7 +63,7 @@ def worker_tokenizer(text: str) -> tuple[int, PieceCache]:
             e = tok.encode(words, is_pretokenized=True, add_special_tokens=False)
             return np.array(e.ids, np.int32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(parts))
 
-        _TOKENIZERS[key] = tok.get_vocab_size(), PieceCache(pieces)
+        _TOKENIZERS[key] = tok.get_vocab_size(), PieceCache(pieces, CACHE_PIECES)
     return _TOKENIZERS[key]
 
 
@@ -195,7 +196,7 @@ def write_token_files(
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     ordered = picked.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("text"))
-    index = ordered.mapInArrow(run, f"id {kind}, part long, file string, at long, n long")
+    index = map_arrow(ordered, run, f"id {kind}, part long, file string, at long, n long")
     return materialize(index, "token-index")
 
 
@@ -222,7 +223,7 @@ def read_token_files(index: DataFrame) -> DataFrame:
             reader.close()
 
     kind = index.schema["id"].dataType.simpleString()
-    read = index.mapInArrow(run, f"id {kind}, part long, at long, n long, crc long")
+    read = map_arrow(index, run, f"id {kind}, part long, at long, n long, crc long")
     return read.join(base, "part").select("id", (F.col("base") + F.col("at")).alias("start"), "n", "crc")
 
 

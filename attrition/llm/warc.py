@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import by_bytes, materialize, open_fs, shared_folder, table
+from attrition.llm.common import by_bytes, map_arrow, materialize, open_fs, shared_folder, table
 
 # Fixed values of the formats.
 EOCD, EOCD64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -311,7 +311,7 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, package_by
             done.append(writer)
         yield pa.RecordBatch.from_arrays([pa.array([w.uri for w in done], pa.string()), pa.array([len(w.lines) for w in done], pa.int64())], names=["package", "records"])
 
-    return materialize(joined.mapInArrow(run, "package string, records long"), "packages")
+    return materialize(map_arrow(joined, run, "package string, records long"), "packages")
 
 
 def record_ranges(packages: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def read_records(ranges: DataFrame) -> DataFrame:
         if reader is not None:
             reader.close()
 
-    return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return map_arrow(spread, run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def op10_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
