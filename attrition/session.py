@@ -43,10 +43,10 @@ def apply_cluster_conf(spark: SparkSession) -> None:
     """Engine settings plus the cluster sizing above, each only where the session
     has not set it."""
     apply_engine_conf(spark)
-    _set_unset(spark, CLUSTER_CONF)
+    set_unset(spark, CLUSTER_CONF)
 
 
-def _set_unset(spark: SparkSession, conf: dict[str, str]) -> None:
+def set_unset(spark: SparkSession, conf: dict[str, str]) -> None:
     """Set the keys that neither the session nor the application has set."""
     given = {k for k, _ in spark.sparkContext.getConf().getAll()}
     own = {r.key for r in spark.sql("SET").collect()}
@@ -81,7 +81,7 @@ def apply_engine_conf(spark: SparkSession) -> None:
     since Spark's default of 200 is sized for a cluster."""
     sc = spark.sparkContext
     local = {"spark.sql.shuffle.partitions": str(sc.defaultParallelism)} if sc.master.startswith("local") else {}
-    _set_unset(spark, ENGINE_CONF | local)
+    set_unset(spark, ENGINE_CONF | local)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
