@@ -117,6 +117,11 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_SAVED[key])
 
 
+def forget_saved_tables() -> None:
+    """Let the next model-side query build its training table anew."""
+    _SAVED.clear()
+
+
 def _data(spark: SparkSession, sf_dir: str):
     apply_engine_conf(spark)
     return modelling.model_data(_training(spark, sf_dir), FIXTURE)
