@@ -8,13 +8,17 @@ character, so byte-level splitting equals splitting the text.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+import attrition
 from attrition.session import checkpoint_root, scratch_path, set_unset
 
 #: The white-space bytes of the word rule ``[^\x20\x09-\x0D]+``.
@@ -82,10 +86,30 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once an application: they may neither have it
+    installed nor share the driver's folder. Nothing to do when the driver itself
+    has it from a shipped archive."""
+    sc = spark.sparkContext
+    home = Path(attrition.__file__).parent
+    if sc.applicationId in _SHIPPED or not home.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="attrition-py-")) / "attrition.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` in record batches of at most ``ARROW_ROWS`` rows (unless the
     session sets another number): texts are long, and a batch is held in memory on
     both sides."""
+    ship_package(df.sparkSession)
     set_unset(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS)})
     return df.mapInArrow(run, schema)
 

@@ -48,7 +48,7 @@ SLOT_BITS = 20
 PROBES = 2
 MAX_LANGUAGES = 1024
 BATCH_BYTES = 1 << 19
-MIN_SCORE = 0.35
+MIN_SCORE = 0.3
 
 _LETTER = regex.compile(r"\p{L}").search
 _FOLD = np.arange(256, dtype=np.uint8)

@@ -130,13 +130,13 @@ def search(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, trees: int
     schema = f"rep long, vec {kind}, hashes array<long>"
     block = F.shiftright("hash", BITS - head).cast("int").alias("block")
     spread = lambda df: df.select("rep", "vec", F.posexplode("hashes").alias("tree", "hash"))
-    forest = materialize(spread(distinct.select("rep", "vec").mapInArrow(index, schema)).select("tree", block, "hash", "rep", "vec"), "ann-forest")
+    forest = materialize(spread(map_arrow(distinct.select("rep", "vec"), index, schema)).select("tree", block, "hash", "rep", "vec"), "ann-forest")
 
     asked = good.where(queries).select("vec_id", "vh", "vec")
     reps = distinct.select("rep", F.col("vh").alias("d_vh"), F.col("vec").alias("d_vec"))
     asked = asked.join(reps, (F.col("vh") == F.col("d_vh")) & (F.col("vec") == F.col("d_vec"))).select(F.col("vec_id").alias("query_id"), "rep")
     asked = materialize(asked, "ann-queries")
-    probes = distinct.join(asked.select("rep").distinct(), "rep").select("rep", "vec").mapInArrow(probe, schema)
+    probes = map_arrow(distinct.join(asked.select("rep").distinct(), "rep").select("rep", "vec"), probe, schema)
     probes = materialize(spread(probes).select("tree", "hash", "rep", "vec"), "ann-probes")
     found_schema = "query long, rep long, score double, cosine double"
 

@@ -325,7 +325,7 @@ def record_ranges(packages: DataFrame) -> DataFrame:
                 reader.close()
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * len(at), pa.string()), pa.array(at), pa.array(n)], names=["package", "at", "length"])
 
-    return packages.select("package").mapInArrow(run, "package string, at long, length long")
+    return map_arrow(packages.select("package"), run, "package string, at long, length long")
 
 
 def read_records(ranges: DataFrame) -> DataFrame:
