@@ -55,7 +55,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

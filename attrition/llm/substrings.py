@@ -235,7 +235,9 @@ def remove_repeats(
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    marked = inner.withColumn("mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    # 31 bits tell rows of one id apart and travel with every run
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF))
+    marked = inner.withColumn("mark", mark)
     slim = marked.select(F.col(ident).alias("id"), "mark", F.col(text).alias("text"))
     ranges = (
         find_repeats(slim, window, gram, group_rows)
