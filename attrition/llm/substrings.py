@@ -13,14 +13,17 @@ words, i.e. meet in a suffix-tree node of that depth.
    aggregate (with map-side combine) drops those. For the others the words
    under the run of suffixes are cut out of the text and grouped by prefix.
 3. *Groups.* A prefix with more than ``group_rows`` runs is dealt over as many
-   salted groups as its count needs, so no group outgrows a task.
+   salted groups as its count needs. The salt is a hash of the run (id, text mark,
+   prefix and place), so copies of one text and the runs of one text are dealt
+   out as well, and rows that repeat id and text are cut out once: a group has
+   about ``group_rows`` runs, whatever the texts.
 4. *Subtrees.* A task orders the suffixes of whole groups and takes the common
    prefix of neighbours: the leaves and inner nodes of the group's subtree.
    Nodes of depth ``window`` are the repeats; every suffix below one whose
    document is not the node's smallest is marked. In salted groups the
    smallest of each node goes on to an aggregate over the node's words, which
-   joins the groups of one prefix again; it sees at most one document for each
-   node and group.
+   joins the groups of one prefix again; it sees at most one id for each node
+   and group.
 5. Marks are collected by document and cut out of the text.
 
 Defined results: null text has no words; words are kept unchanged; a document
@@ -99,10 +102,10 @@ def _mark_schema(kind: str) -> str:
     return f"undecided boolean, key long, node long, id {kind}, mark long, lo int, hi int"
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Marked suffixes of ``docs`` (``id``, ``mark``: hash of the text, ``text``) as
-    rows (``id, mark, lo, hi``): the words from ``lo`` to ``hi + window - 1`` are
-    covered by passages that a document of smaller id also holds."""
+def dealt_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The runs of ``docs`` (``id``, ``mark``, ``text``) whose prefix several ids have,
+    with the words under them and their group (``key``, ``salt``; ``salts``: number of
+    groups of the key)."""
     kind = docs.schema["id"].dataType.simpleString()
     docs = docs.where(F.col("id").isNotNull())
 
@@ -120,7 +123,9 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_
     shared = runs.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("runs")).where("a < b")
     salts = F.ceil(F.col("runs") / F.lit(group_rows)).cast("int")
     wanted = runs.join(shared.select("key", salts.alias("salts")), "key")
-    wanted = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("key", "lo", "hi", "salts")).alias("wanted"))
+    salt = F.pmod(F.xxhash64("id", "mark", "key", "lo"), F.col("salts")).cast("int")
+    # a set: rows that repeat id and text have the same runs
+    wanted = wanted.groupBy("id", "mark").agg(F.collect_set(F.struct("key", "lo", "hi", "salts", salt.alias("salt"))).alias("wanted"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", BATCH_BYTES):
@@ -133,17 +138,23 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_
             e = words.end[words.first[doc] + hi + window - 1]
             data = words.data.tobytes()
             pick = pa.array(doc)
-            mark = b.column(1).take(pick)
-            salt = (mark.to_numpy().view(np.uint64) % flat.field(3).to_numpy().astype(np.uint64)).astype(np.int32)
             texts = pa.array([data[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [flat.field(0), pa.array(salt), flat.field(3), b.column(0).take(pick), mark, pa.array(lo.astype(np.int32)), texts],
+                [flat.field(0), flat.field(4), flat.field(3), b.column(0).take(pick), b.column(1).take(pick), pa.array(lo.astype(np.int32)), texts],
                 names=["key", "salt", "salts", "id", "mark", "lo", "words"],
             )
 
-    with_runs = docs.join(wanted, ["id", "mark"]).select("id", "mark", "text", "wanted")
-    runs_text = map_arrow(with_runs, cut_out, f"key long, salt int, salts int, id {kind}, mark long, lo int, words binary")
-    grouped = runs_text.repartition("key", "salt").sortWithinPartitions("key", "salt")
+    # one row of each id and text; the join has dealt and sorted them that way already
+    with_runs = docs.join(wanted, ["id", "mark"]).groupBy("id", "mark").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    return map_arrow(with_runs, cut_out, f"key long, salt int, salts int, id {kind}, mark long, lo int, words binary")
+
+
+def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Marked suffixes of ``docs`` (``id``, ``mark``: hash of the text, ``text``) as
+    rows (``id, mark, lo, hi``): the words from ``lo`` to ``hi + window - 1`` are
+    covered by passages that a document of smaller id also holds."""
+    kind = docs.schema["id"].dataType.simpleString()
+    grouped = dealt_runs(docs, window, gram, group_rows).repartition("key", "salt").sortWithinPartitions("key", "salt")
 
     def build(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()

@@ -68,6 +68,21 @@ def test_very_long_text_and_window_length(spark):
     assert (got[5].n_removed, got[9].n_removed, got[9].text, got[10].n_removed) == (0, 60_000, "x y", 0)
 
 
+def test_groups_of_exact_copies_stay_small(spark):
+    rng = random.Random(5)
+    text = " ".join(str(rng.randint(0, 10**6)) for _ in range(30))
+    rows = [(i, text) for i in range(2000)] + [(7, text)] * 500 + [(3000, "z " * 20_000), (3001, "z " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    slim = docs.selectExpr("doc_id AS id", "xxhash64(text) & 2147483647 AS mark", "text")
+    runs = substrings.dealt_runs(slim, window=6, gram=2, group_rows=50).cache()
+    assert max(r["count"] for r in runs.groupBy("key", "salt").count().collect()) <= 100
+    assert runs.count() == runs.select("id", "mark", "key", "lo").distinct().count()
+    runs.unpersist()
+    have = sorted((r.doc_id, r.text, r.n_removed) for r in substrings.remove_repeats(docs, window=6, gram=2, group_rows=50).collect())
+    assert [(i, n) for i, _, n in have] == [(i, n) for i, _, n in brute(rows, 6)]
+    assert all(" ".join(t.split()) == w for (_, t, _), (_, w, _) in zip(have, brute(rows, 6), strict=True))
+
+
 def test_subtree_orders_suffixes_and_counts_common_words():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 3, (200, 5)).astype(np.uint32)
