@@ -2,7 +2,11 @@
 
 Each of ``trees`` trees has its own random hyperplanes; a vector's signs against
 them are its hash string, and a tree is the sorted array of the strings, cut
-into blocks by the first bits so that a block fits a task. Inner products of
+into blocks that fit a task. The cuts follow measured counts: prefixes that hold
+more than ``block_rows`` strings are counted by longer ones, up to whole strings,
+and neighbouring prefixes are joined up to the bound. Rows of a string that more
+rows share are dealt over sub-blocks, which all take its queries; queries of a
+block beyond ``probe_rows`` are dealt over copies of it. Inner products of
 vectors of different length become angles by one more coordinate that brings
 all candidates to the largest norm.
 
@@ -38,13 +42,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attrition.llm.common import map_arrow, materialize, table
+from attrition.llm.common import map_arrow, materialize, mix64, table
 
 NEIGHBOURS = 20
 TREES = 16
 BITS = 32
 CONFIDENCE = 0.93
 BLOCK_ROWS = 4096
+PROBE_ROWS = 16384
+STEP = 4  # bits by which a prefix over the bound is lengthened
 SEED = 7
 CHUNK = 256  # queries that one matrix product scores
 
@@ -89,7 +95,56 @@ def best_rows(query: np.ndarray, vectors: np.ndarray, rep: np.ndarray, k: int) -
     return order, score[order]
 
 
-def search(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, trees: int = TREES, confidence: float = CONFIDENCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+class Blocks:
+    """Blocks of each tree: consecutive ranges of hash strings, and the numbers of
+    their sub-blocks. Made from the counts of prefixes that cover the trees."""
+
+    def __init__(self, tree: np.ndarray, start: np.ndarray, count: np.ndarray, trees: int, block_rows: int):
+        self.starts, self.first = [], []
+        for t in range(trees):
+            mine = np.flatnonzero(tree == t)
+            mine = mine[np.argsort(start[mine])]
+            n = count[mine]
+            head = np.flatnonzero(np.diff((np.cumsum(n) - n) // block_rows, prepend=-1))
+            parts = -(-np.add.reduceat(n, head) // (2 * block_rows))
+            starts = start[mine][head]
+            starts[0] = 0
+            self.starts.append(starts)
+            self.first.append(np.append(0, np.cumsum(parts)))
+
+    def of_rows(self, tree: int, hashes: np.ndarray, rep: np.ndarray) -> np.ndarray:
+        """The one sub-block of each row."""
+        at = np.searchsorted(self.starts[tree], hashes, "right") - 1
+        low, high = self.first[tree][at], self.first[tree][at + 1]
+        return low + (mix64(rep.astype(np.int64).view(np.uint64)) % (high - low).astype(np.uint64)).astype(np.int64)
+
+    def of_ranges(self, tree: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last sub-block that can hold strings of ``low`` to ``high``."""
+        a, b = (np.searchsorted(self.starts[tree], x, "right") - 1 for x in (low, high))
+        return self.first[tree][a], self.first[tree][b + 1] - 1
+
+
+def measured_blocks(hashed: DataFrame, n: int, trees: int, block_rows: int) -> Blocks:
+    """Blocks for the ``n`` rows of ``hashed`` (``hashes``: one string a tree). Each round
+    counts by a longer prefix what lies below the prefixes still over the bound."""
+    rows = hashed.select(F.posexplode("hashes").alias("tree", "hash"))
+    bits = min(BITS, (n // block_rows).bit_length())
+    cells = []
+    while True:
+        got = rows.groupBy("tree", F.shiftright("hash", BITS - bits).alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+        tree, cell, count = (got[c].to_numpy().astype(np.int64) for c in ("tree", "cell", "n"))
+        over = (count > block_rows) & (bits < BITS)
+        cells.append((tree[~over], cell[~over] << (BITS - bits), count[~over]))
+        if not over.any():
+            return Blocks(*(np.concatenate([c[i] for c in cells]) for i in range(3)), trees, block_rows)
+        split = hashed.sparkSession.createDataFrame(pa.table({"s_tree": tree[over], "s_cell": cell[over]}))
+        rows = rows.join(split, (F.col("tree") == F.col("s_tree")) & (F.shiftright("hash", BITS - bits) == F.col("s_cell")), "left_semi")
+        bits = min(BITS, bits + STEP)
+
+
+def search(
+    vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, trees: int = TREES, confidence: float = CONFIDENCE, block_rows: int = BLOCK_ROWS, probe_rows: int = PROBE_ROWS
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every row of
     ``vectors`` (``vec_id``, ``embedding``) for which ``queries`` (on ``vec_id``) holds."""
     good = vectors.select("vec_id", F.col("embedding").alias("vec")).where(F.col("vec_id").isNotNull() & usable(F.col("vec"))).distinct()
@@ -107,7 +162,6 @@ def search(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, trees: int
     distinct = members.where("place = 1").select("rep", "vh", "vec")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     n, longest = distinct.agg(F.count(F.lit(1)), F.max(norm)).first()
-    head = max(0, (n // block_rows).bit_length())
 
     spark = vectors.sparkSession
     planes = spark.sparkContext.broadcast(hyperplanes(dim, trees, BITS))  # (dim + 1) x trees x BITS numbers
@@ -128,9 +182,19 @@ def search(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, trees: int
 
     kind = distinct.schema["vec"].dataType.simpleString()
     schema = f"rep long, vec {kind}, hashes array<long>"
-    block = F.shiftright("hash", BITS - head).cast("int").alias("block")
     spread = lambda df: df.select("rep", "vec", F.posexplode("hashes").alias("tree", "hash"))
-    forest = materialize(spread(map_arrow(distinct.select("rep", "vec"), index, schema)).select("tree", block, "hash", "rep", "vec"), "ann-forest")
+    hashed = materialize(map_arrow(distinct.select("rep", "vec"), index, schema), "ann-hashes")
+    blocks = spark.sparkContext.broadcast(measured_blocks(hashed, n, trees, block_rows))  # two numbers a block
+
+    def place(batches):
+        for b in batches:
+            h, rep = b.column(2).flatten().to_numpy().reshape(-1, trees), b.column(0).to_numpy()
+            at = np.stack([blocks.value.of_rows(t, h[:, t], rep) for t in range(trees)], axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * trees), pa.array(at.ravel()))], names=["rep", "vec", "hashes", "blocks"])
+
+    placed = map_arrow(hashed, place, f"{schema}, blocks array<long>")
+    placed = placed.select("rep", "vec", F.posexplode(F.arrays_zip("hashes", "blocks")).alias("tree", "x"))
+    forest = materialize(placed.select("tree", F.col("x.blocks").alias("block"), F.col("x.hashes").alias("hash"), "rep", "vec"), "ann-forest")
 
     asked = good.where(queries).select("vec_id", "vh", "vec")
     reps = distinct.select("rep", F.col("vh").alias("d_vh"), F.col("vec").alias("d_vec"))
@@ -193,10 +257,35 @@ def search(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, trees: int
                         scored(asked_rep[q], asked_vec[q], vec[rows_q], rep[rows_q], out)
         return as_table(out)
 
-    def meet(probes: DataFrame, how) -> DataFrame:
-        return forest.groupBy("tree", "block").cogroup(probes.groupBy("tree", "block")).applyInArrow(how, found_schema)
-
-    first = meet(probes.withColumn("block", block), descend)
+    def locate(batches):
+        for b in batches:
+            tree, h, depth = (b.column(i).to_numpy() for i in range(3))
+            shift = BITS - depth.astype(np.int64)
+            start = (h >> shift) << shift
+            end = start + (np.int64(1) << shift) - 1
+            low, high = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            for t in np.unique(tree).tolist():
+                at = tree == t
+                low[at], high[at] = blocks.value.of_ranges(t, start[at], end[at])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(low), pa.array(high)], names=[*b.schema.names, "low", "high"])
+
+    def meet(probes: DataFrame, how, name: str) -> DataFrame:
+        """The probes (with ``depth``) with every sub-block that their prefix touches."""
+        aimed = map_arrow(probes.select("tree", "hash", "depth", "rep", "vec"), locate, f"tree int, hash long, depth int, rep long, vec {kind}, low long, high long")
+        aimed = materialize(aimed, f"ann-{name}").withColumn("block", F.explode(F.sequence("low", "high"))).drop("low", "high")
+        rows, deals = forest, F.ceil(F.col("n") / F.lit(probe_rows)).cast("int")
+        crowded = aimed.groupBy("tree", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > probe_rows).select("tree", "block", deals.alias("deals")).toArrow()
+        if crowded.num_rows:
+            crowded = spark.createDataFrame(crowded)
+            rows, aimed = (df.join(crowded, ["tree", "block"], "left").withColumn("deals", F.coalesce("deals", F.lit(1))) for df in (rows, aimed))
+            rows = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+            aimed = aimed.withColumn("deal", F.pmod(F.xxhash64("rep"), "deals").cast("int")).drop("deals")
+        else:
+            rows, aimed = (df.withColumn("deal", F.lit(0)) for df in (rows, aimed))
+        group = ["tree", "block", "deal"]
+        return rows.groupBy(*group).cogroup(aimed.groupBy(*group)).applyInArrow(how, found_schema)
+
+    first = materialize(meet(probes.withColumn("depth", F.lit(BITS)), descend, "aimed"), "ann-first")
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     kth = first.distinct().withColumn("r", F.row_number().over(ranked)).where(F.col("r") == k + 1).select(F.col("query").alias("rep"), "cosine")
     reach = math.log(1 - (1 - confidence) ** (1 / trees))
@@ -204,12 +293,7 @@ def search(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, trees: int
     depth = F.when(agree >= 1, F.lit(BITS)).when(agree > 0, F.least(F.lit(BITS), F.floor(F.lit(reach) / F.log(agree)))).otherwise(F.lit(0))
     deep = probes.join(kth, "rep", "left").withColumn("depth", F.coalesce(depth, F.lit(0)).cast("int"))
     deep = deep.where("depth > 0 OR tree = 0")  # at the root one tree holds everything
-    # a depth above the blocks' bits takes every block below the prefix
-    wide = F.greatest(F.lit(head) - F.col("depth"), F.lit(0))
-    start = F.call_function("shiftleft", F.call_function("shiftright", F.col("hash"), F.lit(BITS - head) + wide), wide)
-    count = F.call_function("shiftleft", F.lit(1).cast("long"), wide)
-    deep = deep.withColumn("block", F.explode(F.sequence(start, start + count - 1))).withColumn("block", F.col("block").cast("int"))
-    second = meet(deep, ascend)
+    second = meet(deep, ascend, "deep")
 
     top = first.unionAll(second).select("query", "rep", "score").distinct()
     top = top.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).select("query", "rep", "score")

@@ -78,3 +78,25 @@ def test_copies_ties_and_odd_vectors(spark):
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
     assert neighbours.search(df.where("vec_id = 180"), F.lit(True)).count() == 0
     assert neighbours.search(df.where("vec_id = 100"), F.lit(True)).count() == 0
+
+
+def test_blocks_of_a_noisy_cluster_stay_small(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(16)
+    rows = [(i, (centre + rng.standard_normal(16) * 1e-4 if i % 3 == 0 else rng.standard_normal(16)).tolist()) for i in range(1800)]
+    unit = np.array([[*v, 0.0] for _, v in rows])
+    unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+    h = neighbours.hash_strings(unit, neighbours.hyperplanes(16, 4, neighbours.BITS), 4, neighbours.BITS)
+    hashed = spark.createDataFrame([(x,) for x in h.tolist()], "hashes array<long>")
+    blocks = neighbours.measured_blocks(hashed, len(h), 4, 20)
+    for t in range(4):
+        at = blocks.of_rows(t, h[:, t], np.arange(len(h)))
+        assert np.bincount(at).max() <= 4 * 20  # of 600 rows with one prefix
+        low, high = blocks.of_ranges(t, h[:, t], h[:, t])
+        assert (low <= at).all() and (at <= high).all()
+        assert blocks.of_ranges(t, np.array([0]), np.array([(1 << neighbours.BITS) - 1])) == (0, blocks.first[t][-1] - 1)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 5)
+    got = as_lists(neighbours.search(df, F.col("vec_id") % 20 == 0, k=5, trees=4, block_rows=100, probe_rows=10))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert set(got) == set(want) and hits >= 0.9 * 5 * len(want)
