@@ -177,9 +177,22 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bufs[2], np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """First bytes of the characters of scripts that are written without spaces: Thai,
+    Lao, Myanmar, Khmer, kana, CJK ideographs and their punctuation, full and half
+    width forms (three bytes each), and ideographs of four bytes."""
+    at = np.flatnonzero(data[:-2] >= 0xE0) if len(data) > 2 else np.zeros(0, np.int64)
+    a, b = data[at], data[at + 1]
+    pick = ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & (((b >= 0x80) & (b <= 0x82)) | (b == 0x9E) | (b == 0x9F)))
+    pick |= ((a == 0xE3) & (b != 0x84) & (b != 0x85)) | ((a >= 0xE4) & (a <= 0xE9)) | ((a == 0xEF) & (((b >= 0xA4) & (b <= 0xAB)) | (b == 0xBC) | (b == 0xBD) | (b == 0xBE)))
+    pick |= (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)
+    return at[pick]
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False) -> Words:
     """Words of consecutive documents with their hashes (``lower``: A-Z as a-z;
-    ``plain``: ASCII punctuation parts words as white space does)."""
+    ``plain``: ASCII punctuation parts words as white space does, and each character
+    of a script without spaces is a word)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
@@ -192,6 +205,14 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plai
     starts[1:] &= ~word[:-1] | edge[1:n]
     ends = word
     ends[:-1] &= ~inside[data[1:]] | edge[1:n]
+    single = unspaced(data) if plain else np.zeros(0, np.int64)
+    if len(single):
+        after = single + np.where(data[single] == 0xF0, 4, 3)
+        starts[single] = ends[after - 1] = True
+        before = single[single > 0] - 1
+        ends[before] |= inside[data[before]]
+        after = after[after < n]
+        starts[after] |= inside[data[after]]
     s = np.flatnonzero(starts)
     e = np.flatnonzero(ends) + 1
     # exponents count from each document's start, so the tables stay as long as the longest one

@@ -1,7 +1,7 @@
 """Operator 7: benchmark decontamination by spaced-seed hashing.
 
 Tokens are lower-cased runs of bytes other than white space and ASCII
-punctuation. Windows of ``SPAN`` = 10 tokens are hashed under ten fixed masks;
+punctuation; each character of a script written without spaces is one. Windows of ``SPAN`` = 10 tokens are hashed under ten fixed masks;
 the span is five pairs of positions, and each mask ignores two of the pairs. Any
 two positions lie in two pairs or in one, so a window that differs from a
 benchmark window in at most two tokens has the same hash under some mask.
@@ -17,8 +17,12 @@ Documents are mapped over, never shuffled. The benchmark goes to the tasks in
 slices of at most ``SLICE_BYTES`` of text, one pass over the documents for each,
 so nothing sent outgrows that bound however large the benchmark is.
 
-Defined results: null and empty texts overlap with nothing; items with fewer
-tokens than ``SPAN`` are not searched, they are too short to tell. Of several
+Items with fewer tokens than ``SPAN`` have no window. With ``short_items`` (set by
+the query and the pipeline) they are looked up by a hash of all their tokens and
+overlap where a document holds them token for token, however short they are.
+
+Defined results: null and empty texts overlap with nothing; without ``short_items``
+items with fewer tokens than ``SPAN`` are not searched. Of several
 alignments of one item in one document the one with most equal tokens counts
 (ties: the first). Repeated documents and items are reported each; null ids
 are carried. Empty tables give no overlaps. Other columns pass through
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import Words, by_bytes, map_arrow, mix64, split_words, table, text_buffer
+from attrition.llm.common import Words, by_bytes, gram_hashes, map_arrow, mix64, split_words, table, text_buffer
 
 SPAN = 10
 MASKS = [[p for p in range(SPAN) if p // 2 not in pair] for pair in combinations(range(SPAN // 2), 2)]
@@ -94,7 +98,7 @@ def stretch(equal: np.ndarray, a: int, b: int) -> tuple[int, int]:
 class Seeds:
     """Masked hashes of benchmark items, for lookup from many positions."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], short_items: bool = False):
         kept = [(i, t) for i, t in zip(ids, texts, strict=True) if t]
         words = split_words(*text_buffer(pa.array([t for _, t in kept], pa.string())), lower=True, plain=True)
         n = np.diff(words.first)
@@ -111,6 +115,13 @@ class Seeds:
         self.hash = h[order]
         self.item = np.concatenate([empty, *[p[1] for p in parts]])[order]
         self.at = np.concatenate([empty, *[p[2] for p in parts]])[order]
+        self.short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(n[(n > 0) & (n < SPAN)]).tolist() if short_items else []:
+            items = np.flatnonzero(n == k)
+            tokens = np.stack([self.tokens[i] for i in items.tolist()])
+            whole = np.concatenate([gram_hashes(t, k) for t in tokens])
+            order = np.argsort(whole, kind="stable")
+            self.short[k] = whole[order], items[order], tokens[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.hash & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
 
@@ -134,6 +145,22 @@ class Seeds:
             out.append(np.stack([doc[pos], self.item[seed], pos - words.first[doc[pos]] - self.at[seed], self.at[seed]], axis=1))
         return np.unique(np.concatenate(out), axis=0)
 
+    def whole_items(self, words: Words) -> Iterator[tuple[int, Overlap]]:
+        """The first place of each short item in each document that holds it."""
+        for k, (hashes, items, tokens) in self.short.items():
+            h = gram_hashes(words.hash, k)
+            low, high = (np.searchsorted(hashes, h, side) for side in ("left", "right"))
+            doc = np.searchsorted(words.first, np.arange(len(h)), "right") - 1
+            at = np.flatnonzero((high > low) & (np.arange(len(h)) + k <= words.first[doc + 1]))
+            n = high[at] - low[at]
+            pos = np.repeat(at, n)
+            seed = np.arange(int(n.sum())) + np.repeat(low[at] - (np.cumsum(n) - n), n)
+            same = (words.hash[pos[:, None] + np.arange(k)] == tokens[seed]).all(axis=1)
+            pos, seed = pos[same], seed[same]
+            _, first = np.unique(np.stack([doc[pos], seed]), axis=1, return_index=True)
+            for p, s in zip(pos[first].tolist(), seed[first].tolist(), strict=True):
+                yield int(doc[p]), Overlap(int(items[s]), k, k, 0, p - int(words.first[doc[p]]))
+
     def overlaps(self, words: Words) -> dict[int, list[Overlap]]:
         """Verified overlaps of each document, the best of each item."""
         found: dict[int, dict[int, Overlap]] = {}
@@ -156,21 +183,23 @@ class Seeds:
             old = found.setdefault(doc, {}).get(item)
             if old is None or (new.equal, -new.doc_from) > (old.equal, -old.doc_from):
                 found[doc][item] = new
+        for doc, whole in self.whole_items(words):
+            found.setdefault(doc, {})[whole.item] = whole
         return {d: sorted(x.values(), key=lambda o: o.item) for d, x in found.items()}
 
 
-def slices(benchmark: DataFrame, id_col: str, text_col: str, slice_bytes: int) -> Iterator[Seeds]:
+def slices(benchmark: DataFrame, id_col: str, text_col: str, slice_bytes: int, short_items: bool = False) -> Iterator[Seeds]:
     """Seeds of the benchmark, at most about ``slice_bytes`` of text at a time."""
     size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = -(-size // slice_bytes)
     for k in range(n):
         mine = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)) == k
         rows = benchmark.where(mine).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).collect()
-        yield Seeds([r.id for r in rows], [r.text for r in rows])
+        yield Seeds([r.id for r in rows], [r.text for r in rows], short_items)
 
 
 def find_overlaps(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES, short_items: bool = False
 ) -> DataFrame:
     """(id, item, equal, length, item_tokens, item_from, doc_from) of every overlap."""
     spark = docs.sparkSession
@@ -192,13 +221,13 @@ def find_overlaps(
 
         return run
 
-    for s in slices(benchmark, item_col, item_text, slice_bytes):
+    for s in slices(benchmark, item_col, item_text, slice_bytes, short_items):
         out = out.unionAll(map_arrow(picked, scan(spark.sparkContext.broadcast(s)), schema))
     return out
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES, short_items: bool = False
 ) -> DataFrame:
     """``docs`` without the rows that overlap with a benchmark item."""
     spark = docs.sparkSession
@@ -217,13 +246,13 @@ def decontaminate(
 
         return run
 
-    for s in slices(benchmark, item_col, item_text, slice_bytes):
+    for s in slices(benchmark, item_col, item_text, slice_bytes, short_items):
         inner = map_arrow(inner, keep(spark.sparkContext.broadcast(s), names.index(text_col)), schema)
     return inner.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op7_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)
     return found.select(
         F.col("id").alias("doc_id"),
         F.col("item").alias("item_id"),

@@ -104,3 +104,25 @@ def test_op7_finds_whole_items(spark):
     got = {(r.doc_id, r.item_id): r for r in dec.op7_spaced_seed_overlaps(spark, SF_SMALL).collect()}
     assert whole and whole <= set(got)
     assert all(got[p].n_equal == got[p].n_item for p in whole)
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "What is it?"), (2, "什么是光合作用"), (3, "植物如何利用阳光把水和二氧化碳变成糖"), (4, "ภาษาไทย"), (5, "?"), (6, "x"), (7, "what is it"), (None, "one two")]
+    docs = [(1, "so WHAT is, it then; what is it"), (2, "我问什么是光合作用吗"), (3, "请问植物如何利用阳光把水和二氧化炭变成糖呢"), (4, "abcภาษาไทยx"), (5, "what is that"), (6, "一二什么是"), (7, "one"), (8, "two"), (9, None), (10, "One two")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = plain(dec.find_overlaps(frame, bench, short_items=True))
+    assert got == sorted([(1, 1, 3, 3, 0, 1), (1, 7, 3, 3, 0, 1), (2, 2, 7, 7, 0, 2), (3, 3, 17, 18, 0, 2), (4, 4, 7, 7, 0, 1), (4, 6, 1, 1, 0, 8), (10, None, 2, 2, 0, 0)], key=repr)
+    clean = dec.decontaminate(frame, bench, short_items=True)
+    assert sorted(r.doc_id for r in clean.collect()) == [5, 6, 7, 8, 9]
+
+
+def test_op7_and_pipeline_search_short_items(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "so what is it then"), (2, "what was it")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "What is it?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.item_id, r.n_equal, r.n_item, r.doc_from) for r in dec.op7_spaced_seed_overlaps(spark, str(tmp_path)).collect()]
+    assert got == [(1, 5, 3, 3, 1)]
+    assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2]
