@@ -15,7 +15,10 @@ and a small table of file totals turns positions into global offsets.
 
 Ids are those of the tokenizers library. A text is first cut at blanks that the
 byte-level pattern always cuts at (see ``bpe.PieceCache``), and the library
-encodes each distinct piece once per worker.
+encodes each distinct piece once per worker. Texts that hold an added token of
+the JSON (``<|endoftext|>``) are handed to the library whole, as such a token also
+ends the match before it. ``special_tokens`` gives the library's default, ids of
+the special tokens for their strings; without it they are ordinary text.
 
 Null text counts as empty (only the end id). Documents of one id follow each
 other by text hash; null ids come first. An empty table gives no files and an
@@ -25,10 +28,12 @@ any name.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,25 +50,43 @@ BATCH_BYTES = 4 << 20
 FILE_BYTES = 128 << 20
 CACHE_PIECES = 1_000_000
 
-_TOKENIZERS: dict[str, tuple[int, PieceCache]] = {}
+Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+_TOKENIZERS: dict[str, tuple[int, Encode]] = {}
 
 
-def worker_tokenizer(text: str) -> tuple[int, PieceCache]:
-    """(vocabulary size, piece cache) of a tokenizer's JSON, once per worker process."""
-    key = f"{len(text)}-{zlib.crc32(text.encode())}"
+def worker_tokenizer(text: str, special_tokens: bool = False) -> tuple[int, Encode]:
+    """(vocabulary size, encoder of texts) of a tokenizer's JSON, once per worker process."""
+    key = f"{len(text)}-{zlib.crc32(text.encode())}-{special_tokens}"
     if key not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(text)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        tok.encode_special_tokens = not special_tokens  # if set, their strings in a text are ordinary text
+        added = [t["content"].encode() for t in json.loads(text).get("added_tokens") or () if special_tokens or not t["special"]]
+        holds_added = re.compile(b"|".join(map(re.escape, added))).search if added else None
 
         def pieces(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             words = [p.decode("utf-8", "replace") for p in parts]
             e = tok.encode(words, is_pretokenized=True, add_special_tokens=False)
             return np.array(e.ids, np.int32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(parts))
 
-        _TOKENIZERS[key] = tok.get_vocab_size(), PieceCache(pieces, CACHE_PIECES)
+        cache = PieceCache(pieces, CACHE_PIECES)
+
+        def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            whole = [i for i, t in enumerate(texts) if holds_added and holds_added(t)]
+            if not whole:
+                return cache.encode(texts)
+            rest = list(texts)
+            for i in whole:
+                rest[i] = b""
+            ids, off = cache.encode(rest)
+            parts = np.split(ids, off[1:-1])
+            for i in whole:
+                parts[i] = np.array(tok.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids, ids.dtype)
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+        _TOKENIZERS[key] = tok.get_vocab_size(), encode
     return _TOKENIZERS[key]
 
 
@@ -165,6 +188,7 @@ def write_token_files(
     width: int = SEQUENCE,
     id_col: str = "doc_id",
     text_col: str = "text",
+    special_tokens: bool = False,
 ) -> DataFrame:
     """Write the files below ``folder``; returns the index
     (``id, part, file, at, n``: position and number of ids in the file)."""
@@ -174,14 +198,14 @@ def write_token_files(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_of_table(docs) // FILE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, cache = worker_tokenizer(vocabulary.value)
+        size, encode = worker_tokenizer(vocabulary.value, special_tokens)
         part = TaskContext.get().partitionId()
         uri = f"{folder}/{part:07d}-{uuid.uuid4().hex}.arrow"
         writer = None
         for b in by_bytes(batches, "text", BATCH_BYTES):
             if writer is None:
                 writer = SequenceWriter(uri, width, max(size, end_id + 1))
-            ids, off = cache.encode(text_bytes(b.column(1)))
+            ids, off = encode(text_bytes(b.column(1)))
             n = np.diff(off) + 1
             at = writer.total + np.cumsum(n) - n
             writer.add(np.insert(ids, off[1:], end_id))
@@ -231,7 +255,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    index = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_folder(spark, "token-files"))
+    index = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_folder(spark, "token-files"), special_tokens=True)
     read = read_token_files(index)
     return read.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 

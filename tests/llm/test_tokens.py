@@ -127,3 +127,17 @@ def test_files_are_equal_length_sequences_with_masks(spark, library):
         got += [tuple(reader.tokens(r.at, r.n)[:-1].tolist()) for r in index if r.file == file]
     assert sorted(got) == want
     assert token_files.read_token_files(token_files.write_token_files(docs.limit(0), path, shared_folder(spark, "t"))).count() == 0
+
+
+def test_op5_gives_added_tokens_the_ids_of_the_librarys_default(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|> x", "a <|endoftext|> x", "a  <|endoftext|>  x  y", "a\n <|endoftext|><|endoftext|>", "plain  text", None, *ODD]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in token_files.op5_token_files(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*default.encode(t or "", add_special_tokens=False).ids, 0]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
