@@ -14,8 +14,9 @@ and has at least ``SHARE`` of them equal. It is an overlap if it has
 shorter item).
 
 Documents are mapped over, never shuffled. The benchmark goes to the tasks in
-slices of at most ``SLICE_BYTES`` of text, one pass over the documents for each,
-so nothing sent outgrows that bound however large the benchmark is.
+slices of at most ``SLICE_BYTES`` of text, one pass over the documents for each.
+The bound is on the text only: a slice's seed arrays take some 240 bytes a token,
+and ``decontaminate`` chains its passes, so a task holds the seeds of all slices.
 
 Items with fewer tokens than ``SPAN`` have no window. With ``short_items`` (set by
 the query and the pipeline) they are looked up by a hash of all their tokens and
