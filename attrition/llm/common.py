@@ -189,15 +189,16 @@ def unspaced(data: np.ndarray) -> np.ndarray:
     return at[pick]
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False, inside: np.ndarray | None = None) -> Words:
     """Words of consecutive documents with their hashes (``lower``: A-Z as a-z;
     ``plain``: ASCII punctuation parts words as white space does, and each character
-    of a script without spaces is a word)."""
+    of a script without spaces is a word; ``inside``: flags of the bytes of a word)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return Words(data, z, z, np.zeros(0, _U64), np.zeros(len(offsets), np.int64))
-    inside = _IS_PLAIN if plain else _IS_WORD
+    if inside is None:
+        inside = _IS_PLAIN if plain else _IS_WORD
     word = inside[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True

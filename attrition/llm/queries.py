@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "substrings", "neighbours", "simhash", "token_files", "language", "decontaminate", "sharding", "lm", "warc", "backtrack")
+MODULES = ("bpe", "substrings", "neighbours", "simhash", "token_files", "language", "decontaminate", "sharding", "lm", "warc", "backtrack", "runs", "ranked")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
