@@ -52,7 +52,8 @@ from attrition.llm.common import by_bytes, expand, map_arrow, table
 
 SLICE_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
-TABLE_PAIRS = 2_000_000
+TABLE_PAIRS = 1_000_000
+MEMO_MATCHES = 300_000
 
 #: Fixed value: the pattern of byte-level pre-tokenizers with ``use_regex``.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -143,11 +144,12 @@ class BacktrackingCodec:
         for i in range(256, len(v.tokens)):
             a, b = v.left[i], v.right[i]
             made.append(made[a] and made[b] and stay_apart(v, a, b, i))
-        self.whole = {t: i for i, t in enumerate(v.tokens) if made[i]}
+        names = [t.decode("latin-1") for t in v.tokens]  # one character a byte
+        self.whole = {t: i for i, t in enumerate(names) if made[i]}
         automaton = ahocorasick.Automaton()
-        self.shorter = [-1] * len(v.tokens)
+        self.shorter = [-1] * len(names)
         for token, i in self.whole.items():
-            automaton.add_word(token.decode("latin-1"), i)
+            automaton.add_word(token, (i, len(token) - 1))
             for cut in range(len(token) - 1, 0, -1):
                 j = self.whole.get(token[:cut])
                 if j is not None:
@@ -156,6 +158,7 @@ class BacktrackingCodec:
         automaton.make_automaton()
         self.matches = automaton.iter
         self.compatible: dict[tuple[int, int], bool] = {}
+        self.memo: dict[str, list[int]] = {}
         self.ids = np.array(v.ids, np.int64)
         self.added = re.compile(b"|".join(map(re.escape, sorted(v.added, key=len, reverse=True)))) if v.added else None
         self._offset_tables(dict(zip(v.ids, v.tokens, strict=True)) | {i: t for t, i in v.added.items()})
@@ -175,52 +178,59 @@ class BacktrackingCodec:
 
     # -- encoding ----------------------------------------------------------
 
-    def encode_match(self, data: bytes) -> list[int]:
-        """Order numbers of the tokens of one match of the pattern."""
+    def encode_match(self, data: str) -> list[int]:
+        """Order numbers of the tokens of one match of the pattern (a character a byte)."""
         one = self.whole.get(data)
         if one is not None:
             return [one]
         n = len(data)
-        length, shorter, compatible = self.length, self.shorter, self.compatible
+        length, shorter, known = self.length, self.shorter, self.compatible.get
         longest = [0] * n
-        for end, token in self.matches(data.decode("latin-1")):
-            longest[end + 1 - length[token]] = token  # longer tokens of one start end later
-        if len(compatible) > TABLE_PAIRS:
-            compatible.clear()
+        for end, (token, before) in self.matches(data):
+            longest[end - before] = token  # longer tokens of one start end later
+        if len(self.compatible) > TABLE_PAIRS:
+            self.compatible.clear()
         out: list[int] = []
-        dead = bytearray(n + 1)
-        at, token = 0, longest[0]
-        while at < n:
+        dead: set[int] = set()
+        at, token, last = 0, longest[0], -1
+        while True:
             end = at + length[token]
-            fits = not dead[end]
-            if fits and out:
-                pair = (out[-1], token)
-                fits = compatible.get(pair)
+            if end not in dead:
+                fits = last < 0 or known((last, token))
                 if fits is None:
-                    fits = compatible[pair] = stay_apart(self.vocabulary, *pair)
-            if fits:
-                out.append(token)
-                at = end
-                if at < n:
-                    token = longest[at]
-            elif shorter[token] >= 0:
+                    fits = self.compatible[last, token] = stay_apart(self.vocabulary, last, token)
+                if fits:
+                    out.append(token)
+                    if end == n:
+                        return out
+                    at, last, token = end, token, longest[end]
+                    continue
+            if shorter[token] >= 0:
                 token = shorter[token]
             else:
-                dead[at] = 1
+                dead.add(at)
                 token = out.pop()
                 at -= length[token]
-        return out
+                last = out[-1] if out else -1
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in a row, number of ids of each piece)."""
+        memo = self.memo
+        if len(memo) > MEMO_MATCHES:
+            memo.clear()
         flat: list[int] = []
-        counts = np.zeros(len(pieces), np.int64)
-        for i, piece in enumerate(pieces):
-            before = len(flat)
-            for match in self.find(piece.decode("utf-8", "surrogateescape")):
-                flat += self.encode_match(match.encode("utf-8", "surrogateescape"))
-            counts[i] = len(flat) - before
-        return self.ids[np.array(flat, np.int64)].astype(np.int32), counts
+        ends: list[int] = []
+        for piece in pieces:
+            text = piece.decode("utf-8", "surrogateescape")
+            # letters only, perhaps after one blank: one match
+            for match in (text,) if text[text[:1] == " " :].isalpha() else self.find(text):
+                tokens = memo.get(match)
+                if tokens is None:
+                    data = match if match.isascii() else match.encode("utf-8", "surrogateescape").decode("latin-1")
+                    tokens = memo[match] = self.encode_match(data)
+                flat += tokens
+            ends.append(len(flat))
+        return self.ids[np.array(flat, np.int64)].astype(np.int32), np.diff(np.array(ends, np.int64), prepend=0)
 
     def parts(self, text: bytes) -> Iterator[bytes | int]:
         """The text's slices and the ids of the added tokens between them."""
