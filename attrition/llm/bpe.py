@@ -319,15 +319,26 @@ class PieceCache:
         return ids, np.concatenate([[0], total[ends]])
 
 
-_CODECS: dict[tuple[int, str], BytePairCodec] = {}
+_CODECS: dict[tuple[str, str], BytePairCodec] = {}
 
 
-def worker_codec(ranks: dict[bytes, int], pattern: str) -> BytePairCodec:
-    """One codec per worker process and vocabulary."""
-    key = (hash(frozenset(list(ranks.items())[:64])) ^ len(ranks), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = BytePairCodec(ranks, pattern)
-    return _CODECS[key]
+def vocabulary_digest(ranks: dict[bytes, int]) -> str:
+    """SHA-256 of all tokens and ranks, in order of rank."""
+    told = hashlib.sha256()
+    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+        told.update(b"%d %d " % (rank, len(token)) + token)
+    return told.hexdigest()
+
+
+def worker_codec(ranks: dict[bytes, int], pattern: str | None) -> BytePairCodec:
+    """One codec per worker process, vocabulary and pattern; without a pattern (to
+    decode) any codec of the vocabulary."""
+    digest = vocabulary_digest(ranks)
+    if pattern is None:
+        pattern = next((p for d, p in _CODECS if d == digest), "")
+    if (digest, pattern) not in _CODECS:
+        _CODECS[digest, pattern] = BytePairCodec(ranks, pattern)
+    return _CODECS[digest, pattern]
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -358,7 +369,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id"
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(ranks.value, "")
+        codec = worker_codec(ranks.value, None)
         for b in batches:
             rows = [codec.decode(np.array(x or [], np.int64)).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["id", "payload"])

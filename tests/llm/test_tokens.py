@@ -141,3 +141,23 @@ def test_op5_gives_added_tokens_the_ids_of_the_librarys_default(spark, tmp_path)
         ids = [*default.encode(t or "", add_special_tokens=False).ids, 0]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_vocabularies_of_one_size_keep_their_own_codec(spark, tmp_path):
+    """Two vocabularies that differ in one merge, in the same workers."""
+    import base64
+
+    import tiktoken
+
+    docs = spark.createDataFrame([(1, "abcd abcd")], "doc_id long, text string").coalesce(1)
+    for name, joined in (("one", (b"ab", b"cd")), ("two", (b"bc", b"da"))):
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(joined)}
+        path = str(tmp_path / name)
+        with open(path, "wb") as f:
+            f.writelines(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items())
+        want = tiktoken.Encoding(name, pat_str=r"\w+|\s+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary("abcd abcd")
+        encoded = bpe.encode_documents(docs, path, r"\w+|\s+")
+        assert encoded.first().ids == want
+        assert bpe.decode_documents(encoded, path).first().payload == b"abcd abcd"
+    assert bpe.worker_codec(ranks, r"\w+") is not bpe.worker_codec(ranks, r"\s+")
+    assert bpe.worker_codec(ranks, None) is bpe.worker_codec(ranks, r"\w+")
