@@ -88,12 +88,14 @@ def stretch(equal: np.ndarray, a: int, b: int) -> tuple[int, int]:
         return 0, 0
     starts = np.append(starts, first_in) if first_in > a else starts
     ends = np.insert(ends, 0, last_in) if last_in < b else ends
-    good = total[ends][None, :] >= total[starts][:, None]
-    if not good.any():
+    # the farthest end of each start: the last one from which on some total is high enough
+    high = np.maximum.accumulate(total[ends][::-1])[::-1]
+    last = np.searchsorted(-high, -total[starts], side="right") - 1
+    if last.max(initial=-1) < 0:
         return 0, 0
-    length = np.where(good, ends[None, :] - starts[:, None], 0)
-    i, j = np.unravel_index(int(length.argmax()), length.shape)
-    return int(starts[i]), int(ends[j])
+    length = np.where(last >= 0, ends[last] - starts, 0)
+    i = int(length.argmax())
+    return int(starts[i]), int(ends[last[i]])
 
 
 class Seeds:

@@ -6,6 +6,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from attrition.llm import decontaminate as dec
@@ -126,3 +127,23 @@ def test_op7_and_pipeline_search_short_items(spark, tmp_path):
     got = [(r.doc_id, r.item_id, r.n_equal, r.n_item, r.doc_from) for r in dec.op7_spaced_seed_overlaps(spark, str(tmp_path)).collect()]
     assert got == [(1, 5, 3, 3, 1)]
     assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_stretch_equals_all_pairs_and_takes_long_items():
+    rng = np.random.default_rng(5)
+    for _ in range(2000):
+        equal = rng.random(rng.integers(1, 30)) < rng.choice([0.3, 0.7, 0.9])
+        a = int(rng.integers(0, len(equal)))
+        b = int(rng.integers(a + 1, len(equal) + 1))
+        best = (0, 0)
+        for s in np.flatnonzero(equal):
+            for e in np.flatnonzero(equal) + 1:
+                core = np.flatnonzero(equal[a:b])
+                if not len(core) or s > a + core[0] or e < a + core[-1] + 1:
+                    continue
+                if 5 * equal[s:e].sum() >= 4 * (e - s) and e - s > best[1] - best[0]:
+                    best = (int(s), int(e))
+        assert dec.stretch(equal, a, b) == best
+    equal = rng.random(200_000) < 0.9
+    a, b = dec.stretch(equal, 100_000, 100_010)  # a matrix of this would take 60 GB
+    assert b - a > 190_000
