@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attrition.config import HORIZON_COL, HORIZONS
+from attrition.sources import snapshots
 
 
 def read_table(
@@ -58,12 +59,9 @@ def training_rows(
     )
 
 
-def _aligned_to_existing(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def _aligned(df: DataFrame, name: str, old: StructType) -> DataFrame:
     """Old schema ∪ new schema: columns only the stored table has come back as typed
     nulls. A column that both have must keep its type: ValueError otherwise."""
-    if not spark.catalog.tableExists(name):
-        return df
-    old = spark.table(name).schema
     new = {f.name.lower(): f for f in df.schema.fields}
     changed = [f for f in old.fields if f.name.lower() in new and new[f.name.lower()].dataType != f.dataType]
     if changed:
@@ -79,47 +77,25 @@ def save_training_table(
     merge_schema: bool = True,
     path: str | None = None,
     partition_by: list[str] | None = None,
-) -> None:
-    """Overwrite a managed (or, with ``path``, external) table.
+) -> snapshots.Snapshot:
+    """Overwrite a table (S5): its rows become the next snapshot (``sources.snapshots``).
 
     With ``merge_schema`` the written schema is the old one widened by the new
     columns, which is what ``mergeSchema`` promises; on plain parquet tables
     Spark would silently drop the old columns.
 
-    The rows are first written to a staging table, which takes the old one's
-    place only when the write has succeeded, so a failed job leaves the stored
-    table as it was. An external table's files live in a new folder below
-    ``path`` for each save; the last save's folder is removed after the swap.
+    Readers of ``name`` see the old rows until the save is published, then the new
+    ones; a job that fails or dies on the way leaves the old ones. If another writer
+    publishes in between, ``snapshots.PublishConflict`` is raised and nothing of this
+    save is visible. ``path``: folder of the snapshots (default: beside the tables of
+    the database; a name that was saved before keeps its folder).
     """
     spark = df.sparkSession
+    root = (path or snapshots.root_of(spark, name) or snapshots.default_root(spark, name)).rstrip("/")
+    base = snapshots.snapshot(spark, root)
     if merge_schema:
-        df = _aligned_to_existing(spark, df, name)
-    mark = uuid.uuid4().hex[:12]
-    staging = f"{name}__staging_{mark}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if path is not None:
-        writer = writer.option("path", f"{path.rstrip('/')}/save-{mark}")
-    try:
-        writer.saveAsTable(staging)
-    except Exception:
-        spark.sql(f"DROP TABLE IF EXISTS {staging}")
-        if path is not None:
-            _delete(spark, f"{path.rstrip('/')}/save-{mark}")
-        raise
-    former = _location(spark, name) if path is not None and spark.catalog.tableExists(name) else None
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
-    if former is not None and former.rstrip("/").rpartition("/")[2].startswith("save-"):
-        _delete(spark, former)
-
-
-def _location(spark: SparkSession, name: str) -> str | None:
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").collect()
-    return rows[0].data_type if rows else None
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if base is not None:
+            df = _aligned(df, name, base.struct())
+        elif spark.catalog.tableExists(name):
+            df = _aligned(df, name, spark.table(name).schema)
+    return snapshots.save(df, name, root, base, partition_by)
