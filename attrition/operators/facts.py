@@ -54,35 +54,71 @@ def _confirmed(lessons: DataFrame) -> DataFrame:
     )
 
 
-def lesson_rows(lessons: DataFrame) -> DataFrame:
-    """Confirmed lessons with their coalesced rating (the average counts every row)."""
-    return _confirmed(lessons).select(
-        "student_id",
-        as_date("lesson_ts").alias(DAY),
-        F.lit(1).alias("les_row"),
-        F.coalesce(F.col("rating_amount").cast("double"), F.lit(0.0)).alias("les_rating"),
+#: Longest label day whose earlier occurrences fit a lesson's 64-bit mask of days.
+MASK_DAYS = 62
+
+
+def lesson_rows(lessons: DataFrame, label_day: int = LABEL_DAY) -> DataFrame:
+    """Confirmed lessons, per day, from one scan and one aggregate.
+
+    Two kinds of rows: totals of a (student, day) - number of rows and the sum of the
+    coalesced ratings (the average counts every row) - and one row for each distinct
+    (student, lesson, day) with the lesson's previous day, ``les_prev``. A lesson counts
+    as new on day d of a student's window iff it occurs on d and did not occur in
+    [first_sub, d - 1], i.e. its previous day is before first_sub. first_sub lies in
+    [d - label_day, d], so an earlier previous day (or none) is clamped to
+    d - label_day - 1 without changing the outcome. Rows are then counted per
+    (student, day, previous day): at most label_day + 2 rows a student-day, however
+    many lessons a student has.
+
+    The days of a lesson are bits of a mask that the aggregate ORs: constant state,
+    whatever the calendar. A mask stands for one block of days and the ``label_day``
+    days before it (64 bits together); a row also sets its bit in the next blocks that
+    look back at it, and each block tells the previous days of its own days only.
+    """
+    if label_day > MASK_DAYS:
+        return _lesson_totals(lessons).unionByName(_lesson_days(lessons, label_day), allowMissingColumns=True)
+    own = 64 - label_day  # days of a block
+    number = F.unix_date(as_date("lesson_ts"))
+    each = _confirmed(lessons).select(
+        "student_id", F.col("id").alias("_lesson"), number.alias("_n"), F.coalesce(F.col("rating_amount").cast("double"), F.lit(0.0)).alias("_rating")
+    )
+    first, last = F.floor(F.col("_n") / own), F.floor((F.col("_n") + label_day) / own)
+    blocks = F.when(F.col("_lesson").isNotNull(), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    each = each.select("*", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), blocks)).alias("_block"))
+    total = F.col("_block").isNull()
+    bit = F.expr(f"shiftleft(1L, cast(_n - _block * {own} + {label_day} as int))")
+    merged = each.groupBy("student_id", "_block", F.when(total, F.col("_n")).alias("_n"), F.when(~total, F.col("_lesson")).alias("_lesson")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("_rating").alias("_rating"), F.bit_or(F.when(~total, bit)).alias("_days")
     )
+    one_day = "struct(date_from_unix_date(cast(_n as int)) as {day}, cast(null as date) as les_prev, _rows as les_rows, _rating as les_rating, cast(null as bigint) as les_first)"
+    # bit p is day _block * own - label_day + p; the highest bit below p is the previous day
+    start = f"cast(_block * {own} - {label_day} as int)"
+    below = "_days & ~shiftleft(-1L, p)"
+    prev = f"greatest(date_from_unix_date({start} + p - {label_day} - 1), if({below} = 0, null, date_from_unix_date({start} + length(bin({below})) - 1)))"
+    own_days = (
+        f"transform(filter(sequence({label_day}, 63), p -> getbit(_days, p) = 1), p -> struct(date_from_unix_date({start} + p) as {{day}}, "
+        f"{prev} as les_prev, cast(null as bigint) as les_rows, cast(null as double) as les_rating, 1L as les_first))"
+    )
+    out = F.expr(f"inline(if(_block is null, array({one_day.format(day=DAY)}), {own_days.format(day=DAY)}))")
+    return merged.select("student_id", out)
 
 
-def lesson_new_rows(lessons: DataFrame, label_day: int = LABEL_DAY) -> DataFrame:
-    """One row per distinct (student, lesson, day), with the lesson's previous day.
+def _lesson_totals(lessons: DataFrame) -> DataFrame:
+    rating = F.coalesce(F.col("rating_amount").cast("double"), F.lit(0.0))
+    return _confirmed(lessons).select("student_id", as_date("lesson_ts").alias(DAY), F.lit(1).cast("bigint").alias("les_rows"), rating.alias("les_rating"))
 
-    A lesson counts as new on day d of a student's window iff it occurs on d
-    and did not occur in [first_sub, d - 1], i.e. its previous occurrence is
-    before first_sub (or there is none). first_sub lies in [d - label_day, d]
-    for every in-window d, so a previous day older than d - label_day can be
-    clamped to d - label_day - 1 without changing the outcome. Rows are then
-    counted per (student, day, previous day): at most label_day + 2 rows per
-    student-day, however many lessons a student has. A lesson's distinct days
-    are bounded by the calendar and combine map-side.
-    """
+
+def _lesson_days(lessons: DataFrame, label_day: int) -> DataFrame:
+    """Distinct (student, lesson, day) with the previous day, from sets of days: for
+    label days beyond ``MASK_DAYS``."""
     ids = _confirmed(lessons).where(F.col("id").isNotNull())
     days = ids.groupBy("student_id", F.col("id").alias("_lesson")).agg(F.array_sort(F.collect_set(as_date("lesson_ts"))).alias("_days"))
     each = days.select("student_id", "_days", F.posexplode("_days").alias("_i", DAY))
     prev = F.when(F.col("_i") > 0, F.expr("_days[_i - 1]"))
     # greatest() skips nulls: a lesson without a previous day gets the floor,
     # which is before first_sub as well, so it counts as new.
-    return each.select("student_id", DAY, F.greatest(prev, F.date_sub(F.col(DAY), label_day + 1)).alias("les_prev"), F.lit(1).alias("les_first"))
+    return each.select("student_id", DAY, F.greatest(prev, F.date_sub(F.col(DAY), label_day + 1)).alias("les_prev"), F.lit(1).cast("bigint").alias("les_first"))
 
 
 def message_rows(threads: DataFrame, messages: DataFrame) -> DataFrame:
@@ -142,10 +178,10 @@ def _aggregates(group: str) -> list[Column]:
         ]
     if group == "lessons":
         return [
-            F.max("les_row").alias("les_day"),
-            F.count("les_row").alias("les_rows"),
+            F.max(F.when(F.col("les_rows") > 0, F.lit(1))).alias("les_day"),
+            F.sum("les_rows").alias("les_rows"),
             F.sum("les_rating").alias("les_rating_sum"),
-            F.count("les_first").alias("les_cand"),
+            F.sum("les_first").alias("les_cand"),
         ]
     if group == "messages":
         return [F.sum("msg_student").alias("msg_student"), F.sum("msg_tutor").alias("msg_tutor")]
