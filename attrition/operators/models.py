@@ -7,14 +7,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Model, PipelineModel
+from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attrition.config import (
@@ -30,7 +30,7 @@ from attrition.config import (
     TREE_MAX_DEPTH,
     ChurnConfig,
 )
-from attrition.operators.encode import FEATURES, encoder, feature_names
+from attrition.operators.dictionary import FEATURES, LevelEncoder, fit_levels
 
 MODEL_NAMES = ("logistic_regression", "decision_tree", "gradient_boosting")
 TARGET = "_y"
@@ -79,12 +79,13 @@ def estimator(name: str, horizon: int, n_train: int, cfg: ChurnConfig = ChurnCon
 class HorizonModels:
     """One horizon's encoder and the models fitted on its output."""
 
-    encoder: PipelineModel
+    encoder: LevelEncoder
     n_rows: int
     models: dict[str, Model]
 
-    def pipeline(self, name: str) -> PipelineModel:
-        return PipelineModel(stages=[*self.encoder.stages, self.models[name]])
+    def score(self, name: str, rows: DataFrame) -> DataFrame:
+        """``rows`` encoded and with the model's output columns."""
+        return self.models[name].transform(self.encoder.transform(rows))
 
 
 def fit_partitions(n_rows: int, width: int, cfg: ChurnConfig = ChurnConfig()) -> int:
@@ -113,14 +114,14 @@ def fit_all(
     poor = [h for h in horizons if h not in sizes] + [int(r[0]) for r in found if r[0] in horizons and r.classes < 2]
     if poor:
         raise ValueError(f"no balanced training rows of both classes on horizon days {sorted(poor)}")
-    kept: dict[int, tuple[PipelineModel, DataFrame]] = {}
+    kept: dict[int, tuple[LevelEncoder, DataFrame]] = {}
     try:
 
         def encode(h: int):
             rows = balanced.where(F.col(HORIZON_COL) == h)
-            enc = encoder(categoricals, columns).fit(rows)
+            enc = fit_levels(rows, categoricals, columns)
             out = enc.transform(rows).withColumn(TARGET, F.col(LABEL).cast("double")).select(FEATURES, TARGET)
-            out = out.repartition(fit_partitions(sizes[h], len(feature_names(out)), cfg)).persist()
+            out = out.repartition(fit_partitions(sizes[h], enc.width, cfg)).persist()
             out.count()
             return h, (enc, out)
 
@@ -154,6 +155,52 @@ def fit_report(spark: SparkSession, fitted: dict[int, HorizonModels]) -> DataFra
     return spark.createDataFrame(rows, "horizon int, model string, n_rows long, iterations int, depth int, nodes int, hit_limit boolean")
 
 
+INTERCEPT = "(intercept)"
+
+
+def with_values(enc: LevelEncoder, values: Sequence[float], out: str) -> DataFrame:
+    """(slot, feature, ``out``): the encoder's features with a model's number of each slot
+    (numbers other than zero travel; the model holds one a slot)."""
+    some = [(i, float(v)) for i, v in enumerate(values) if v]
+    told = enc.levels.sparkSession.createDataFrame(some, f"slot long, {out} double")
+    return enc.features().join(told, "slot", "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+
+
+def optimality(
+    fitted: dict[int, HorizonModels],
+    balanced: DataFrame,
+    tolerance: float = 1e-5,
+) -> DataFrame:
+    """M6: certificate of the logistic fits, (horizon, feature_name, gradient, spread,
+    within_bound) for every feature and the intercept.
+
+    The objective is the mean log loss plus |w|^2 / (2 n); it is convex, so weights are
+    the minimum iff its gradient is zero. The gradient at the fitted weights on the
+    rows of the fit takes one aggregate over the rows' non-zero cells (so no vector of
+    the full width is exploded); ``within_bound``: at most ``tolerance`` standard
+    deviations of the feature (of one unit, for a constant feature)."""
+    frames = []
+    for h, hm in fitted.items():
+        model = hm.models["logistic_regression"]
+        rows = balanced.where(F.col(HORIZON_COL) == h)
+        residual = vector_to_array(model.getProbabilityCol())[1] - F.col(LABEL).cast("double")
+        scored = hm.score("logistic_regression", rows).select(*rows.columns, residual.alias("_off"), F.lit(1.0).alias(INTERCEPT))
+        cells = hm.encoder.explode(scored, ["_off"], [INTERCEPT])
+        sums = cells.groupBy("feature").agg(
+            F.sum(F.col("_off") * F.col("value")).alias("_off"), F.sum("value").alias("_sum"), F.sum(F.col("value") * F.col("value")).alias("_squares")
+        )
+        every = with_values(hm.encoder, model.coefficients.toArray(), "_w").select("feature", "_w")
+        every = every.unionByName(balanced.sparkSession.createDataFrame([(INTERCEPT, 0.0)], "feature string, _w double"))  # not penalised
+        n = F.lit(float(hm.n_rows))
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        spread = F.sqrt(F.greatest(zero("_squares") / n - (zero("_sum") / n) * (zero("_sum") / n), F.lit(0.0)))
+        told = every.join(sums, "feature", "left").select(
+            F.lit(int(h)).alias("horizon"), F.col("feature").alias("feature_name"), ((zero("_off") + F.col("_w")) / n).alias("gradient"), spread.alias("spread")
+        )
+        frames.append(told.withColumn("within_bound", F.abs("gradient") <= tolerance * F.when(F.col("spread") > 0, F.col("spread")).otherwise(F.lit(1.0))))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def predictions(fitted: dict[int, HorizonModels], test: DataFrame) -> DataFrame:
     """(horizon, model, student_id, label, prediction, p_churn) on test rows.
 
@@ -174,16 +221,21 @@ def predictions(fitted: dict[int, HorizonModels], test: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def feature_importance(fitted: dict[int, HorizonModels], sample: DataFrame, model: str = "gradient_boosting") -> DataFrame:
+def feature_importance(fitted: dict[int, HorizonModels], model: str = "gradient_boosting") -> DataFrame:
     """M20 + O1: (horizon, feature_name, feature_importances), most important first.
 
-    Names come from the assembled vector's metadata; the table has one row
-    per feature and horizon, built on the driver from the fitted models.
+    One row for each feature and horizon; the names come from the encoder's dictionary.
     """
-    rows = []
+    frames = []
     for h, hm in fitted.items():
-        names = feature_names(hm.encoder.transform(sample.where(F.col(HORIZON_COL) == h)))  # schema only, no job
-        imp = hm.models[model].featureImportances.toArray()
-        rows.extend((int(h), n, float(v)) for n, v in zip(names, imp, strict=True))
-    df = sample.sparkSession.createDataFrame(rows, "horizon int, feature_name string, feature_importances double")
-    return df.orderBy("horizon", F.desc("feature_importances"), "feature_name")
+        told = with_values(hm.encoder, hm.models[model].featureImportances.toArray(), "feature_importances")
+        frames.append(told.select(F.lit(int(h)).alias("horizon"), F.col("feature").alias("feature_name"), "feature_importances"))
+    return reduce(DataFrame.unionByName, frames).orderBy("horizon", F.desc("feature_importances"), "feature_name")
+
+
+def ranked_importance(importance: DataFrame, digits: int = 6) -> DataFrame:
+    """O1: the report's order as a column: features of some importance with their rank
+    in the horizon (rounded; equal ones by name)."""
+    some = importance.withColumn("feature_importances", F.round("feature_importances", digits)).where("feature_importances > 0")
+    order = Window.partitionBy("horizon").orderBy(F.desc("feature_importances"), "feature_name")
+    return some.withColumn("rank", F.row_number().over(order)).select("horizon", "rank", "feature_name", "feature_importances")

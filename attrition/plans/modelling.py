@@ -78,7 +78,7 @@ def run_models(
         "confusion": lambda: evaluate.confusion_long(pred),
         "roc_auc": lambda: evaluate.roc_auc(pred),
         "threshold_table": lambda: evaluate.threshold_table(gbt, cfg.horizons, cfg.thresholds),
-        "feature_importance": lambda: models.feature_importance(fitted, data.train),
+        "feature_importance": lambda: models.feature_importance(fitted),
         "fit_report": lambda: models.fit_report(pred.sparkSession, fitted),
         "correlation": lambda: stats.correlation_matrix(data.frame),
     }

@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrition.config import HORIZON_COL, LABEL, LESSON_COLUMNS, SESSION_COLUMNS, SPINE_COLUMNS, ChurnConfig
-from attrition.operators import encode, evaluate, models, prepare, scoring, stats
-from attrition.plans import modelling
+from attrition.operators import dictionary, evaluate, models, prepare, scoring, stats
+from attrition.plans import bucketed, modelling
 from attrition.operators.ranking import exact_row_number
 from attrition.operators.spine import build_spine
 from attrition.plans import training_table as tt
-from attrition.session import apply_engine_conf, scratch_path
+from attrition.session import apply_engine_conf, delete_on_exit, scratch_path
+from attrition.sources import snapshots
 from attrition.sources.roles import role_sources
 from attrition.sources.tables import read_table, save_training_table
 
@@ -32,6 +34,11 @@ def sources(spark: SparkSession, sf_dir: str):
     return role_sources(spark, sf_dir)
 
 
+def rough_sources(spark: SparkSession, sf_dir: str):
+    apply_engine_conf(spark)
+    return role_sources(spark, sf_dir, rough=True)
+
+
 def q_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources(spark, sf_dir).register()
     return read_table(spark, "dim_lesson")
@@ -83,6 +90,36 @@ def q_training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tt.build_training_table(sources(spark, sf_dir), FIXTURE)
 
 
+def q_training_table_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training table of sources with calendar gaps, unknown staff flags, repeated
+    lesson ids and users with two first packages."""
+    return tt.build_training_table(rough_sources(spark, sf_dir), FIXTURE)
+
+
+def q_lesson_features_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tt.feature_frame(rough_sources(spark, sf_dir), ("lessons",), FIXTURE, key_columns=KEY)
+
+
+_PUBLISHED: dict[tuple[str, str], bucketed.BucketedTables] = {}
+
+
+def published(spark: SparkSession, sf_dir: str) -> bucketed.BucketedTables:
+    """The folder's sources as bucketed tables, published once an application; files
+    are removed when the driver's JVM ends."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PUBLISHED:
+        path = scratch_path(spark, "bucketed")
+        n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _PUBLISHED[key] = bucketed.publish(sources(spark, sf_dir), f"churn_{uuid.uuid4().hex[:8]}", path, n_buckets, FIXTURE)
+        delete_on_exit(spark, path)
+    return _PUBLISHED[key]
+
+
+def q_training_table_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apply_engine_conf(spark)
+    return bucketed.build(spark, published(spark, sf_dir), FIXTURE)
+
+
 def relational_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "read_table": q_read_table,
@@ -97,6 +134,9 @@ def relational_queries() -> dict[str, Query]:
     q["payment_features"] = _group_query("payment")
     q["status_label"] = q_status_label
     q["training_table"] = q_training_table
+    q["training_table_bucketed"] = q_training_table_bucketed
+    q["training_table_rough"] = q_training_table_rough
+    q["lesson_features_rough"] = q_lesson_features_rough
     return q
 
 
@@ -111,15 +151,16 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _SAVED:
         path = scratch_path(spark, "training-table")
         tt.build_training_table(sources(spark, sf_dir), FIXTURE).write.parquet(path)
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+        delete_on_exit(spark, path)
         _SAVED[key] = path
     return spark.read.parquet(_SAVED[key])
 
 
 def forget_saved_tables() -> None:
-    """Let the next model-side query build its training table anew."""
+    """Let the next model-side query build its training table anew, and the next query
+    over bucketed tables publish them anew."""
     _SAVED.clear()
+    _PUBLISHED.clear()
 
 
 def _data(spark: SparkSession, sf_dir: str):
@@ -151,15 +192,10 @@ def q_one_hot_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _data(spark, sf_dir)
     frames = []
     for h in FIXTURE.horizons:
-        enc = encode.fit_encoder(data.train.where(F.col(HORIZON_COL) == h))
-        test = enc.transform(data.test.where(F.col(HORIZON_COL) == h))
-        frames.append(
-            encode.explode_features(test.withColumn("horizon", F.col(HORIZON_COL)), ["horizon", "student_id"])
-        )
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        enc = dictionary.fit_levels(data.train.where(F.col(HORIZON_COL) == h))
+        test = data.test.where(F.col(HORIZON_COL) == h).withColumn("horizon", F.col(HORIZON_COL))
+        frames.append(enc.explode(test, ["horizon", "student_id"]))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def _rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,26 +256,58 @@ def _fit_query(model_name: str) -> Query:
 def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _data(spark, sf_dir)
     fitted = models.fit_all(data.train, FIXTURE.horizons, ("gradient_boosting",))
-    return models.feature_importance(fitted, data.train)
+    return models.feature_importance(fitted)
+
+
+def _saved_name(spark: SparkSession, what: str, sf_dir: str) -> tuple[str, str]:
+    """Name and folder of a table that each call of a query saves anew: one a folder
+    and application, so calls leave no further tables; removed when the JVM ends."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _NAMES:
+        name = f"churn_{what}_{uuid.uuid4().hex[:8]}"
+        _NAMES[key] = name, scratch_path(spark, name)
+        delete_on_exit(spark, _NAMES[key][1])
+    return _NAMES[key]
+
+
+_NAMES: dict[tuple[str, str, str], tuple[str, str]] = {}
 
 
 def q_save_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"churn_training_{uuid.uuid4().hex[:8]}"
-    save_training_table(_training(spark, sf_dir), name, merge_schema=True, path=scratch_path(spark, name))
+    name, path = _saved_name(spark, "training", sf_dir)
+    save_training_table(_training(spark, sf_dir), name, merge_schema=True, path=path)
     return spark.table(name)
 
 
 def q_save_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A save without the session columns over one without the lesson columns;
     the stored table has both, the lesson columns of the new rows and no sessions."""
-    name = f"churn_merge_{uuid.uuid4().hex[:8]}"
-    path = scratch_path(spark, name)
+    name, path = _saved_name(spark, "merge", sf_dir)
     training = _training(spark, sf_dir)
-    save_training_table(training.drop(*LESSON_COLUMNS), name, path=path)
+    save_training_table(training.drop(*LESSON_COLUMNS), name, merge_schema=False, path=path)
     save_training_table(training.drop(*SESSION_COLUMNS), name, path=path)
     return spark.table(name)
 
 
+def q_save_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader of the name sees after a save that stopped before it was
+    published and one that stopped right after: the rows stored before them; and what
+    the newest snapshot holds then. (reader, n rows, their largest day number)"""
+    name, path = _saved_name(spark, "interrupted", sf_dir)
+    training = _training(spark, sf_dir)
+    first = save_training_table(training, name, path=path)
+    early = training.where(F.col(HORIZON_COL) <= 7)
+    late = snapshots.save(early, f"{name}_other", path, first)  # published, but ``name`` is not moved
+    try:  # a writer that still works on the first version
+        snapshots.save(training.limit(1), name, path, first)
+        raise AssertionError("two writers published one version")
+    except snapshots.PublishConflict:
+        pass
+    told = lambda df, who: df.agg(F.lit(who).alias("reader"), F.count(F.lit(1)).alias("n"), F.max(HORIZON_COL).alias("last_day"))
+    by_name, newest = told(spark.table(name), "name"), told(snapshots.read_snapshot(spark, path, late.version), "newest")
+    return by_name.unionByName(newest)
+
+
 def q_spine_repeated_students(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spine of a student table that repeats every third id with a first
     subscription four days later."""
@@ -302,7 +370,48 @@ def _fit_rule_query(model_name: str) -> Query:
 def q_feature_importance_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _rule_data(spark, sf_dir)
     fitted = models.fit_all(train, FIXTURE.horizons, ("decision_tree",), FIXTURE)
-    return models.feature_importance(fitted, train, "decision_tree").where("feature_importances > 0")
+    return models.feature_importance(fitted, "decision_tree").where("feature_importances > 0")
+
+
+def q_feature_importance_boosted_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M20 for the model that the report uses: all boosted trees split on the rule's level."""
+    train, _ = _rule_data(spark, sf_dir)
+    fitted = models.fit_all(train, FIXTURE.horizons, ("gradient_boosting",), FIXTURE)
+    return models.ranked_importance(models.feature_importance(fitted))
+
+
+#: A second category level; rows of either level are the label of a rule of two columns.
+SECOND_COLUMN, SECOND_LEVEL = "region", "ASIA"
+
+
+def q_feature_importance_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: ranked importances of a tree that needs two features."""
+    train = _data(spark, sf_dir).frame.where(~F.col("is_test"))
+    either = (F.col(RULE_COLUMN) == RULE_LEVEL) | (F.col(SECOND_COLUMN) == SECOND_LEVEL)
+    columns = [SECOND_COLUMN, RULE_COLUMN]
+    train = train.withColumn("_either", either).drop(LABEL).withColumnRenamed("_either", LABEL)
+    fitted = models.fit_all(train, FIXTURE.horizons, ("decision_tree",), FIXTURE, columns, columns)
+    return models.ranked_importance(models.feature_importance(fitted, "decision_tree"))
+
+
+def q_tree_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of a tree on a category of two levels with the real label.
+    They are the levels' shares of churners in the fitting rows, or the share in all of
+    them where both levels get the same class (Spark joins such leaves)."""
+    data = _data(spark, sf_dir)
+    two = lambda df: df.withColumn(RULE_COLUMN, F.when(F.col(RULE_COLUMN) == RULE_LEVEL, F.lit(RULE_LEVEL)).otherwise(F.lit("other")))
+    fitted = models.fit_all(two(data.train), FIXTURE.horizons, ("decision_tree",), FIXTURE, [RULE_COLUMN], [RULE_COLUMN])
+    return models.predictions(fitted, two(data.test)).select("horizon", "student_id", "label", "prediction", "p_churn")
+
+
+def q_logistic_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 at full width: every feature's gradient is zero at the fitted weights."""
+    train = _data(spark, sf_dir).train.persist()
+    try:
+        fitted = models.fit_all(train, FIXTURE.horizons, ("logistic_regression",), FIXTURE)
+    finally:
+        train.unpersist()
+    return models.optimality(fitted, train).select("horizon", "feature_name", "within_bound")
 
 
 def q_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,6 +444,7 @@ def model_queries() -> dict[str, Query]:
         "save_reload": q_save_reload,
         "model_report": q_model_report,
         "save_merge": q_save_merge,
+        "save_interrupted": q_save_interrupted,
         "spine_repeated_students": q_spine_repeated_students,
         "payment_order_without_dates": q_payment_order_without_dates,
         "roc_auc_gaps": q_roc_auc_gaps,
@@ -343,6 +453,10 @@ def model_queries() -> dict[str, Query]:
         "fit_tree_rule": _fit_rule_query("decision_tree"),
         "fit_gbt_rule": _fit_rule_query("gradient_boosting"),
         "feature_importance_rule": q_feature_importance_rule,
+        "feature_importance_boosted_rule": q_feature_importance_boosted_rule,
+        "feature_importance_two_columns": q_feature_importance_two_columns,
+        "tree_probability": q_tree_probability,
+        "logistic_optimality": q_logistic_optimality,
     }
 
 

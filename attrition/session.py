@@ -111,5 +111,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/attrition/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Remove ``path`` when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     checkpoint_root(spark)

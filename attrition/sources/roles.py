@@ -36,7 +36,10 @@ def _tutor_id(user: F.Column) -> F.Column:
     return F.lit(TUTOR_ID_BASE) + user % 7
 
 
-def role_sources(spark: SparkSession, sf_dir: str) -> ChurnSources:
+def role_sources(spark: SparkSession, sf_dir: str, rough: bool = False) -> ChurnSources:
+    """The nine sources. With ``rough`` they hold what real ones do and the plain roles
+    don't: days missing from the calendar, students of unknown staff flag, lesson ids
+    that a student's lessons share on several days, and users with two first packages."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     # Seven roles come from events; each scans only its own columns and dates.
     events = read("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
@@ -49,6 +52,8 @@ def role_sources(spark: SparkSession, sf_dir: str) -> ChurnSources:
     day = F.to_date("ts")
     span = events.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
     dim_date = span.select(F.explode(F.sequence("lo", "hi")).alias("date_dt"))
+    if rough:
+        dim_date = dim_date.where(F.dayofmonth("date_dt") % 9 != 4)
 
     firsts = events.groupBy("user_id").agg(
         F.min("ts").alias("first_payment_ts"),
@@ -69,7 +74,7 @@ def role_sources(spark: SparkSession, sf_dir: str) -> ChurnSources:
             F.when(user % NO_LANGUAGE_MODULUS == 0, F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit("lv"), (user % 4).cast("string")))
             .alias("language_version"),
-            (user % STAFF_MODULUS == 0).alias("is_staff"),
+            (F.when(user % 41 != 5, user % STAFF_MODULUS == 0) if rough else user % STAFF_MODULUS == 0).alias("is_staff"),
         )
     )
 
@@ -96,7 +101,7 @@ def role_sources(spark: SparkSession, sf_dir: str) -> ChurnSources:
 
     status = F.element_at(F.array(*[F.lit(s) for s in LESSON_STATUSES_BY_K4]), (k % 4 + 1).cast("int"))
     lessons = events.where(F.col("event_type") == "purchase").select(
-        F.col("event_id").alias("id"),
+        (user * 100 + F.col("event_id") % 3 if rough else F.col("event_id")).alias("id"),
         F.col("user_id").alias("student_id"),
         F.col("ts").alias("lesson_ts"),
         status.alias("lesson_status"),
@@ -113,9 +118,12 @@ def role_sources(spark: SparkSession, sf_dir: str) -> ChurnSources:
         out="_order_no",
         bucket=F.unix_date(F.to_date("o_orderdate")),
     )
+    number = F.col("_order_no")
+    if rough:
+        number = F.when((F.col("o_custkey") % 3 == 0) & (number == 2), F.lit(1)).otherwise(number)
     payments = numbered.select(
         F.col("o_custkey").alias("user_id"),
-        F.col("_order_no").cast("int").alias("user_subscription_package_order"),
+        number.cast("int").alias("user_subscription_package_order"),
         F.lit(1).alias("tutoring_subscription_package_order"),
         (F.lit(1) + F.col("o_orderkey") % 20).cast("double").alias("hours"),
         F.col("o_orderpriority").alias("subject"),

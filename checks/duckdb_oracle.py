@@ -105,6 +105,28 @@ agg_daily_subscription_logs AS (
     LEFT JOIN dim_student s ON l.user_id = s.id
 )"""
 
+
+
+def rough_roles() -> str:
+    """``ROLES`` with calendar gaps, unknown staff flags, shared lesson ids and second
+    first packages."""
+    changes = {
+        "INTERVAL 1 DAY)) AS x FROM ev)\n)": "INTERVAL 1 DAY)) AS x FROM ev) WHERE day(x) % 9 <> 4\n)",
+        "(f.user_id % 37 = 0) AS is_staff": "CASE WHEN f.user_id % 41 <> 5 THEN f.user_id % 37 = 0 END AS is_staff",
+        "SELECT event_id AS id, user_id AS student_id": "SELECT user_id * 100 + event_id % 3 AS id, user_id AS student_id",
+        "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER)": (
+            "CASE row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) WHEN 1 THEN 1 "
+            "WHEN 2 THEN CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 2 END ELSE 3 END AS INTEGER)"
+        ),
+    }
+    out = ROLES
+    for old, new in changes.items():
+        if old not in out:
+            raise ValueError(f"no such role text: {old}")
+        out = out.replace(old, new)
+    return out
+
+
 # One ledger holds every dated fact as (student, day, what, amount, item); a feature
 # is a conditional total over the ledger between the first subscription and the day.
 FEATURES = """
@@ -254,6 +276,9 @@ def relational_sql() -> dict[str, str]:
     q["payment_features"] = with_roles("SELECT * FROM paid_packages")
     q["status_label"] = with_roles("SELECT * FROM statuses")
     q["training_table"] = with_roles("SELECT * FROM training")
+    q["training_table_bucketed"] = q["training_table"]
+    q["training_table_rough"] = q["training_table"].replace(ROLES, rough_roles())
+    q["lesson_features_rough"] = q["lesson_features"].replace(ROLES, rough_roles())
     return q
 
 
@@ -383,6 +408,36 @@ def _corr_sql() -> str:
     )
 
 
+#: A tree for "level a or level b" splits on the level of larger gain, then the rows
+#: without it on the other; a feature's importance is its gain times its rows.
+TWO_COLUMNS = """
+SELECT horizon, CAST(row_number() OVER (PARTITION BY horizon ORDER BY share DESC, feature_name) AS INTEGER) AS rank,
+       feature_name, share AS feature_importances
+FROM (
+    SELECT horizon, feature_name, round(raw / sum(raw) OVER (PARTITION BY horizon), 6) AS share
+    FROM (
+        SELECT h AS horizon, unnest(['language_version=lv2', 'region=ASIA']) AS feature_name,
+               unnest(CASE WHEN a_first >= b_first THEN [a_first, without_a] ELSE [without_b, b_first] END) AS raw
+        FROM (
+            SELECT h, whole - without_a AS a_first, without_a, whole - without_b AS b_first, without_b
+            FROM (
+                SELECT h, 2 * pos * (n - pos) / n AS whole,
+                       coalesce(2 * (pos - a) * (n - pos) / nullif(n - a, 0), 0) AS without_a,
+                       coalesce(2 * (pos - b) * (n - pos) / nullif(n - b, 0), 0) AS without_b
+                FROM (
+                    SELECT days_since_first_sub_payment AS h, CAST(count(*) AS DOUBLE) AS n,
+                           CAST(count(*) FILTER (WHERE language_version = 'lv2' OR region = 'ASIA') AS DOUBLE) AS pos,
+                           CAST(count(*) FILTER (WHERE language_version = 'lv2') AS DOUBLE) AS a,
+                           CAST(count(*) FILTER (WHERE region = 'ASIA') AS DOUBLE) AS b
+                    FROM train_rows GROUP BY ALL
+                )
+            )
+        )
+    )
+) WHERE share > 0
+"""
+
+
 def _one_hot_sql() -> str:
     cats = " UNION ALL ".join(
         f"SELECT DISTINCT days_since_first_sub_payment AS h, '{c}' AS col, {c} AS val FROM balanced" for c in CATEGORICAL_FEATURES
@@ -453,6 +508,10 @@ def model_sql() -> dict[str, str]:
         "FROM predictions) GROUP BY 1, 2, 3) GROUP BY 1, 2)"
     )
     q["save_reload"] = with_roles("SELECT * FROM training")
+    q["save_interrupted"] = with_roles(
+        "SELECT 'name' AS reader, count(*) AS n, max(days_since_first_sub_payment) AS last_day FROM training UNION ALL "
+        "SELECT 'newest', count(*), max(days_since_first_sub_payment) FROM training WHERE days_since_first_sub_payment <= 7"
+    )
     merged = ", ".join(f"NULL AS {c}" if c in SESSION_COLUMNS else c for c in TRAINING_COLUMNS)
     q["save_merge"] = with_roles(f"SELECT {merged} FROM training")
     repeated = with_roles(f"SELECT {SPINE_COLS} FROM spine_days").replace(
@@ -492,6 +551,28 @@ def model_sql() -> dict[str, str]:
         "SELECT DISTINCT days_since_first_sub_payment AS horizon, 'language_version=lv2' AS feature_name, "
         "1.0::DOUBLE AS feature_importances FROM train_rows"
     )
+    q["feature_importance_boosted_rule"] = with_model(
+        "SELECT DISTINCT days_since_first_sub_payment AS horizon, CAST(1 AS INTEGER) AS rank, 'language_version=lv2' AS feature_name, "
+        "1.0::DOUBLE AS feature_importances FROM train_rows"
+    )
+    q["feature_importance_two_columns"] = with_model(TWO_COLUMNS)
+    # leaves of two levels, or one leaf if both would get the same class
+    q["tree_probability"] = with_model(
+        "SELECT h AS horizon, student_id, churn_day_33 AS label, p > 0.5::DOUBLE AS prediction, p AS p_churn FROM ("
+        "SELECT t.days_since_first_sub_payment AS h, t.student_id, t.churn_day_33, "
+        "CASE WHEN s.n2 = 0 OR s.n = s.n2 OR (s.k2 / s.n2 > 0.5::DOUBLE) = ((s.k - s.k2) / (s.n - s.n2) > 0.5::DOUBLE) THEN s.k / s.n "
+        "WHEN t.language_version = 'lv2' THEN s.k2 / s.n2 ELSE (s.k - s.k2) / (s.n - s.n2) END AS p "
+        "FROM test_rows t JOIN (SELECT days_since_first_sub_payment AS h, CAST(count(*) AS DOUBLE) AS n, "
+        "CAST(count(*) FILTER (WHERE churn_day_33) AS DOUBLE) AS k, CAST(count(*) FILTER (WHERE language_version = 'lv2') AS DOUBLE) AS n2, "
+        "CAST(count(*) FILTER (WHERE churn_day_33 AND language_version = 'lv2') AS DOUBLE) AS k2 FROM balanced GROUP BY ALL) s "
+        "ON s.h = t.days_since_first_sub_payment)"
+    )
+    numeric = ", ".join(f"'{c}'" for c in MODEL_COLUMNS if c not in CATEGORICAL_FEATURES)
+    levels = " UNION ALL ".join(f"SELECT days_since_first_sub_payment AS horizon, '{c}=' || {c} AS feature_name FROM balanced" for c in CATEGORICAL_FEATURES)
+    q["logistic_optimality"] = with_model(
+        f"SELECT DISTINCT horizon, feature_name, true AS within_bound FROM ({levels} UNION ALL "
+        f"SELECT days_since_first_sub_payment, unnest([{numeric}, '(intercept)']) FROM balanced)"
+    )
     return q
 
 
