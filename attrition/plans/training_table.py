@@ -55,7 +55,9 @@ def cohort_frames(src: ChurnSources, cfg: ChurnConfig = ChurnConfig()) -> Cohort
     first = F.col("first_sub_payment_date")
     lo, hi, n = cohort.agg(F.min(first), F.date_add(F.max(first), cfg.label_day + 1), F.count(F.lit(1))).first()
     never = dt.date(1970, 1, 1)  # an empty cohort needs no facts
-    bounds = cohort.select("student_id", "first_sub_payment_date").distinct()
+    # one shuffle by student serves the distinct dates and the join with the facts
+    starts = cohort.groupBy("student_id").agg(F.collect_set(first).alias("_starts"))
+    bounds = starts.select("student_id", F.explode("_starts").alias("first_sub_payment_date"))
     return CohortFrames(spine=spine, bounds=bounds, lo=lo or never, hi=hi or never, n_students=n)
 
 
