@@ -18,6 +18,7 @@ from attrition.operators.spine import build_spine
 from attrition.plans import training_table as tt
 from attrition.session import apply_engine_conf, delete_on_exit, scratch_path
 from attrition.sources import snapshots
+from attrition.sources.files_source import FORMAT as FILES_FORMAT
 from attrition.sources.roles import role_sources
 from attrition.sources.tables import read_table, save_training_table
 
@@ -49,6 +50,19 @@ def q_read_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, "dim_lesson", condition="lesson_status IN ('COMPLETED', 'AUTOCOMPLETED')")
 
 
+def q_read_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 outside the catalog: the source drops the rows, Spark sums up what is left."""
+    apply_engine_conf(spark)
+    rows = read_table(
+        spark,
+        "events",
+        condition="event_type IN ('purchase', 'signup') AND user_id >= 20 AND user_id <> 33 AND value > 10.5",
+        fmt=FILES_FORMAT,
+        options={"root": sf_dir, "columns": "event_id,user_id,event_type,value"},
+    )
+    return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"), F.max("value").alias("top_value"))
+
+
 def q_read_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources(spark, sf_dir).register()
     return read_table(
@@ -125,6 +139,7 @@ def relational_queries() -> dict[str, Query]:
         "read_table": q_read_table,
         "read_filtered": q_read_filtered,
         "read_query": q_read_query,
+        "read_external": q_read_external,
         "spine": q_spine,
         "single_sub_cohort": q_single_sub_cohort,
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from attrition.config import HORIZON_COL, HORIZONS
-from attrition.sources import snapshots
+from attrition.sources import files_source, snapshots
 
 
 def read_table(
@@ -30,10 +30,18 @@ def read_table(
     Catalyst pushes it into the scan; a query runs through ``spark.sql``.
     External sources (``fmt``, e.g. "jdbc", with connection ``options``): the
     statement goes to the source as its ``query`` option, so the predicate or
-    the whole query runs there, as in the reference.
+    the whole query runs there, as in the reference. A source that takes filters but
+    no statements (``files_source.FORMAT``) gets the table's name, and Spark hands it
+    the predicate.
     """
     if table_name is None and query is None:
         raise ValueError("read_table needs a table_name or a query")
+    if fmt == files_source.FORMAT:
+        if query is not None:
+            raise ValueError(f"format {fmt} takes a table and a condition, no query")
+        files_source.register(spark)
+        df = spark.read.format(fmt).options(**(options or {})).option("table", table_name).load()
+        return df.where(F.expr(condition)) if condition is not None else df
     if fmt is not None:
         if query is None:
             query = f"select * from {table_name}" + (f" WHERE {condition}" if condition is not None else "")

@@ -269,6 +269,10 @@ def relational_sql() -> dict[str, str]:
         "FROM dim_session WHERE app_version IS NOT NULL GROUP BY user_id",
         feature_ctes=False,
     )
+    q["read_external"] = (
+        "SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_event, max(value) AS top_value FROM events "
+        "WHERE event_type IN ('purchase', 'signup') AND user_id >= 20 AND user_id <> 33 AND value > 10.5 GROUP BY ALL"
+    )
     q["spine"] = with_roles(f"SELECT {SPINE_COLS} FROM spine_days")
     q["single_sub_cohort"] = with_roles(f"SELECT {SPINE_COLS} FROM cohort_spine")
     for name, columns in (("session", SESSION_COLUMNS), ("message", MESSAGE_COLUMNS), ("lesson", LESSON_COLUMNS), ("search", SEARCH_COLUMNS)):
