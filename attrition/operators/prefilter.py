@@ -53,6 +53,15 @@ class Members:
         places = (F.shiftrightunsigned(spread, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(PROBES))
         return reduce(Column.bitwiseOR, (F.call_function("shiftleft", F.lit(1).cast("bigint"), p) for p in places))
 
+    def flag(self, rows: DataFrame, key: str, out: str) -> DataFrame:
+        """``rows`` with the boolean ``out``: whether the key may be in the set (the same
+        answer for a key wherever it is asked)."""
+        mine = F.col(f"`{key}`")
+        held = self.words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+        told = rows.join(F.broadcast(held), self._word(mine) == F.col("_word"), "left")
+        has = F.coalesce(F.col("_bits").bitwiseAND(self._bits(mine)) == self._bits(mine), F.lit(False))
+        return told.withColumn(out, has).drop("_word", "_bits")
+
     def keep(self, rows: DataFrame, key: str) -> DataFrame:
         """Rows whose key may be in the set; a null key is never in it."""
         mine = F.col(f"`{key}`")

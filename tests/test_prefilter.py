@@ -28,6 +28,9 @@ def test_members_always_pass_and_few_others(spark):
     assert got.columns == ["u", "word", "bits"]
     assert got.where("u % 2 = 0").count() == 20_000
     assert got.where("u % 2 = 1").count() < 20_000 / 50
+    told = held.flag(rows, "u", "inside")
+    assert told.columns == ["u", "word", "bits", "inside"] and told.count() == 40_000
+    assert told.where("inside").count() == got.count()
 
 
 def test_filter_of_texts_nulls_and_empty_sets(spark):
