@@ -40,6 +40,7 @@ BUCKET_CONF = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
+LABEL_DAY_PROPERTY = "attrition.label_day"
 DATED = ("sessions", "lessons", "messages", "search", "status")
 
 
@@ -48,7 +49,13 @@ class BucketedTables:
     """Names of the tables of one publication."""
 
     prefix: str
-    label_day: int
+
+    def label_day(self, spark: SparkSession) -> int:
+        """Label day that the rollup was made for."""
+        rows = spark.sql(f"SHOW TBLPROPERTIES {self.prefix}_rollup").where(f"key = '{LABEL_DAY_PROPERTY}'").collect()
+        if not rows:
+            raise ValueError(f"{self.prefix}_rollup is no published rollup")
+        return int(rows[0].value)
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.table(f"{self.prefix}_{name}")
@@ -68,15 +75,17 @@ def publish(src: ChurnSources, prefix: str, path: str, n_buckets: int, cfg: Chur
         # dealt as the buckets are, so that a task writes one file of one bucket
         writer = rows.repartition(n_buckets, F.col(key)).write.mode("overwrite").bucketBy(n_buckets, key).sortBy(key)
         writer.option("path", f"{path}/{name}").saveAsTable(f"{prefix}_{name}")
+    spark.sql(f"ALTER TABLE {prefix}_rollup SET TBLPROPERTIES ('{LABEL_DAY_PROPERTY}' = '{cfg.label_day}')")
     src.dim_date.write.mode("overwrite").option("path", f"{path}/calendar").saveAsTable(f"{prefix}_calendar")
-    return BucketedTables(prefix, cfg.label_day)
+    return BucketedTables(prefix)
 
 
 def build(spark: SparkSession, tables: BucketedTables, cfg: ChurnConfig = ChurnConfig()) -> DataFrame:
     """The 38-column training table from published tables. The rollup's lesson rows
     are those of one label day; another one needs another publication: ValueError."""
-    if cfg.label_day != tables.label_day:
-        raise ValueError(f"tables {tables.prefix}_* were published for label day {tables.label_day}, not {cfg.label_day}")
+    made_for = tables.label_day(spark)
+    if cfg.label_day != made_for:
+        raise ValueError(f"tables {tables.prefix}_* were published for label day {made_for}, not {cfg.label_day}")
     set_unset(spark, BUCKET_CONF)
     cohort = single_sub_cohort(eligible_students(tables.table(spark, "student")), tables.table(spark, "subscription_log"), cfg.label_day)
     spine = spine_from_students(cohort, tables.table(spark, "calendar"), cfg.calendar_start, cfg.as_of, cfg.label_day)

@@ -1,9 +1,13 @@
-"""The two batch jobs of the workload, over catalog tables.
+"""The batch jobs of the workload, over catalog tables.
 
 prepare:  source tables -> training table (overwritten, schema merged)
+publish:  source tables -> bucketed tables, from which ``prepare --published`` builds
+          the training table without shuffling students
 model:    training table -> 9 fitted models -> report tables
 
     python -m attrition.plans.jobs prepare --out churn_training_data
+    python -m attrition.plans.jobs publish --prefix churn --path hdfs:///churn --buckets 4096
+    python -m attrition.plans.jobs prepare --out churn_training_data --published churn
     python -m attrition.plans.jobs model --training churn_training_data --reports churn_report
 """
 
@@ -14,6 +18,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from attrition.config import ChurnConfig
+from attrition.plans import bucketed
 from attrition.plans.modelling import ModelRun, run_models
 from attrition.plans.training_table import build_training_table
 from attrition.session import apply_cluster_conf, apply_engine_conf
@@ -29,11 +34,24 @@ def prepare_job(
     tables: dict[str, str] | None = None,
     cfg: ChurnConfig = ChurnConfig(),
     path: str | None = None,
+    published: str | None = None,
 ) -> None:
-    """Build the training table from the catalog's source tables and overwrite ``out_table``."""
+    """Build the training table from the catalog's source tables, or from the bucketed
+    tables with the prefix ``published``, and overwrite ``out_table``."""
     apply_engine_conf(spark)
-    src = ChurnSources.from_catalog(spark, tables)
-    save_training_table(build_training_table(src, cfg), out_table, merge_schema=True, path=path)
+    if published is not None:
+        training = bucketed.build(spark, bucketed.BucketedTables(published), cfg)
+    else:
+        training = build_training_table(ChurnSources.from_catalog(spark, tables), cfg)
+    save_training_table(training, out_table, merge_schema=True, path=path)
+
+
+def publish_job(
+    spark: SparkSession, prefix: str, path: str, n_buckets: int, tables: dict[str, str] | None = None, cfg: ChurnConfig = ChurnConfig()
+) -> bucketed.BucketedTables:
+    """Write the bucketed tables of the catalog's source tables."""
+    apply_engine_conf(spark)
+    return bucketed.publish(ChurnSources.from_catalog(spark, tables), prefix, path, n_buckets, cfg)
 
 
 def model_job(
@@ -64,6 +82,12 @@ def main(argv: list[str] | None = None) -> None:
     prep.add_argument("--out", default=TRAINING_TABLE)
     prep.add_argument("--as-of", default=None)
     prep.add_argument("--label-day", type=int, default=ChurnConfig().label_day)
+    prep.add_argument("--published", default=None)
+    publish = sub.add_parser("publish")
+    publish.add_argument("--prefix", required=True)
+    publish.add_argument("--path", required=True)
+    publish.add_argument("--buckets", type=int, required=True)
+    publish.add_argument("--label-day", type=int, default=ChurnConfig().label_day)
     model = sub.add_parser("model")
     model.add_argument("--training", default=TRAINING_TABLE)
     model.add_argument("--reports", default="churn_report")
@@ -71,7 +95,9 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     apply_cluster_conf(spark)
     if args.job == "prepare":
-        prepare_job(spark, args.out, cfg=ChurnConfig(label_day=args.label_day, as_of=args.as_of))
+        prepare_job(spark, args.out, cfg=ChurnConfig(label_day=args.label_day, as_of=args.as_of), published=args.published)
+    elif args.job == "publish":
+        publish_job(spark, args.prefix, args.path, args.buckets, cfg=ChurnConfig(label_day=args.label_day))
     else:
         model_job(spark, args.training, args.reports)
 

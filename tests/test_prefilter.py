@@ -13,6 +13,7 @@ from attrition.config import ChurnConfig
 from attrition.operators import facts, prefilter
 from attrition.plans import bucketed
 from attrition.plans import training_table as tt
+from attrition.plans.jobs import prepare_job, publish_job
 from attrition.plans.registry import FIXTURE, all_queries, sources
 from attrition.session import scratch_path
 from attrition.sources.bundle import ChurnSources
@@ -144,6 +145,10 @@ def test_bucketed_tables_join_and_window_without_a_shuffle(spark):
     assert sorted(map(str, df.collect())) == sorted(map(str, all_queries()["training_table"](spark, SF_SMALL).select(cols).collect()))
 
 
-def test_bucketed_rollup_refuses_another_label_day(spark):
+def test_published_tables_feed_the_prepare_job(spark):
+    sources(spark, SF_SMALL).register()
+    tables = publish_job(spark, "pub_probe", scratch_path(spark, "pub"), 3, cfg=FIXTURE)
+    prepare_job(spark, "pub_training", cfg=FIXTURE, path=scratch_path(spark, "pub-out"), published="pub_probe")
+    assert spark.table("pub_training").count() == 275 and tables.label_day(spark) == FIXTURE.label_day
     with pytest.raises(ValueError, match="label day 24, not 30"):
-        bucketed.build(spark, bucketed.BucketedTables("none", 24), ChurnConfig(label_day=30))
+        bucketed.build(spark, tables, ChurnConfig(label_day=30))
