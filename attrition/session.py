@@ -88,8 +88,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
     Taken from ``spark.checkpoint.dir`` (the cluster's shared folder). Only
-    when the session names none (local tests) a private folder is created.
+    when the session names none (local tests) a private folder is created. The
+    application's own checkpoints (Spark keeps them in a folder made for it) are
+    removed when the driver's JVM ends.
     """
+    root = _checkpoint_root(spark)
+    own = spark.sparkContext.getCheckpointDir()
+    if own and own not in _REMOVED_AT_EXIT:
+        _REMOVED_AT_EXIT.add(own)
+        delete_on_exit(spark, own)
+    return root
+
+
+_REMOVED_AT_EXIT: set[str] = set()
+
+
+def _checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()

@@ -21,3 +21,24 @@ def test_checkpoint_root_follows_the_session(spark):
     assert spark.sparkContext.getCheckpointDir()
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(root)
+
+
+def test_checkpoints_go_when_the_application_ends(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+from attrition.session import build_session, ensure_checkpoint_dir, scratch_path
+from pyspark.sql import SparkSession
+SparkSession.builder.config("spark.checkpoint.dir", "{tmp_path}/shared").master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+spark = build_session("local[1]", 1)
+ensure_checkpoint_dir(spark)
+spark.range(5).checkpoint(eager=True)
+import os
+assert any(f for _, _, files in os.walk("{tmp_path}/shared") for f in files)
+spark.stop()
+"""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"PYTHONPATH": repo}, timeout=200, capture_output=True)
+    assert not [f for _, _, files in os.walk(f"{tmp_path}/shared") for f in files]
