@@ -11,7 +11,8 @@ words, i.e. meet in a suffix-tree node of that depth.
    run of them travels as one row.
 2. A prefix end that occurs in one document only cannot lie on a repeat; an
    aggregate (with map-side combine) drops those. For the others the words
-   under the run of suffixes are cut out of the text and grouped by prefix.
+   under the run of suffixes are cut out of the text and grouped by prefix. Runs
+   of frequent prefixes are dealt over ``DEALS`` parts before they meet the count.
 3. *Groups.* A prefix with more than ``group_rows`` runs is dealt over as many
    salted groups as its count needs. The salt is a hash of the run (id, text mark,
    prefix and place), so copies of one text and the runs of one text are dealt
@@ -45,11 +46,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrition.llm.common import by_bytes, expand, gram_hashes, map_arrow, materialize, split_words, table, text_buffer
+from attrition.operators.prefilter import members
 
 WINDOW = 50
 GRAM = 8
 RUN = 64
 GROUP_ROWS = 2000
+HOT_KEYS = 1 << 20
+DEALS = 256
 BATCH_BYTES = 1 << 20
 SUBTREE_SUFFIXES = 100_000
 
@@ -121,8 +125,16 @@ def dealt_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_ro
 
     runs = materialize(map_arrow(docs, runs_of, f"id {kind}, mark long, key long, lo int, hi int"), "suffix-runs")
     shared = runs.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("runs")).where("a < b")
+    shared = materialize(shared.select("key", "runs"), "suffix-shared")
+    # frequent prefixes (at most HOT_KEYS by their share of all runs) meet their count in DEALS parts
+    frequent = shared.where(F.col("runs") > max(group_rows, runs.count() // HOT_KEYS)).select("key")
+    hot = members(frequent, "key", frequent.count())
+    part = F.pmod(F.xxhash64("id", "mark", "lo"), F.lit(DEALS)).cast("int")
+    dealt = hot.flag(runs, "key", "_hot").withColumn("_deal", F.when(F.col("_hot"), part).otherwise(F.lit(0))).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(DEALS - 1))).otherwise(F.array(F.lit(0)))
     salts = F.ceil(F.col("runs") / F.lit(group_rows)).cast("int")
-    wanted = runs.join(shared.select("key", salts.alias("salts")), "key")
+    counted = hot.flag(shared, "key", "_hot").select("key", salts.alias("salts"), F.explode(every).alias("_deal"))
+    wanted = dealt.join(counted, ["key", "_deal"])
     salt = F.pmod(F.xxhash64("id", "mark", "key", "lo"), F.col("salts")).cast("int")
     # a set: rows that repeat id and text have the same runs
     wanted = wanted.groupBy("id", "mark").agg(F.collect_set(F.struct("key", "lo", "hi", "salts", salt.alias("salt"))).alias("wanted"))
