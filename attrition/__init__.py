@@ -7,7 +7,7 @@ functions/  column expressions (date arithmetic, labels, safe ratios)
 operators/  DataFrame -> DataFrame building blocks (spine, features, ranking,
             split/balance, encoding, models, evaluation, statistics)
 plans/      end-to-end jobs: sources -> training table, training table -> reports
-streaming/  nothing: the workload is batch only
+llm/        training-data operators; nothing else imports it
 """
 
 from attrition.config import ChurnConfig

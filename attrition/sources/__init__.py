@@ -1,4 +1,5 @@
-"""Sources and sinks: warehouse reads (S1-S4), table writes (S5), role views."""
+"""Sources and sinks: warehouse reads (S1-S4), a source that takes filters, table writes
+as versioned snapshots (S5), role views."""
 
 from attrition.sources.bundle import DEFAULT_TABLES, ChurnSources
 from attrition.sources.roles import role_sources
