@@ -11,10 +11,10 @@ all languages whose set may contain the n-gram.
 
 Prediction: the bitmasks of all n-grams of a whole text are counted by language.
 With n n-grams, c hits and false-positive rate f of the language's filter, the
-corrected count is (c - f n) / (1 - f). The language of the largest corrected
-count wins (ties: the smaller name); the score is its share of all languages'
-corrected counts, counted once more for n-grams that only few languages hold:
-a hit on an n-gram of k languages weighs 1 / k.
+corrected count is (c - f n) / (1 - f). A language's evidence is its corrected count
+times the mean weight of its hits, where a hit on an n-gram of k languages weighs
+1 / k. The language of most evidence wins (ties: the smaller name), which need not be
+the one of the largest corrected count; the score is its share of all evidence.
 
 The sample takes at most about ``sample_rows`` rows of each language, by a hash
 of the id, in proportion to the language's rows; that is the only bounded part.
@@ -23,7 +23,7 @@ Defined results: null text and text without a letter are ``und`` with score 0,
 also where nothing could be learned. Text with letters but no known n-gram gets
 the language of most training rows with score 0. Rows with null language are not
 learned from. A null id is not held out. Repeated rows are predicted each; an
-empty table gives an empty result. Other columns are not read.
+empty table gives an empty result. Other columns pass through ``predict`` unread.
 """
 
 from __future__ import annotations
