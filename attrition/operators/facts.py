@@ -94,13 +94,22 @@ def lesson_rows(lessons: DataFrame, label_day: int = LABEL_DAY) -> DataFrame:
     one_day = "struct(date_from_unix_date(cast(_n as int)) as {day}, cast(null as date) as les_prev, _rows as les_rows, _rating as les_rating, cast(null as bigint) as les_first)"
     # bit p is day _block * own - label_day + p; the highest bit below p is the previous day
     start = f"cast(_block * {own} - {label_day} as int)"
-    below = "_days & ~shiftleft(-1L, p)"
-    prev = f"greatest(date_from_unix_date({start} + p - {label_day} - 1), if({below} = 0, null, date_from_unix_date({start} + length(bin({below})) - 1)))"
-    own_days = (
-        f"transform(filter(sequence({label_day}, 63), p -> getbit(_days, p) = 1), p -> struct(date_from_unix_date({start} + p) as {{day}}, "
-        f"{prev} as les_prev, cast(null as bigint) as les_rows, cast(null as double) as les_rating, 1L as les_first))"
-    )
-    out = F.expr(f"inline(if(_block is null, array({one_day.format(day=DAY)}), {own_days.format(day=DAY)}))")
+    mine = f"(_days & {-(1 << label_day)}L)"  # the block's own days
+
+    def day_row(p: str) -> str:
+        below = f"(_days & ~shiftleft(-1L, {p}))"
+        floor = f"date_from_unix_date({start} + {p} - {label_day} - 1)"
+        prev = f"greatest({floor}, if({below} = 0, null, date_from_unix_date({start} + length(bin({below})) - 1)))"
+        return (
+            f"struct(date_from_unix_date({start} + {p}) as {DAY}, {prev} as les_prev, cast(null as bigint) as les_rows, "
+            "cast(null as double) as les_rating, 1L as les_first)"
+        )
+
+    # most lessons have one day in a block; only the others need a look at every bit
+    several = f"transform(filter(sequence({label_day}, 63), p -> getbit(_days, p) = 1), p -> {day_row('p')})"
+    one = f"array({day_row(f'(length(bin({mine})) - 1)')})"
+    days = f"if(bit_count({mine}) = 1, {one}, if({mine} = 0, array(), {several}))"
+    out = F.expr(f"inline(if(_block is null, array({one_day.format(day=DAY)}), {days}))")
     return merged.select("student_id", out)
 
 
