@@ -27,6 +27,9 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Rows of a record batch between Spark and its Python workers.
 ARROW_ROWS = 1000
 
+#: Bytes of text that are split into words at a time.
+PIECE_BYTES = 4 << 20
+
 # Freed Arrow memory goes back to the system instead of staying with the worker.
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -177,6 +180,32 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bufs[2], np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Cut documents in one buffer into runs of about ``limit`` bytes: (first document,
+    last document + 1, their offsets within the run). A document over the limit is cut
+    at white space, where no word crosses; a word over the limit stays whole."""
+    i, docs = 0, len(offsets) - 1
+    at = int(offsets[0])
+    while i < docs:
+        j = int(np.searchsorted(offsets, at + limit, side="right")) - 1
+        if j > i:
+            yield i, j, np.concatenate([[at], offsets[i + 1 : j + 1]])
+            i, at = j, int(offsets[j])
+            continue
+        end, cut = int(offsets[i + 1]), at + limit
+        while cut < end:
+            blank = np.flatnonzero(~_IS_WORD[data[cut : min(cut + (1 << 16), end)]])
+            if len(blank):
+                cut += int(blank[0])
+                break
+            cut += 1 << 16
+        cut = min(cut, end)
+        yield i, i + 1, np.array([at, cut])
+        at = cut
+        if cut == end:
+            i += 1
+
+
 def unspaced(data: np.ndarray) -> np.ndarray:
     """First bytes of the characters of scripts that are written without spaces: Thai,
     Lao, Myanmar, Khmer, kana, CJK ideographs and their punctuation, full and half
@@ -192,7 +221,23 @@ def unspaced(data: np.ndarray) -> np.ndarray:
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False, inside: np.ndarray | None = None) -> Words:
     """Words of consecutive documents with their hashes (``lower``: A-Z as a-z;
     ``plain``: ASCII punctuation parts words as white space does, and each character
-    of a script without spaces is a word; ``inside``: flags of the bytes of a word)."""
+    of a script without spaces is a word; ``inside``: flags of the bytes of a word,
+    where white space never is one).
+
+    More than ``PIECE_BYTES`` are split piece by piece: some 60 bytes a byte of one piece
+    are held, and 24 bytes a word of the whole."""
+    if len(data) <= PIECE_BYTES:
+        return _split(data, offsets, lower, plain, inside)
+    found, counts = [], np.zeros(len(offsets) - 1, np.int64)
+    for first, last, cuts in pieces(data, offsets, PIECE_BYTES):
+        part = _split(data[cuts[0] : cuts[-1]], cuts - cuts[0], lower, plain, inside)
+        found.append((part.start + cuts[0], part.end + cuts[0], part.hash))
+        counts[first:last] += np.diff(part.first)
+    start, end, hashes = (np.concatenate([x[i] for x in found]) for i in range(3))
+    return Words(data, start, end, hashes, np.concatenate([[0], np.cumsum(counts)]))
+
+
+def _split(data: np.ndarray, offsets: np.ndarray, lower: bool, plain: bool, inside: np.ndarray | None) -> Words:
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)

@@ -2,19 +2,26 @@
 
 Learning: byte n-grams of lower-cased words (with a blank at both ends) are
 counted by language over a bounded sample of labelled rows. A language's set
-holds the n-grams that make up at least ``min_share`` of its n-grams and are at
-least ``ratio`` of what the language that uses it most has; the share bounds
-the set's size (at most 1 / ``min_share`` entries a language). Each language's
-set is put into a Bloom filter. The filters are bit-sliced: slot ``i`` holds one
-bit for every language, so a lookup is the AND of ``probes`` slots and returns
-all languages whose set may contain the n-gram.
+holds the n-grams that make up at least ``min_share`` of its n-grams, whatever
+other languages hold them too; the share bounds the set's size (at most
+1 / ``min_share`` entries a language and length). Each language's set is put into a
+Bloom filter. The filters are bit-sliced: slot ``i`` holds one bit for every
+language, so a lookup is the AND of ``probes`` slots and returns all languages
+whose set may contain the n-gram.
 
 Prediction: the bitmasks of all n-grams of a whole text are counted by language.
 With n n-grams, c hits and false-positive rate f of the language's filter, the
-corrected count is (c - f n) / (1 - f). A language's evidence is its corrected count
-times the mean weight of its hits, where a hit on an n-gram of k languages weighs
-1 / k. The language of most evidence wins (ties: the smaller name), which need not be
-the one of the largest corrected count; the score is its share of all evidence.
+corrected count is (c - f n) / (1 - f), at least 0. The language of the largest
+corrected count wins (ties: the smaller name). The score is that count as a share
+of the text's n-grams, so it does not depend on how many languages were learned.
+``learn_bound`` gives the score below which a text is in none of them, from
+labelled rows.
+
+Texts over ``PIECE_BYTES`` are counted piece by piece, cut at blanks, where no n-gram
+crosses; a task holds some 100 bytes a byte of a piece, and the text itself.
+
+The slots take 8 bytes for each 64 languages; above ``WIDE`` languages there are fewer
+slots, so that all take at most 128 MB, at a higher (and corrected) false rate.
 
 The sample takes at most about ``sample_rows`` rows of each language, by a hash
 of the id, in proportion to the language's rows; that is the only bounded part.
@@ -37,18 +44,18 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import by_bytes, map_arrow, mix64, table, text_buffer
+from attrition.llm.common import by_bytes, map_arrow, mix64, pieces, table, text_buffer
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
 SAMPLE_ROWS = 3000
 MIN_SHARE = 5e-5
-RATIO = 0.25
 SLOT_BITS = 20
 PROBES = 2
-MAX_LANGUAGES = 1024
+WIDE = 1024
 BATCH_BYTES = 1 << 19
-MIN_SCORE = 0.3
+PIECE_BYTES = 1 << 20
+BOUND_SHARE = 0.001  # of labelled rows lie below the level that the bound is half of
 
 _LETTER = regex.compile(r"\p{L}").search
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -82,7 +89,10 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Folded bytes of the texts, each between two blanks."""
-    data, off = text_buffer(texts)
+    return fold(*text_buffer(texts))
+
+
+def fold(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows = len(off) - 1
     out = np.full(len(data) + 2 * rows, 32, np.uint8)
     at = np.arange(len(data)) + np.repeat(2 * np.arange(rows) + 1, np.diff(off))
@@ -124,40 +134,57 @@ class LanguageFilters:
             out = out & self.slots[p]
         return out
 
-    def predict(self, texts: pa.Array, probes: int) -> tuple[list[str], np.ndarray]:
-        rows = len(texts)
-        data, off = folded(texts)
-        count = np.zeros(rows)
-        hits = np.zeros((len(self.languages), rows))
-        weight = np.zeros((len(self.languages), rows))
+    def count(self, data: np.ndarray, off: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams, hits of each language) of texts in one buffer."""
+        rows = len(off) - 1
+        total, hits = np.zeros(rows), np.zeros((len(self.languages), rows))
+        data, off = fold(data, off)
         for n in SIZES:
             h, doc = ngrams(data, off, n)
-            count += np.bincount(doc, minlength=rows)
+            total += np.bincount(doc, minlength=rows)
             masks = self.masks(h, probes)
-            held = np.bitwise_count(masks).sum(axis=1, dtype=np.int64)
-            share = 1.0 / np.maximum(held, 1)
             for i in range(len(self.languages)):
                 word, bit = divmod(i, 64)
                 on = ((masks[:, word] >> np.uint64(bit)) & np.uint64(1)).astype(bool)
                 hits[i] += np.bincount(doc[on], minlength=rows)
-                weight[i] += np.bincount(doc[on], weights=share[on], minlength=rows)
+        return total, hits
+
+    def predict(self, texts: pa.Array, probes: int) -> tuple[list[str], np.ndarray]:
+        rows = len(texts)
+        data, off = text_buffer(texts)
+        count, hits = np.zeros(rows), np.zeros((len(self.languages), rows))
+        for first, last, cuts in pieces(data, off, PIECE_BYTES):
+            n, h = self.count(data[cuts[0] : cuts[-1]], cuts - cuts[0], probes)
+            count[first:last] += n
+            hits[:, first:last] += h
         f = self.false_rate[:, None]
-        corrected = np.maximum((hits - f * count) / (1 - f), 0)
-        evidence = corrected * np.where(hits > 0, weight / np.maximum(hits, 1), 0)
-        total = evidence.sum(axis=0)
+        corrected = np.maximum((hits - f * count) / np.maximum(1 - f, 1e-12), 0)
         names, scores = [], np.zeros(rows)
-        best = evidence.argmax(axis=0) if len(self.languages) else np.zeros(rows, int)
-        for i, t in enumerate(texts.to_pylist()):
+        best = corrected.argmax(axis=0) if len(self.languages) else np.zeros(rows, int)
+        for i, t in enumerate(texts):
+            t = t.as_py()
             if not self.languages or t is None or not _LETTER(t):
                 names.append(UNKNOWN)
-            elif total[i] <= 0:
+            elif corrected[best[i], i] <= 0:
                 names.append(self.fallback)
             else:
                 names.append(self.languages[best[i]])
-                scores[i] = evidence[best[i], i] / total[i]
+                scores[i] = min(1.0, corrected[best[i], i] / count[i])
         return names, scores
 
 
+def sampled(labelled: DataFrame, sizes: DataFrame, sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` rows (lang, text) of each language, by a hash of id and text."""
+    unit = F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))
+    quota = sizes.select("lang", (F.lit(float(sample_rows)) / F.col("n")).alias("quota"))
+    return labelled.join(F.broadcast(quota), "lang").where(unit < F.col("quota")).select("lang", "text")  # a row a language
+
+
+def with_language(labelled: DataFrame, lang_col: str, text_col: str, id_col: str) -> DataFrame:
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    return rows.where("lang IS NOT NULL AND text IS NOT NULL")
+
+
 def learn(
     labelled: DataFrame,
     lang_col: str = "lang",
@@ -165,7 +192,6 @@ def learn(
     id_col: str = "doc_id",
     sample_rows: int = SAMPLE_ROWS,
     min_share: float = MIN_SHARE,
-    ratio: float = RATIO,
     slot_bits: int = SLOT_BITS,
     probes: int = PROBES,
 ) -> LanguageFilters:
@@ -173,20 +199,13 @@ def learn(
 
     ``sample_rows`` bounds the rows of a language that are counted (in
     expectation; chosen by a hash of id and text)."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).where(
-        "lang IS NOT NULL AND text IS NOT NULL"
-    )
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = with_language(labelled, lang_col, text_col, id_col)
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageFilters.build([], [], None, slot_bits, probes)
-    quota = F.lit(None).cast("double")
-    for name in languages:
-        quota = F.when(F.col("lang") == name, F.lit(min(1.0, sample_rows / sizes[name]))).otherwise(quota)
-    unit = F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))
-    sample = rows.where(unit < quota).select("lang", "text")
+    slot_bits -= max(0, (len(languages) - 1) // WIDE).bit_length()
+    sample = sampled(rows, labelled.sparkSession.createDataFrame(sorted(sizes.items()), "lang string, n long"), sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", BATCH_BYTES):
@@ -208,9 +227,8 @@ def learn(
     totals = grams.groupBy("lang", "size").agg(F.sum("times").alias("total"))
     shares = grams.join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("times") / F.col("total"))
     shares = shares.where(F.col("share") >= min_share)
-    most = shares.groupBy("gram").agg(F.max("share").alias("most"))
     # at most len(SIZES) / min_share n-grams a language reach the driver
-    kept = shares.join(most, "gram").where(F.col("share") >= ratio * F.col("most")).select("lang", "gram").toPandas()
+    kept = shares.select("lang", "gram").toPandas()
     sets = [kept.loc[kept["lang"] == x, "gram"].to_numpy(np.int64).view(np.uint64) for x in languages]
     return LanguageFilters.build(languages, sets, max(languages, key=lambda x: (sizes[x], x)), slot_bits, probes)
 
@@ -233,6 +251,19 @@ def predict(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", p
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "lang_pred", "score")
 
 
+def learn_bound(
+    labelled: DataFrame, filters: LanguageFilters, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, share: float = BOUND_SHARE
+) -> float:
+    """Score below which a text is taken to be in none of the languages: half of the
+    score that all but ``share`` of the labelled rows with a known language reach
+    (0 if there are none). Measured on a sample as in ``learn``."""
+    rows = with_language(labelled, lang_col, text_col, id_col)
+    sample = sampled(rows, rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), sample_rows)
+    told = predict(sample, filters).where(F.col("lang_pred") != UNKNOWN)
+    low = told.agg(F.percentile_approx("score", share, 10_000)).first()[0]
+    return (low or 0.0) / 2
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text leaves 2 by division by 4 (false for a null id)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -18,6 +18,61 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def slow_grams(text):
+    """Byte n-grams of words between blanks, by length."""
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    words = ["".join(chr(c) if c >= 128 or chr(c).islower() or c < 9 or 13 < c < 32 or c == 127 else " " for c in low)]
+    words = [f" {w} " for w in words[0].split(" ") if w]
+    return [w[i : i + n] for w in words for n in language.SIZES for i in range(len(w) - n + 1)]
+
+
+def test_decision_equals_plain_counts(spark):
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    counts = {}
+    for r in rows:
+        for g in slow_grams(r.text or ""):
+            counts.setdefault(r.lang, Counter())[g] += 1
+    sets = {}
+    for lang, c in counts.items():
+        total = {n: sum(v for g, v in c.items() if len(g) == n) for n in language.SIZES}
+        sets[lang] = {g for g, v in c.items() if v / total[len(g)] >= language.MIN_SHARE}
+    told = {r.doc_id: r for r in language.predict(docs, language.learn(docs)).collect()}
+    for r in rows:
+        grams = slow_grams(r.text or "")
+        if not grams:
+            continue
+        held = sorted(((sum(g in sets[x] for g in grams) / len(grams), x) for x in sets), key=lambda p: (-p[0], p[1]))
+        assert abs(told[r.doc_id].score - held[0][0]) < 2e-3
+        if held[0][0] - held[1][0] > 2e-3:
+            assert told[r.doc_id].lang_pred == held[0][1]
+
+
+def test_pieces_do_not_change_the_decision(monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcde é!"), rng.integers(1, 40)))
+    texts = pa.array([" ".join(word() for _ in range(int(rng.integers(0, 60)))) for _ in range(20)] + [None, "", "x" * 300])
+    grams = language.ngrams(*language.folded(texts), 3)[0]
+    f = language.LanguageFilters.build(["a", "b", "c"], [grams[::2], grams[::3], grams[::5]], "a", 12, 2)
+    whole = f.predict(texts, 2)
+    for size in (1, 16, 100):
+        monkeypatch.setattr(language, "PIECE_BYTES", size)
+        names, scores = f.predict(texts, 2)
+        assert names == whole[0] and np.allclose(scores, whole[1], atol=1e-12)
+
+
+def test_many_languages(spark):
+    rows = [(i, f"q{i:04d}".translate(str.maketrans("0123456789", "abcdefghij")) * 3, f"l{i:04d}") for i in range(1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language.learn(docs)
+    assert len(filters.slots) == 1 << language.SLOT_BITS - 1
+    got = language.predict(docs.where("doc_id % 10 = 0"), filters).collect()
+    assert len(got) == 110 and all(r.score > 0.9 for r in got)
+    assert 0 < language.learn_bound(docs.where("doc_id < 50"), filters) <= 0.5
+
+
 def test_filters_return_every_holding_language_and_know_their_false_rate():
     rng = np.random.default_rng(3)
     names = [f"l{i:03d}" for i in range(130)]  # three words of bits
