@@ -21,7 +21,7 @@ tokens and has at least ``SHARE`` of them equal. It is an overlap if it has
 share of all its tokens is equal.
 
 Neither documents nor the benchmark go through the driver: it reads three numbers and
-the filter, at most ``2 ** FILTER_BITS`` bits (16 MB), which is also all that is
+the filter, at most ``2 ** FILTER_BITS`` bits (32 MB), which is also all that is
 broadcast by hint; tables are broadcast only where Spark finds them small. Beyond that
 the filter lets more through and the join does more. Equal documents are joined and
 verified once, items are verified in bundles of about ``BUNDLE`` tokens.
@@ -58,8 +58,8 @@ MIN_EQUAL = 10
 MIN_LENGTH = 12
 MIN_TOKENS = 3
 BATCH_BYTES = 1 << 20
-FILTER_BITS = 27
-BITS_A_SEED = 32
+FILTER_BITS = 28
+BITS_A_SEED = 256
 PROBES = 4
 BUNDLE = 1 << 19
 HITS = 1 << 20
