@@ -8,16 +8,22 @@ words, i.e. meet in a suffix-tree node of that depth.
    ``gram``-word hash among its first ``window`` words. The prefix length thus
    varies with the text (``gram`` to ``window`` words), equal passages always
    have equal prefixes' ends, and neighbouring suffixes mostly share one, so a
-   run of them travels as one row.
-2. A prefix end that occurs in one document only cannot lie on a repeat; an
-   aggregate (with map-side combine) drops those. For the others the words
-   under the run of suffixes are cut out of the text and grouped by prefix. Runs
-   of frequent prefixes are dealt over ``DEALS`` parts before they meet the count.
-3. *Groups.* A prefix with more than ``group_rows`` runs is dealt over as many
-   salted groups as its count needs. The salt is a hash of the run (id, text mark,
-   prefix and place), so copies of one text and the runs of one text are dealt
-   out as well, and rows that repeat id and text are cut out once: a group has
-   about ``group_rows`` runs, whatever the texts.
+   run of them travels as one row. A prefix end that occurs in one document only
+   cannot lie on a repeat; an aggregate (with map-side combine) drops those.
+2. *Growth.* Suffixes of a prefix with more than ``group_rows`` runs get a longer
+   one: the documents are read again, and of these suffixes alone the prefix ends
+   with the least hash of twice, then of ``GROWTH`` times as many words. So a common
+   phrase in many different passages parts into groups that fit a task. At most
+   ``HOT_KEYS`` prefixes grow at a time (by their share of all runs); these are all
+   that the driver reads.
+3. *Groups.* The words under the runs are cut out of the texts and grouped by
+   prefix. Passages that are equal, as in copies of one text, stay together however
+   long the prefix; such a prefix is dealt over as many salted groups as its count
+   needs. The salt is a hash of the run (id, text mark, prefix and place), so copies
+   of one text and the runs of one text are dealt out as well, and rows that repeat id
+   and text are cut out once: a group has about ``group_rows`` runs, whatever the
+   texts. Runs of such prefixes are dealt over ``DEALS`` parts before they meet the
+   count.
 4. *Subtrees.* A task orders the suffixes of whole groups and takes the common
    prefix of neighbours: the leaves and inner nodes of the group's subtree.
    Nodes of depth ``window`` are the repeats; every suffix below one whose
@@ -25,7 +31,13 @@ words, i.e. meet in a suffix-tree node of that depth.
    smallest of each node goes on to an aggregate over the node's words, which
    joins the groups of one prefix again; it sees at most one id for each node
    and group.
-5. Marks are collected by document and cut out of the text.
+5. Marks are collected by document and cut out of the text. ``repeated_passages`` gives
+   them as the longest passages of each document that are covered throughout.
+
+The order within a group goes to the first ``window`` words: which of the nodes below
+that depth a suffix lies in does not change what is covered.
+
+A long text is held whole by a task, with some 50 bytes a word beside it.
 
 Defined results: null text has no words; words are kept unchanged; a document
 without marks keeps its text as it was. A null id is neither smaller nor larger
@@ -45,11 +57,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import by_bytes, expand, gram_hashes, map_arrow, materialize, split_words, table, text_buffer
+from attrition.llm.common import SPACE_BYTES, Words, by_bytes, expand, gram_hashes, map_arrow, materialize, mix64, split_words, table, text_buffer
 from attrition.operators.prefilter import members
 
 WINDOW = 50
 GRAM = 8
+GROWTH = 3
 RUN = 64
 GROUP_ROWS = 2000
 HOT_KEYS = 1 << 20
@@ -68,20 +81,31 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def suffix_runs(first: np.ndarray, hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def prefix_ends(hashes: np.ndarray, window: int, gram: int, level: int) -> np.ndarray:
+    """The prefix end of each window: its least hash of ``level + 1`` times ``gram`` words."""
+    least = sliding_min(gram_hashes(hashes, gram * (level + 1)), window - gram * (level + 1) + 1)
+    return mix64(least + np.uint64(level)) if level else least
+
+
+def suffix_runs(first: np.ndarray, hashes: np.ndarray, window: int, gram: int, grown: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, ...]:
     """(document, prefix end, first suffix, last suffix) for runs of suffixes
-    with the same prefix end; suffixes are word numbers inside the document."""
+    with the same prefix end; suffixes are word numbers inside the document.
+    ``grown``: sorted prefix ends of each level whose suffixes get a longer one;
+    only these suffixes are returned."""
     n = np.maximum(np.diff(first) - window + 1, 0)
-    if not n.sum():
-        z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint64), z, z
-    least = sliding_min(gram_hashes(hashes, gram), window - gram + 1)
     at = expand(first[:-1], n)
     doc = np.repeat(np.arange(len(n)), n)
+    for level, ends in enumerate(grown):
+        if len(at):
+            pick = np.isin(prefix_ends(hashes, window, gram, level)[at], ends, kind="sort")
+            at, doc = at[pick], doc[pick]
+    if not len(at):
+        z = np.zeros(0, np.int64)
+        return z, z.astype(np.uint64), z, z
     local = at - first[doc]
-    key = least[at]
+    key = prefix_ends(hashes, window, gram, len(grown))[at]
     new = np.ones(len(at), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
     head = np.flatnonzero(new)
     place = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
     head = np.flatnonzero(place % RUN == 0)
@@ -113,21 +137,40 @@ def dealt_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_ro
     kind = docs.schema["id"].dataType.simpleString()
     docs = docs.where(F.col("id").isNotNull())
 
-    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text", BATCH_BYTES):
-            words = split_words(*text_buffer(b.column(2)))
-            doc, key, lo, hi = suffix_runs(words.first, words.hash, window, gram)
-            pick = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pick), b.column(1).take(pick), pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
-                names=["id", "mark", "key", "lo", "hi"],
-            )
-
-    runs = materialize(map_arrow(docs, runs_of, f"id {kind}, mark long, key long, lo int, hi int"), "suffix-runs")
-    shared = runs.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("runs")).where("a < b")
-    shared = materialize(shared.select("key", "runs"), "suffix-shared")
-    # frequent prefixes (at most HOT_KEYS by their share of all runs) meet their count in DEALS parts
-    frequent = shared.where(F.col("runs") > max(group_rows, runs.count() // HOT_KEYS)).select("key")
+    sc = docs.sparkSession.sparkContext
+
+    def runs_of(longer):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in by_bytes(batches, "text", BATCH_BYTES):
+                words = split_words(*text_buffer(b.column(2)))
+                doc, key, lo, hi = suffix_runs(words.first, words.hash, window, gram, tuple(x.value for x in longer))
+                pick = pa.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pick), b.column(1).take(pick), pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
+                    names=["id", "mark", "key", "lo", "hi"],
+                )
+
+        return run
+
+    levels = min(GROWTH, window // gram)
+    runs = shared = frequent = None
+    longer: list = []
+    for level in range(levels):
+        found = materialize(map_arrow(docs, runs_of(list(longer)), f"id {kind}, mark long, key long, lo int, hi int"), "suffix-runs")
+        counts = found.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("runs")).where("a < b")
+        counts = materialize(counts.select("key", "runs"), "suffix-shared")
+        over = F.col("runs") > max(group_rows, found.count() // HOT_KEYS)  # at most HOT_KEYS
+        frequent = counts.where(over).select("key")
+        grows = np.sort(frequent.toArrow()["key"].to_numpy().view(np.uint64)) if level + 1 < levels else np.zeros(0, np.uint64)
+        if len(grows):
+            found = found.join(F.broadcast(frequent), "key", "left_anti")
+            counts = counts.where(~over)
+            longer.append(sc.broadcast(grows))
+        runs = found if runs is None else runs.unionByName(found)
+        shared = counts if shared is None else shared.unionByName(counts)
+        if not len(grows):
+            break
+    # prefixes that no growth splits meet their count in DEALS parts
     hot = members(frequent, "key", frequent.count())
     part = F.pmod(F.xxhash64("id", "mark", "lo"), F.lit(DEALS)).cast("int")
     dealt = hot.flag(runs, "key", "_hot").withColumn("_deal", F.when(F.col("_hot"), part).otherwise(F.lit(0))).drop("_hot")
@@ -249,6 +292,64 @@ def by_bytes_binary(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[p
             yield b.slice(i, rows)
 
 
+def covered(ranges: list, n: int, window: int) -> np.ndarray:
+    """Flags of the ``n`` words of a text that lie under its marked suffixes."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, [r["lo"] for r in ranges], 1)
+    np.add.at(edge, [r["hi"] + window for r in ranges], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def joined(words: Words, doc: int, keep: np.ndarray | None = None) -> bytes:
+    """Words of a document (those flagged) joined by one blank."""
+    a, b = words.first[doc], words.first[doc + 1]
+    s, e = words.start[a:b], words.end[a:b]
+    s, e = (s, e) if keep is None else (s[keep], e[keep])
+    if not len(s):
+        return b""
+    data = words.data[s[0] : e[-1]]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[s - s[0]], edge[e - s[0]] = 1, -1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    inside[e[:-1] - s[0]] = True  # the white space after each word but the last
+    out = data[inside]
+    out[np.isin(out, SPACE_BYTES)] = 32
+    return out.tobytes()
+
+
+def marked_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a ``mark`` that tells rows of one id apart (31 bits, which travel with
+    every run), and its columns ``id``, ``mark`` and ``text``."""
+    marked = docs.withColumn("mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)))
+    return marked, marked.select(F.col(id_col).alias("id"), "mark", F.col(text_col).alias("text"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(id, mark, start, n_words, passage): the longest passages of each document all of
+    whose words ``remove_repeats`` would remove; ``mark`` tells rows of one id apart."""
+    _, slim = marked_texts(docs.select(id_col, text_col), id_col, text_col)
+    ranges = find_repeats(slim, window).groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    kind = slim.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "text", BATCH_BYTES):
+            words = split_words(*text_buffer(b.column(2)))
+            rows = []
+            for i, ranges_i in enumerate(b.column(3).to_pylist()):
+                n = int(words.first[i + 1] - words.first[i])
+                edge = np.diff(covered(ranges_i, n, window).astype(np.int8), prepend=0, append=0)
+                for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+                    keep = np.zeros(n, bool)
+                    keep[x:y] = True
+                    rows.append((i, x, y - x, joined(words, i, keep).decode()))
+            pick = pa.array([r[0] for r in rows], pa.int64())
+            columns = [b.column(0).take(pick), b.column(1).take(pick), *(pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "start", "n_words", "passage"])
+
+    with_ranges = slim.dropDuplicates(["id", "mark"]).join(ranges, ["id", "mark"])
+    return map_arrow(with_ranges, run, f"id {kind}, mark long, start long, n_words long, passage string")
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
@@ -258,54 +359,46 @@ def remove_repeats(
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    # 31 bits tell rows of one id apart and travel with every run
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF))
-    marked = inner.withColumn("mark", mark)
-    slim = marked.select(F.col(ident).alias("id"), "mark", F.col(text).alias("text"))
+    marked, slim = marked_texts(inner, ident, text)
     ranges = (
         find_repeats(slim, window, gram, group_rows)
         .groupBy("id", "mark")
         .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
         .select(F.col("id").alias("r_id"), F.col("mark").alias("r_mark"), "ranges")
     )
-    joined = marked.join(ranges, (F.col(ident) == F.col("r_id")) & (F.col("mark") == F.col("r_mark")), "left")
-    joined = joined.select(*inner.columns, "ranges")
+    with_ranges = marked.join(ranges, (F.col(ident) == F.col("r_id")) & (F.col("mark") == F.col("r_mark")), "left")
+    with_ranges = with_ranges.select(*inner.columns, "ranges")
     plain = inner.columns
     where = plain.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, text, 4 * BATCH_BYTES):
             old = b.column(where)
+            words = split_words(*text_buffer(old))
             texts = old.to_pylist()
-            counts, removed = [], []
+            removed = np.zeros(b.num_rows, np.int64)
             for i, ranges_i in enumerate(b.column(len(names)).to_pylist()):
-                words = (texts[i] or "").encode().split()
-                counts.append(len(words))
-                gone = 0
                 if ranges_i:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, [r["lo"] for r in ranges_i], 1)
-                    np.add.at(edge, [r["hi"] + window for r in ranges_i], -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    gone = int(len(words) - keep.sum())
-                    if gone:
-                        texts[i] = b" ".join([words[j] for j in np.flatnonzero(keep).tolist()]).decode()
-                removed.append(gone)
+                    keep = ~covered(ranges_i, int(words.first[i + 1] - words.first[i]), window)
+                    removed[i] = len(keep) - keep.sum()
+                    if removed[i]:
+                        texts[i] = joined(words, i, keep).decode()
             columns = [b.column(c) for c in range(len(names))]
             columns[where] = pa.array(texts, old.type)
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*plain, "n_words", "n_removed"]
+                [*columns, pa.array(np.diff(words.first)), pa.array(removed)], names=[*plain, "n_words", "n_removed"]
             )
 
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in inner.schema], "n_words long", "n_removed long"])
-    out = map_arrow(joined, cut, schema)
+    out = map_arrow(with_ranges, cut, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_words", "n_removed")
 
 
 def kept_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SHA-256 of the words of each text joined by one blank."""
-    for b in batches:
-        digests = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in b.column(3).to_pylist()]
+    for b in by_bytes(batches, "text", BATCH_BYTES):
+        words = split_words(*text_buffer(b.column(3)))
+        digests = [hashlib.sha256(joined(words, i)).hexdigest() for i in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(3)), pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 

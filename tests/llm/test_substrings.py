@@ -83,6 +83,31 @@ def test_groups_of_exact_copies_stay_small(spark):
     assert all(" ".join(t.split()) == w for (_, t, _), (_, w, _) in zip(have, brute(rows, 6), strict=True))
 
 
+def test_prefixes_grow_until_their_groups_fit(spark):
+    rng = random.Random(6)
+    word = lambda: str(rng.randint(0, 10**6))
+    # one phrase in passages that differ around it: only a longer prefix parts them
+    rows = [(i, " ".join([*(word() for _ in range(7)), "p", "q", *(word() for _ in range(7))])) for i in range(800)]
+    rows += [(1000 + i, t) for i, t in rows[:5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    slim = docs.selectExpr("doc_id AS id", "xxhash64(text) & 2147483647 AS mark", "text")
+    runs = substrings.dealt_runs(slim, window=8, gram=2, group_rows=20).collect()
+    sizes = {}
+    for r in runs:
+        sizes[r.key] = sizes.get(r.key, 0) + 1
+    assert max(sizes.values()) <= 20 and {r.salts for r in runs} == {1}
+    have = sorted((r.doc_id, r.text, r.n_removed) for r in substrings.remove_repeats(docs, window=8, gram=2, group_rows=20).collect())
+    assert have == brute(rows, 8)
+
+
+def test_repeated_passages_are_the_longest(spark):
+    a = " ".join(f"a{i}" for i in range(70))
+    b = " ".join(f"b{i}" for i in range(55))
+    docs = [(1, a), (2, f"x {a}\ty {b}"), (3, f"{b} z {a} {a}"), (4, None), (None, a), (3, b)]
+    got = substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.start, r.n_words, r.passage) for r in got) == [(2, 1, 70, a), (3, 0, 55, b), (3, 0, 55, b), (3, 56, 140, f"{a} {a}")]
+
+
 def test_subtree_orders_suffixes_and_counts_common_words():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 3, (200, 5)).astype(np.uint32)
