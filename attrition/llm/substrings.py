@@ -57,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm.common import SPACE_BYTES, Words, by_bytes, expand, gram_hashes, map_arrow, materialize, mix64, split_words, table, text_buffer
+from attrition.llm.common import PIECE_BYTES, SPACE_BYTES, by_bytes, expand, gram_hashes, map_arrow, materialize, mix64, split_words, table, text_buffer
 from attrition.operators.prefilter import members
 
 WINDOW = 50
@@ -300,11 +300,13 @@ def covered(ranges: list, n: int, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def joined(words: Words, doc: int, keep: np.ndarray | None = None) -> bytes:
-    """Words of a document (those flagged) joined by one blank."""
-    a, b = words.first[doc], words.first[doc + 1]
-    s, e = words.start[a:b], words.end[a:b]
-    s, e = (s, e) if keep is None else (s[keep], e[keep])
+def joined(text: bytes, keep: np.ndarray | None = None) -> bytes:
+    """Words of a text (those flagged) joined by one blank."""
+    if len(text) <= PIECE_BYTES:
+        words = text.split()
+        return b" ".join(words if keep is None else [words[j] for j in np.flatnonzero(keep).tolist()])
+    words = split_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    s, e = (words.start, words.end) if keep is None else (words.start[keep], words.end[keep])
     if not len(s):
         return b""
     data = words.data[s[0] : e[-1]]
@@ -317,6 +319,12 @@ def joined(words: Words, doc: int, keep: np.ndarray | None = None) -> bytes:
     return out.tobytes()
 
 
+def word_count(text: bytes) -> int:
+    if len(text) <= PIECE_BYTES:
+        return len(text.split())
+    return len(split_words(np.frombuffer(text, np.uint8), np.array([0, len(text)])).hash)
+
+
 def marked_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """``docs`` with a ``mark`` that tells rows of one id apart (31 bits, which travel with
     every run), and its columns ``id``, ``mark`` and ``text``."""
@@ -333,15 +341,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", BATCH_BYTES):
-            words = split_words(*text_buffer(b.column(2)))
             rows = []
-            for i, ranges_i in enumerate(b.column(3).to_pylist()):
-                n = int(words.first[i + 1] - words.first[i])
+            for i, (text, ranges_i) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                text = text.encode()
+                n = word_count(text)
                 edge = np.diff(covered(ranges_i, n, window).astype(np.int8), prepend=0, append=0)
                 for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
                     keep = np.zeros(n, bool)
                     keep[x:y] = True
-                    rows.append((i, x, y - x, joined(words, i, keep).decode()))
+                    rows.append((i, x, y - x, joined(text, keep).decode()))
             pick = pa.array([r[0] for r in rows], pa.int64())
             columns = [b.column(0).take(pick), b.column(1).take(pick), *(pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "start", "n_words", "passage"])
@@ -374,19 +382,20 @@ def remove_repeats(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, text, 4 * BATCH_BYTES):
             old = b.column(where)
-            words = split_words(*text_buffer(old))
             texts = old.to_pylist()
-            removed = np.zeros(b.num_rows, np.int64)
+            counts, removed = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for i, ranges_i in enumerate(b.column(len(names)).to_pylist()):
+                whole = (texts[i] or "").encode()
+                counts[i] = word_count(whole)
                 if ranges_i:
-                    keep = ~covered(ranges_i, int(words.first[i + 1] - words.first[i]), window)
+                    keep = ~covered(ranges_i, int(counts[i]), window)
                     removed[i] = len(keep) - keep.sum()
                     if removed[i]:
-                        texts[i] = joined(words, i, keep).decode()
+                        texts[i] = joined(whole, keep).decode()
             columns = [b.column(c) for c in range(len(names))]
             columns[where] = pa.array(texts, old.type)
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(np.diff(words.first)), pa.array(removed)], names=[*plain, "n_words", "n_removed"]
+                [*columns, pa.array(counts), pa.array(removed)], names=[*plain, "n_words", "n_removed"]
             )
 
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in inner.schema], "n_words long", "n_removed long"])
@@ -397,8 +406,7 @@ def remove_repeats(
 def kept_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SHA-256 of the words of each text joined by one blank."""
     for b in by_bytes(batches, "text", BATCH_BYTES):
-        words = split_words(*text_buffer(b.column(3)))
-        digests = [hashlib.sha256(joined(words, i)).hexdigest() for i in range(b.num_rows)]
+        digests = [hashlib.sha256(joined((t or "").encode())).hexdigest() for t in b.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(3)), pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 

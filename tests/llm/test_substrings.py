@@ -83,6 +83,17 @@ def test_groups_of_exact_copies_stay_small(spark):
     assert all(" ".join(t.split()) == w for (_, t, _), (_, w, _) in zip(have, brute(rows, 6), strict=True))
 
 
+def test_words_of_long_texts_are_joined_alike(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        text = "".join(rng.choice(list("ab é\n\t\x0b\x1c\x85"), rng.integers(0, 30))).encode()
+        keep = rng.random(substrings.word_count(text)) < 0.6
+        want = substrings.joined(text), substrings.joined(text, keep), substrings.word_count(text)
+        with monkeypatch.context() as m:
+            m.setattr(substrings, "PIECE_BYTES", -1)
+            assert (substrings.joined(text), substrings.joined(text, keep), substrings.word_count(text)) == want
+
+
 def test_prefixes_grow_until_their_groups_fit(spark):
     rng = random.Random(6)
     word = lambda: str(rng.randint(0, 10**6))
