@@ -1,7 +1,7 @@
 """Operator 6: language identification with language-bitmask n-gram filters.
 
 Learning: byte n-grams of lower-cased words (with a blank at both ends) are
-counted by language over a bounded sample of labelled rows. A language's set
+counted by language over all labelled rows. A language's set
 holds the n-grams that make up at least ``min_share`` of its n-grams, whatever
 other languages hold them too; the share bounds the set's size (at most
 1 / ``min_share`` entries a language and length). Each language's set is put into a
@@ -23,8 +23,8 @@ crosses; a task holds some 100 bytes a byte of a piece, and the text itself.
 The slots take 8 bytes for each 64 languages; above ``WIDE`` languages there are fewer
 slots, so that all take at most 128 MB, at a higher (and corrected) false rate.
 
-The sample takes at most about ``sample_rows`` rows of each language, by a hash
-of the id, in proportion to the language's rows; that is the only bounded part.
+Counts and bound come from every labelled row. A task adds up its counts and passes
+them on in parts of at most ``HELD_GRAMS`` n-grams, so it holds no more than these.
 
 Defined results: null text and text without a letter are ``und`` with score 0,
 also where nothing could be learned. Text with letters but no known n-gram gets
@@ -35,26 +35,28 @@ empty table gives an empty result. Other columns pass through ``predict`` unread
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attrition.llm.common import by_bytes, map_arrow, mix64, pieces, table, text_buffer
+from attrition.llm.common import by_bytes, map_arrow, materialize, mix64, pieces, table, text_buffer
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
-SAMPLE_ROWS = 3000
+HELD_GRAMS = 1 << 20
 MIN_SHARE = 5e-5
 SLOT_BITS = 20
 PROBES = 2
 WIDE = 1024
 BATCH_BYTES = 1 << 19
 PIECE_BYTES = 1 << 20
+SCORE_STEPS = 1 << 16
 BOUND_SHARE = 0.001  # of labelled rows lie below the level that the bound is half of
 
 _LETTER = regex.compile(r"\p{L}").search
@@ -173,15 +175,53 @@ class LanguageFilters:
         return names, scores
 
 
-def sampled(labelled: DataFrame, sizes: DataFrame, sample_rows: int) -> DataFrame:
-    """About ``sample_rows`` rows (lang, text) of each language, by a hash of id and text."""
-    unit = F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))
-    quota = sizes.select("lang", (F.lit(float(sample_rows)) / F.col("n")).alias("quota"))
-    return labelled.join(F.broadcast(quota), "lang").where(unit < F.col("quota")).select("lang", "text")  # a row a language
+def added_up(grams: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, in order, each with the sum of its times."""
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    return grams[first], np.add.reduceat(times[order], first) if len(first) else times
 
 
-def with_language(labelled: DataFrame, lang_col: str, text_col: str, id_col: str) -> DataFrame:
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+class GramCounts:
+    """Counts of n-grams by (language, length), added up over a task's batches."""
+
+    def __init__(self) -> None:
+        self.parts: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held = 0
+
+    def add(self, names: list[str], texts: pa.Array) -> None:
+        order = sorted(range(len(names)), key=names.__getitem__)  # rows of a language side by side
+        ordered = [names[i] for i in order]
+        data, off = folded(texts.take(pa.array(order, pa.int64())))
+        starts = [i for i, x in enumerate(ordered) if not i or x != ordered[i - 1]]
+        for n in SIZES:
+            h, doc = ngrams(data, off, n)
+            at = np.searchsorted(doc, [*starts, len(ordered)])
+            for i, a, b in zip(starts, at[:-1], at[1:], strict=True):
+                if a < b:
+                    grams, times = np.unique(h[a:b], return_counts=True)
+                    self.parts.setdefault((ordered[i], n), []).append((grams, times))
+                    self.held += len(grams)
+
+    def merge(self) -> None:
+        for key, parts in self.parts.items():
+            if len(parts) > 1:
+                self.parts[key] = [added_up(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+        self.held = sum(len(g) for parts in self.parts.values() for g, _ in parts)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        for (name, n), [(grams, times)] in self.parts.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(grams)), pa.array(np.full(len(grams), n, np.int32)), pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))],
+                names=["lang", "size", "gram", "times"],
+            )
+        self.parts, self.held = {}, 0
+
+
+def with_language(labelled: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     return rows.where("lang IS NOT NULL AND text IS NOT NULL")
 
 
@@ -189,40 +229,29 @@ def learn(
     labelled: DataFrame,
     lang_col: str = "lang",
     text_col: str = "text",
-    id_col: str = "doc_id",
-    sample_rows: int = SAMPLE_ROWS,
     min_share: float = MIN_SHARE,
     slot_bits: int = SLOT_BITS,
     probes: int = PROBES,
 ) -> LanguageFilters:
-    """Filters from rows with text and a language.
-
-    ``sample_rows`` bounds the rows of a language that are counted (in
-    expectation; chosen by a hash of id and text)."""
-    rows = with_language(labelled, lang_col, text_col, id_col)
+    """Filters from all rows with text and a language."""
+    rows = with_language(labelled, lang_col, text_col)
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageFilters.build([], [], None, slot_bits, probes)
     slot_bits -= max(0, (len(languages) - 1) // WIDE).bit_length()
-    sample = sampled(rows, labelled.sparkSession.createDataFrame(sorted(sizes.items()), "lang string, n long"), sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = GramCounts()
         for b in by_bytes(batches, "text", BATCH_BYTES):
-            names = b.column(0).to_pylist()
-            index = {x: i for i, x in enumerate(dict.fromkeys(names))}
-            of = np.array([index[x] for x in names])
-            data, off = folded(b.column(1))
-            for n in SIZES:
-                h, doc = ngrams(data, off, n)
-                for name, i in index.items():
-                    grams, times = np.unique(h[of[doc] == i], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(grams)), pa.array(np.full(len(grams), n, np.int32)), pa.array(grams.view(np.int64)), pa.array(times)],
-                        names=["lang", "size", "gram", "times"],
-                    )
-
-    counted = map_arrow(sample, count, "lang string, size int, gram long, times long")
+            counts.add(b.column(0).to_pylist(), b.column(1))
+            if counts.held > HELD_GRAMS:
+                counts.merge()
+                if counts.held > HELD_GRAMS // 2:
+                    yield from counts.batches()
+        yield from counts.batches()
+
+    counted = map_arrow(rows, count, "lang string, size int, gram long, times long")
     grams = counted.groupBy("lang", "size", "gram").agg(F.sum("times").alias("times"))
     totals = grams.groupBy("lang", "size").agg(F.sum("times").alias("total"))
     shares = grams.join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("times") / F.col("total"))
@@ -251,17 +280,23 @@ def predict(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", p
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "lang_pred", "score")
 
 
-def learn_bound(
-    labelled: DataFrame, filters: LanguageFilters, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, share: float = BOUND_SHARE
-) -> float:
+def learn_bound(labelled: DataFrame, filters: LanguageFilters, lang_col: str = "lang", text_col: str = "text", share: float = BOUND_SHARE) -> float:
     """Score below which a text is taken to be in none of the languages: half of the
     score that all but ``share`` of the labelled rows with a known language reach
-    (0 if there are none). Measured on a sample as in ``learn``."""
-    rows = with_language(labelled, lang_col, text_col, id_col)
-    sample = sampled(rows, rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), sample_rows)
-    told = predict(sample, filters).where(F.col("lang_pred") != UNKNOWN)
-    low = told.agg(F.percentile_approx("score", share, 10_000)).first()[0]
-    return (low or 0.0) / 2
+    (0 if there are none). All labelled rows are scored; the score is the exact one of
+    its rank, found by a histogram and then inside its bucket."""
+    told = predict(with_language(labelled, lang_col, text_col), filters).where(F.col("lang_pred") != UNKNOWN)
+    scores = materialize(told.groupBy("score").agg(F.count(F.lit(1)).alias("n")), "language-scores")
+    bucket = F.floor(F.col("score") * SCORE_STEPS)
+    histogram = sorted((r.b, r.n) for r in scores.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect())  # SCORE_STEPS + 1 rows
+    rest = max(1, math.ceil(share * sum(n for _, n in histogram)))
+    for b, n in histogram:
+        if rest <= n:
+            through = F.sum("n").over(Window.partitionBy(bucket).orderBy("score"))
+            inside = scores.where(bucket == b).select("score", through.alias("through"))
+            return inside.where(F.col("through") >= rest).agg(F.min("score")).first()[0] / 2
+        rest -= n
+    return 0.0
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

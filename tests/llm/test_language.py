@@ -50,6 +50,42 @@ def test_decision_equals_plain_counts(spark):
             assert told[r.doc_id].lang_pred == held[0][1]
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    # 40,000 rows of one language, of which one holds a word often enough for a place in the set
+    rows = [(i, "abc" if i != 12_345 else "xyzq " * 300, "en") for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    filters = language.learn(docs)
+    got = {r.text[:3]: r for r in language.predict(docs, filters).collect()}
+    assert got["xyz"].score > 0.99 and got["abc"].score > 0.99
+    few = [(i, "abc" if i % 25 else "rstu", "en") for i in range(40_000)]  # 4 % hold only unknown n-grams
+    assert language.learn_bound(spark.createDataFrame(few, docs.schema), filters, share=0.05) > 0.49
+    assert language.learn_bound(spark.createDataFrame(few, docs.schema), filters, share=0.04) == 0
+    lone = [(i, "abc" if i != 12_345 else "abc rstuvw", "en") for i in range(40_000)]
+    assert 0 < language.learn_bound(spark.createDataFrame(lone, docs.schema), filters, share=1e-9) < 0.4
+
+
+def test_counts_are_added_up_over_parts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(2)
+    whole = language.learn(docs)
+    counts = language.GramCounts()
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").collect()
+    for i in range(0, len(rows), 7):
+        counts.add([r.lang for r in rows[i : i + 7]], pa.array([r.text for r in rows[i : i + 7]]))
+        if i % 3 == 0:
+            counts.merge()
+    found = {}
+    for b in counts.batches():
+        for r in b.to_pylist():
+            assert (r["lang"], r["size"], r["gram"]) not in found
+            found[r["lang"], r["size"], r["gram"]] = r["times"]
+    total = {}
+    for (lang, size, _), n in found.items():
+        total[lang, size] = total.get((lang, size), 0) + n
+    sets = [np.array([g for (x, n, g), k in found.items() if x == lang and k / total[x, n] >= language.MIN_SHARE], np.int64).view(np.uint64) for lang in whole.languages]
+    again = language.LanguageFilters.build(whole.languages, sets, whole.fallback, language.SLOT_BITS, language.PROBES)
+    assert (again.slots == whole.slots).all()
+
+
 def test_pieces_do_not_change_the_decision(monkeypatch):
     rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(list("abcde é!"), rng.integers(1, 40)))
